@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, secrets, simhash, warc
+from . import langid, licenses, neighbours, secrets, simhash, warc
 from .common import read
 
 
@@ -25,12 +25,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "key", "file", "offset", "length")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op4_licenses, op5_language, op7_warc, op9_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op4_licenses, op5_language, op7_warc, op8_neighbours, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
