@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, neighbours, secrets, simhash, warc
+from . import decontaminate, langid, licenses, linededup, neighbours, secrets, simhash, warc
 from .common import read
 
 
@@ -20,6 +20,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.line_dedup(read(spark, sf_dir, "documents"))
+    return rows.selectExpr("doc_id", "lines_total", "size(lines_removed) as n_removed", "array_join(lines_removed, ',') as removed", "text")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, _ = warc.archive(read(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "key", "file", "offset", "length")
@@ -33,8 +38,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op4_licenses, op5_language, op7_warc, op8_neighbours, op9_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op4_licenses, op5_language, op6_line_dedup, op7_warc, op8_neighbours, op9_secrets, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
