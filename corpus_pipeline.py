@@ -3,10 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gaugewright.llm import decontaminate, langid, linededup, simhash
 from gaugewright.llm.common import keep, read
+from gaugewright.llm.queries import mixed
 
-STAGES = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that language ID rejects; the model is learned from the rows that are not held out.
+
+    The test runs where the documents lie: they are neither joined nor shuffled.
+    """
+    model = langid.fit(docs.select("doc_id", "text", "lang").where(langid.fold() != 1))
+    return langid.accepted(docs, model)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later copies of repeated line runs; documents that lose all their lines go, texts that change are recounted."""
+    out = linededup.line_dedup(docs)
+    changed = F.size("lines_removed") > 0
+    count = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.where(~changed | (F.col("text") != "")).withColumn("n_chars", count).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays: the one whose id names it. Documents without an id are never dropped."""
+    groups = simhash.near_dedup(docs)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark text, whole, interrupted or reordered."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Give every document its tokens, domain posteriors and the rate that brings the mixture to its targets."""
+    return mixed(spark, docs, sf_dir)
+
+
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("mixture", mixture)]
 
 #: Fingerprints, tilings and fitted rates are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

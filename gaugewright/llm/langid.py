@@ -108,6 +108,17 @@ def fit(labelled: DataFrame, per_lang: int = 400, features: int = 3000, clusters
     return Model(codes, idf, [r.lang for r in rows], np.array([np.frombuffer(r.centroid, np.float32) for r in rows]), np.array([r.floor for r in rows]))
 
 
+def judge(texts: list[str | None], model: Model | None) -> list[tuple[str, float, bool]]:
+    """(language, cosine, rejected) of each text."""
+    out = [(UNKNOWN, 0.0, True)] * len(texts)
+    known = [i for i, t in enumerate(texts) if model and has_letter(t)]
+    if known:
+        cosine = model.vectors([texts[i] for i in known]) @ model.centroids.T
+        for i, j, row in zip(known, cosine.argmax(axis=1).tolist(), cosine, strict=True):
+            out[i] = model.langs[j], float(min(max(row[j], 0), 1)), bool(row[j] < model.floors[j])
+    return out
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, lang_pred, score, rejected), a row per input row.
 
@@ -120,19 +131,26 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                texts = part.column(1).to_pylist()
-                known = [i for i, t in enumerate(texts) if model and has_letter(t)]
-                lang, score, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-                if known:
-                    cosine = model.vectors([texts[i] for i in known]) @ model.centroids.T
-                    for i, j, row in zip(known, cosine.argmax(axis=1).tolist(), cosine, strict=True):
-                        lang[i], score[i], rejected[i] = model.langs[j], float(min(max(row[j], 0), 1)), bool(row[j] < model.floors[j])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
+                columns = list(zip(*judge(part.column(1).to_pylist(), model), strict=True))
+                kinds = (pa.string(), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "lang_pred", "score", "rejected"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {key}, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, all columns, whose text ``predict`` would not reject."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                yield part.filter(pa.array([not r for *_, r in judge(part.column(part.schema.get_field_index("text")).to_pylist(), model)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(column: str = "doc_id"):
     """Remainder by 3 of the CRC-32 of the id as text; 1 is held out."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(3))

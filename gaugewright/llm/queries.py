@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, linededup, neighbours, secrets, simhash, warc
+from . import decontaminate, langid, licenses, linededup, mixing, neighbours, secrets, simhash, toxicity, warc
 from .common import read
 
 
@@ -12,6 +12,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(read(spark, sf_dir, "documents"))
 
 
+#: Domains of the labelled table, and the shares of tokens that the mixture aims at.
+DOMAINS = "case when quality = 0 then 'junk' when toxic = 1 then 'toxic' else 'clean' end"
+TARGETS = {"clean": 0.85, "junk": 0.1, "toxic": 0.05}
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labelled = read(spark, sf_dir, "labels").selectExpr("doc_id", f"{DOMAINS} as domain")
+    return mixing.mix(docs, labelled, TARGETS)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir).drop("text")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -43,7 +61,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op4_licenses, op5_language, op6_line_dedup, op7_warc, op8_neighbours, op9_secrets, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_toxicity, op4_licenses, op5_language, op6_line_dedup, op7_warc, op8_neighbours, op9_secrets, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
