@@ -54,8 +54,7 @@ def arrival(html: Column) -> Column:
     return F.when(~bare, "received").when(wall, "bot-wall").when(F.length(html) > 2000, "js-shell").otherwise("empty")
 
 
-@F.pandas_udf("array<struct<depth int, types array<string>, name string, node string>>")
-def json_ld(html: pd.Series) -> pd.Series:
+def _json_ld_nodes(html: pd.Series) -> pd.Series:
     """All object nodes of a page's JSON-LD, parents first; blocks that do not parse are skipped."""
     blocks = re.compile(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>')
 
@@ -84,6 +83,11 @@ def json_ld(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
+def json_ld(html: Column) -> Column:
+    """Array of the object nodes of a page's JSON-LD: depth, types, name and the node itself as JSON."""
+    return F.pandas_udf(_json_ld_nodes, "array<struct<depth int, types array<string>, name string, node string>>")(html)
+
+
 def page_facts(pages):
     """pages(url, html) with the columns that the checks read."""
     text = body_text(F.col("html"))

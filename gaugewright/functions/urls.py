@@ -59,7 +59,7 @@ def is_safe_path(path: Column) -> Column:
 def links(html: Column) -> Column:
     """Targets of anchors, without empty, fragment, mail and phone links and without fragments; first of equals stays."""
     found = F.regexp_extract_all(html, F.lit('<a\\s[^>]*href="([^"]*)"'), F.lit(1))
-    kept = F.filter(F.transform(found, F.trim), lambda x: ~F.regexp_like(x, F.lit("^$|^#|^(?i:mailto|tel):")))
+    kept = F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: ~F.regexp_like(x, F.lit("^$|^#|^(?i:mailto|tel):")))
     return F.array_distinct(F.transform(kept, lambda x: F.split(x, "#")[0]))
 
 
