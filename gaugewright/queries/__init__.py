@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import entity, pages, relational, scoring, stateful, texts  # noqa: F401 - they register their queries
+from . import answers, entity, pages, relational, scoring, stateful, texts  # noqa: F401 - they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
