@@ -169,3 +169,33 @@ def same_phone(a: Column, b: Column) -> Column:
     x, y = phone_digits(a), phone_digits(b)
     n = F.least(F.length(x), F.length(y), F.lit(10))
     return (n >= 7) & (F.right(x, n) == F.right(y, n))
+
+
+#: Legal forms that a business name may end in, and short forms in addresses.
+LEGAL_FORMS = ("inc", "llc", "ltd", "co", "corp", "company", "gmbh", "limited")
+ADDRESS_FORMS = {"st": "street", "ave": "avenue", "av": "avenue", "rd": "road", "blvd": "boulevard", "ln": "lane", "dr": "drive", "hwy": "highway", "ste": "suite", "fl": "floor"}
+
+
+def business_name(col: Column) -> Column:
+    """Folded name without legal forms and punctuation."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(fold(col), f"\\b({'|'.join(LEGAL_FORMS)})\\b", " "), "[^a-z0-9\\s]", " "), "\\s+", " "))
+
+
+def address_tokens(col: Column) -> Column:
+    """Words of an address, short forms written out."""
+    forms = F.create_map(*(F.lit(x) for pair in ADDRESS_FORMS.items() for x in pair))
+    words = F.filter(F.split(F.regexp_replace(fold(col), "[^a-z0-9\\s]", " "), "\\s+"), lambda x: x != "")
+    return F.transform(words, lambda x: F.coalesce(F.try_element_at(forms, x), x))
+
+
+def same_business(name_a: Column, name_b: Column) -> Column:
+    """match, mismatch or skip: equal, one within the other, or three fifths of the words in common."""
+    a, b = business_name(name_a), business_name(name_b)
+    alike = (a == b) | F.contains(a, b) | F.contains(b, a) | (jaccard(F.split(a, " "), F.split(b, " ")) >= 0.6)
+    return F.when(F.coalesce(a, F.lit("")).isin("") | F.coalesce(b, F.lit("")).isin(""), "skip").when(alike, "match").otherwise("mismatch")
+
+
+def same_address(a: Column, b: Column) -> Column:
+    """match, mismatch or skip: half of the words in common."""
+    x, y = F.coalesce(address_tokens(a), F.array().cast("array<string>")), F.coalesce(address_tokens(b), F.array().cast("array<string>"))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), "skip").when(jaccard(F.array_distinct(x), F.array_distinct(y)) >= 0.5, "match").otherwise("mismatch")
