@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-BLOCK = 64
+BLOCK = 256
 _CLASSES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -89,7 +89,10 @@ class BlockMax:
             at = self.local[b, terms]
             on = at >= 0
             cos = weights[on] @ self.weights[b][at[on]]
-            found = np.flatnonzero(cos > 0)
+            least = -best[-1][0] if len(best) == k else 0
+            found = np.flatnonzero((cos > 0) & (cos >= least))
+            if len(found) > 4 * k:  # ties of the last one wanted stay; one more for the row left out
+                found = found[cos[found] >= np.partition(cos[found], -k - 1)[-k - 1]]
             best += [(-float(cos[j]), b * BLOCK + j) for j in found.tolist() if skip is None or self.ids[b * BLOCK + j] != skip]
             best = sorted(best)[:k]
         return [(-c, i) for c, i in best]
@@ -184,10 +187,16 @@ def fit(corpus: DataFrame, labelled: DataFrame, per_label: int = 2048, calibrati
     counted = corpus.select(F.col("text").cast("binary").alias("body")).mapInArrow(frequencies, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     df = {r.term and bytes(r.term): r.df for r in counted}
     idf = np.array([log((df[None] + 1) / (df.get(w, 0) + 1)) + 0.01 for w in vocabulary])
-    names = F.array(*(F.lit(w) for w in vocabulary)) if vocabulary else F.array().cast("array<binary>")
-    pairs = F.filter(F.arrays_zip("terms", "tf"), lambda x: F.array_contains(names, x["terms"]))
-    rows = sample.select("doc_id", "toxic", "example", "calibrate", pairs.alias("pairs")).orderBy("doc_id").collect()
-    counts = [(r, [(bytes(p.terms), p.tf) for p in r.pairs]) for r in rows]
+
+    def restricted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[(w, n) for w, n in zip(*x, strict=True) if w in wanted.whole] for x in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array([[w for w, _ in x] for x in found], pa.list_(pa.binary())), pa.array([[n for _, n in x] for x in found], pa.list_(pa.int64()))], batch.schema.names
+            )
+
+    rows = sample.mapInArrow(restricted, sample.schema).orderBy("doc_id").collect()
+    counts = [(r, [(bytes(w), n) for w, n in zip(r.terms, r.tf, strict=True)]) for r in rows]
     model = Model(vocabulary, idf, [(r.doc_id, r.toxic, tf) for r, tf in counts if r.example], neighbours, doubt)
     own = [(model.vote(dict(tf), r.doc_id)[0], r.toxic) for r, tf in counts if r.calibrate]
     model.calibrate(np.array([v for v, _ in own]), np.array([y for _, y in own], float))
