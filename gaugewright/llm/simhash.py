@@ -111,4 +111,5 @@ def near_dedup(docs: DataFrame, width: int = 4, posting_limit: int = 48) -> Data
     named = members.join(distinct, "fp").groupBy("component").agg(F.min("least_id").alias("component_id"))
     linked = members.join(named, "component").select("fp", "component_id")
     names = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return fps.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named_fps = keep(names, "names")  # written, so that the join can split a fingerprint of very many copies
+    return fps.join(named_fps, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -97,18 +97,26 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_pe
     is an empty payload; rows with a null page_id only serve as response if no equal row has an id; repeated rows that
     share the largest page_id are all responses.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    sums = F.sha1(F.col("html").cast("binary"))
-    first = rows.groupBy(sums.alias("sum")).agg(F.max("page_id").alias("keeper"))
-    marked = rows.withColumn("sum", sums).join(first, "sum").drop("sum")
+    key = pages.schema["page_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            payloads = batch.column(2).to_pylist()
+            sums, packed = [hashlib.sha1(x).digest() for x in payloads], [zlib.compress(x, 1) for x in payloads]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.binary()), pa.array(packed, pa.binary())], ["page_id", "url", "sum", "packed"])
+
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    first = pages.select("page_id", F.unhex(F.sha1(payload)).alias("sum")).groupBy("sum").agg(F.max("page_id").alias("keeper"))
+    rows = pages.select("page_id", "url", payload.alias("body")).mapInArrow(pack, f"page_id {key}, url string, sum binary, packed binary")
+    marked = rows.join(first, "sum").drop("sum")  # payloads are compressed before they are shuffled
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                payload = r["html"].encode()
-                again = r["keeper"] is not None and r["page_id"] != r["keeper"] and len(payload) >= least_bytes
-                out.append(record(r["page_id"], r["url"], payload, "revisit" if again else "response", r["keeper"] if again else None))
+                body = zlib.decompress(r["packed"])
+                again = r["keeper"] is not None and r["page_id"] != r["keeper"] and len(body) >= least_bytes
+                out.append(record(r["page_id"], r["url"], body, "revisit" if again else "response", r["keeper"] if again else None))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     marked.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
