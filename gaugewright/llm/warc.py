@@ -53,7 +53,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}" if url else None,
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"WARC-Payload-Length: {len(payload)}",
+        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"WARC-Payload-Length: {len(payload)}" if kind == "revisit" else None,
         "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if kind == "revisit" else None,
         f"WARC-Refers-To: <urn:page:{refers_to}>" if kind == "revisit" else None,
         "Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if kind == 'revisit' else len(payload)}",
@@ -102,7 +102,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_pe
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payloads = batch.column(2).to_pylist()
-            sums, packed = [hashlib.sha1(x).digest() for x in payloads], [zlib.compress(x, 1) for x in payloads]
+            sums, packed = [hashlib.sha1(x).digest() for x in payloads], [zlib.compress(x) for x in payloads]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.binary()), pa.array(packed, pa.binary())], ["page_id", "url", "sum", "packed"])
 
     payload = F.coalesce("html", F.lit("")).cast("binary")
