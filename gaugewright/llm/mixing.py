@@ -51,7 +51,10 @@ class Posterior:
         return p / p.sum()
 
     def fit(self, rows: list[list[int]], labels: list[int], shares: np.ndarray, ridge: float = 1e-3, steps: int = 400) -> None:
-        """Weighted maximum likelihood by Adam; each domain weighs as it does in the labelled table."""
+        """Weighted maximum likelihood by Adam; each domain weighs as it does in the labelled table. Without rows: those shares."""
+        if not rows:
+            self.weights[-1] = np.log(shares)
+            return
         at, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         y = np.eye(len(self.domains))[labels]
         w = (y * (shares / np.maximum(y.sum(axis=0), 1))).sum(axis=1, keepdims=True)
@@ -93,7 +96,7 @@ def fit_posterior(docs: DataFrame, labelled: DataFrame, per_domain: int = 2000,
 
     counts = picked.mapInArrow(counted, "domain string, feature binary").groupBy("feature").pivot("domain", domains).count().na.fill(0)
     total = {r.domain: r.n for r in picked.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    n, seen = sum(total.values()), sum((F.col(f"`{d}`") for d in domains), F.lit(0))
+    n, seen = max(1, sum(total.values())), sum((F.col(f"`{d}`") for d in domains), F.lit(0))
     excess = [F.pow(F.col(f"`{d}`") - seen * (total.get(d, 0) / n), 2) / (seen * (1 - seen / n) * max(total.get(d, 0) / n, 1e-9)) for d in domains]
     strength = sum(excess, F.lit(0.0)) / max(1, len(domains) - 1)
     frequent = counts.where((seen >= least) & (seen < n)).where(strength >= chi2).orderBy("feature").collect()  # of a bounded sample
@@ -189,7 +192,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **optio
 
     ``targets`` are shares of the corpus's tokens that each domain of ``labelled`` (doc_id, domain) should hold; domains
     without a target get zero. Null and empty texts have no tokens, the posterior of their features and a rate like any
-    other. Repeated rows are each a document. A labelled table without rows raises ValueError; an empty docs gives none.
+    other. Repeated rows are each a document. A labelled table without rows raises ValueError; one whose documents are all
+    missing gives every text the table's own shares as posterior; an empty docs gives none.
     """
     model = fit_posterior(docs, labelled)
     own = {"mix_tokens", "mix_p", "tokens", "rate", *(f"p_{d}" for d in model.domains)}

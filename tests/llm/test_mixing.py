@@ -60,3 +60,5 @@ def test_no_labels_and_no_documents(spark):
     assert mixing.mix(docs.where("false"), known, {"a": 1.0}).count() == 0
     (row,) = mixing.mix(docs, known, {"a": 1.0}).collect()
     assert abs(row.rate - 1) < 1e-6
+    (row,) = mixing.mix(docs, spark.createDataFrame([(7, "a"), (8, "a"), (9, "b"), (6, "a")], "doc_id long, domain string"), {"a": 1.0}).collect()
+    assert abs(row.p_a - 0.75) < 1e-9
