@@ -3,8 +3,11 @@
 Equal vectors become one node with a weight. Lists of the ``k`` nearest neighbours start from random-hyperplane buckets
 (long buckets are split by hash) and are refined by joining neighbours of neighbours until few entries change and an
 audit against all vectors finds enough of the true links. Links at the threshold give components. A list whose entries
-all pass the threshold is saturated and says nothing about how many links there are; so every component's lists are
-enlarged to the whole component, compared in square blocks of bounded size, and the link counts are exact within it.
+all pass the threshold is saturated: it says neither how many links there are nor whether some lead to other components.
+So the saturated nodes of different components are compared with each other, exactly: balls of linked nodes are cut within
+components, balls too far apart by their radii are passed over, the rest are compared node by node. If the audit still
+misses its target after the last round, all nodes take part in that. Then every component's lists are enlarged to the
+whole component, compared in square blocks of bounded size, and the link counts are exact within it.
 """
 
 from __future__ import annotations
@@ -120,9 +123,84 @@ def _refine(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return _top(lists.union(found), k)
 
 
-def _audit(nodes: DataFrame, edges: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the true links of ``sample`` nodes, found by comparing them with every node, that ``edges`` connects."""
-    asked = nodes.orderBy(F.xxhash64(F.lit("audit"), "node")).limit(sample).collect()
+def _parts(links: DataFrame) -> DataFrame:
+    """links(a, b) -> (node, component) of every node with a link."""
+    part = connected_components(links)
+    return keep(part.union(part.select("component", "component").distinct()), "parts")
+
+
+def _balls(table: pa.Table, threshold: float) -> tuple:
+    """Cut rows of one component into balls of half the threshold's angle, as (node, ball, radius); a ball is named by its centre."""
+    x, ids = _unit(table), table.column("node").to_numpy()
+    near, free = np.cos(np.arccos(threshold) / 2), np.arange(len(ids))
+    ball, radius = np.empty(len(ids), np.int64), np.empty(len(ids))
+    while len(free):
+        cos = x[free] @ x[free[0]]
+        cos[0] = 1
+        inside = cos >= near
+        ball[free[inside]], radius[free[inside]] = ids[free[0]], np.arccos(min(1.0, cos[inside].min()))
+        free = free[~inside]
+    return ids, ball, radius
+
+
+def _close(table: pa.Table, threshold: float) -> tuple:
+    """Pairs of balls of different components that can hold a link, as (a, b, a_part, b_part, linked by their centres)."""
+    x, ids, part, radius = _unit(table), table.column("ball").to_numpy(), table.column("component").to_numpy(), table.column("radius").to_numpy()
+    block, cos = table.column("block").to_numpy(), x @ x.T
+    reach = np.minimum(radius[:, None] + radius[None, :] + np.arccos(threshold) + 1e-6, np.pi)
+    one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    once = ids[:, None] < ids[None, :] if one else block[:, None] < block[None, :]
+    a, b = np.nonzero(once & (part[:, None] != part[None, :]) & ((cos >= np.cos(reach)) | (cos >= threshold)))
+    return ids[a], ids[b], part[a], part[b], cos[a, b] >= threshold
+
+
+def _touching(table: pa.Table, threshold: float) -> tuple | None:
+    """The components of two balls, if some node of one links with some node of the other."""
+    x, part = _unit(table), table.column("component").to_numpy()
+    one = part == part[0]
+    return (part[:1], part[~one][:1]) if (x[one] @ x[~one].T >= threshold).any() else None
+
+
+def _blocks(rows: DataFrame, key: str, node: str) -> DataFrame:
+    """Deal the rows of each ``key`` into blocks of about BLOCK, and each block to every pair (i, j) of blocks that it is in."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64(node), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    return placed.withColumn("other", other).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def _bridges(members: DataFrame, threshold: float) -> DataFrame:
+    """members(component, node, vec) -> (a, b), links between components, enough to join all components that link."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    cut = _groups(placed.select("component", "block", "node", "vec"), ["component", "block"], lambda g: _balls(g, threshold), "node long, ball long, radius double", ["node", "ball", "radius"])
+    cut = keep(cut.join(members, "node"), "balls")
+    centres = cut.groupBy("ball").agg(F.max("radius").alias("radius")).join(members.withColumnRenamed("node", "ball"), "ball")
+    dealt = _blocks(centres.withColumn("dim", F.size("vec").cast("long")), "dim", "ball")
+    schema = "a long, b long, a_part long, b_part long, linked boolean"
+    pairs = keep(_groups(dealt, ["dim", "i", "j"], lambda g: _close(g, threshold), schema, ["a", "b", "a_part", "b_part", "linked"]), "pairs")
+
+    sure = pairs.where("linked").select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct()
+    joined = _parts(sure)
+    name = lambda c: joined.select(F.col("node").alias(f"{c}_part"), F.col("component").alias(f"{c}_now"))
+    now = lambda c: F.coalesce(f"{c}_now", f"{c}_part")
+    open_ = pairs.where("not linked").join(name("a"), "a_part", "left").join(name("b"), "b_part", "left").where(now("a") != now("b")).select("a", "b")
+    both = open_.select("a", "b", F.explode(F.array("a", "b")).alias("ball")).join(cut.select("ball", "component", "vec"), "ball").drop("ball")
+    found = _groups(both, ["a", "b"], lambda g: _touching(g, threshold), "a long, b long", ["a", "b"])
+    return sure.union(found.distinct())
+
+
+def _joined(part: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Components (node, component) after those that ``members`` link are joined."""
+    more = keep(_bridges(members, threshold), "bridges")
+    return part if more.isEmpty() else _parts(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
+def _audit(nodes: DataFrame, parts: DataFrame, threshold: float, sample: int) -> float:
+    """Share of the true links of ``sample`` nodes with links and as many of all, found by comparing them with every node, that ``parts`` connects."""
+    order = F.xxhash64(F.lit("audit"), "node")
+    linked = nodes.join(parts.select("node"), "node", "left_semi")
+    asked = list({r.node: r for df in (linked, nodes) for r in df.select("node", "vec").orderBy(order).limit(sample).collect()}.values())
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {len(r.vec) for r in asked}:
         part = [r for r in asked if len(r.vec) == dim]
@@ -142,28 +220,32 @@ def _audit(nodes: DataFrame, edges: DataFrame, threshold: float, sample: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i][ok]), pa.array(other[ok]), pa.array(cos[i, j][ok])], ["u", "v", "cos"])
 
     true = nodes.select("node", "vec", F.size("vec").cast("long").alias("dim")).mapInArrow(run, EDGE)
-    part = connected_components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    part = part.union(part.select("component", "component").distinct())
-    name = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    name = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
     total, found = true.join(name("u"), "u", "left").join(name("v"), "v", "left").agg(F.count("*"), F.coalesce(F.sum((F.col("u_part") == F.col("v_part")).cast("int")), F.lit(0))).first()
     return found / total if total else 1.0
 
 
-def near_neighbours(nodes: DataFrame, threshold: float, k: int = 10, tables: int = 8, rounds: int = 6, recall: float = 0.995, sample: int = 256) -> tuple[DataFrame, float]:
-    """nodes(node, vec): distinct finite nonzero vectors -> (edges (u, v, cos) at the threshold, audited recall)."""
+def near_components(nodes: DataFrame, threshold: float, k: int = 10, tables: int = 8, rounds: int = 6, recall: float = 0.995, sample: int = 256) -> tuple[DataFrame, float]:
+    """nodes(node, vec): distinct finite nonzero vectors -> ((node, component) of nodes with links, audited recall).
+
+    Where the recall stays below its target, all nodes of different components are compared; the recall is then 1.
+    """
     n = nodes.count()
-    lists, audited = keep(_top(_first_lists(nodes, n, k, tables), k), "lists"), 0.0
-    for _ in range(rounds):
+    lists = keep(_top(_first_lists(nodes, n, k, tables), k), "lists")
+    for turn in range(rounds):
         after = keep(_refine(lists, nodes, k), "lists")
         changed = after.join(lists, ["u", "v"], "left_anti").count()
         forget(lists)
         lists = after
-        edges = lists.where(F.col("cos") >= threshold)
-        if changed <= 0.02 * k * n or _ == rounds - 1:
-            audited = _audit(nodes, edges, threshold, sample)
+        if changed <= 0.02 * k * n or turn == rounds - 1:
+            part = _parts(lists.where(F.col("cos") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
+            full = lists.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), F.min("cos").alias("least")).where((F.col("n") >= k) & (F.col("least") >= threshold)).select("node")
+            part = _joined(part, part.join(full, "node", "left_semi").join(nodes.select("node", "vec"), "node").select("component", "node", "vec"), threshold)
+            audited = _audit(nodes, part, threshold, sample)
             if audited >= recall:
-                break
-    return lists.where(F.col("cos") >= threshold), audited
+                return part, audited
+    everyone = nodes.select("node", "vec").join(part, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "vec")
+    return _joined(part, everyone, threshold), 1.0
 
 
 def _linked(table: pa.Table, threshold: float) -> tuple | None:
@@ -189,17 +271,12 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, k: int = 10) -> DataF
     nodes = keep(
         rows.where(valid).groupBy("vec").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id()), "nodes"
     )
-    edges, _ = near_neighbours(nodes, threshold, k)
-    part = connected_components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    part = keep(part.union(part.select("component", "component").distinct()), "parts")
+    part, _ = near_components(nodes, threshold, k)
     members = part.join(nodes, "node")
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("least_id").alias("component_id"))
-    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "vec"
-    )
+    names = members.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    paired = _blocks(members.select("component", "node", "weight", "vec"), "component", "node")
     counts = _groups(paired, ["component", "i", "j"], lambda g: _linked(g, threshold), "node long, links long", ["node", "links"])
-    found = counts.groupBy("node").agg(F.sum("links").alias("links")).join(placed.select("node", "component_id"), "node")
+    found = counts.groupBy("node").agg(F.sum("links").alias("links")).join(part.join(names, "component").select("node", "component_id"), "node")
     known = nodes.join(found, "node", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id"))
     linked = rows.where(valid).join(known, "vec").select("vec_id", "n_links", "component_id")
     alone = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

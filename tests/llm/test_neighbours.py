@@ -61,3 +61,32 @@ def test_whole_table(spark):
 
 def test_empty(spark):
     assert neighbours.near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_links_between_tight_groups_larger_than_a_list(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g, size in enumerate((12, 20, 100)):
+        a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+        for side, center in enumerate((a, 0.94 * a + np.sqrt(1 - 0.94**2) * b)):
+            rows += [(1000 * g + 500 * side + i, (center + 0.005 * rng.standard_normal(32)).tolist(), "") for i in range(size)]
+    found = result(neighbours.near_dedup(spark.createDataFrame(rows, SCHEMA)))
+    assert found == brute(rows)
+    assert {n for _, n, *_ in found} == {23, 39, 199}
+
+
+def test_groups_that_link_only_at_their_rims(spark):
+    rng = np.random.default_rng(6)
+    turn = lambda degrees: np.array([np.cos(np.radians(degrees)), np.sin(np.radians(degrees))] + [0.0] * 6)
+    centers = [turn(d) for d in (0, 10, 34, 44, 180)]  # rims 24 degrees apart, centres 34; the last is far from all
+    rows = [(100 * g + i, (c + 0.002 * rng.standard_normal(8)).tolist(), "") for g, c in enumerate(centers) for i in range(30)]
+    assert result(neighbours.near_dedup(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_missed_recall_is_made_up_for(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "_audit", lambda *_: 0.0)
+    monkeypatch.setattr(neighbours, "_refine", lambda lists, nodes, k: lists.where("u % 3 = 0"))
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((20, 16))
+    rows = [(i, (base[i % 20] + 0.1 * rng.standard_normal(16)).tolist(), "") for i in range(120)]
+    assert result(neighbours.near_dedup(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
