@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.llm import decontaminate, langid, linededup, simhash
+from gaugewright.llm import decontaminate, langid, linededup, nearcopies
 from gaugewright.llm.common import keep, read
 from gaugewright.llm.queries import mixed
 
@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one whose id names it. Documents without an id are never dropped."""
-    groups = simhash.near_dedup(docs)
+    """One document of each group of five-word Jaccard 0.8 or more stays: the one whose id names it. Documents without an id are never dropped."""
+    groups = nearcopies.near_copies(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
