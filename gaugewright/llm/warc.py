@@ -4,7 +4,7 @@ Archives are plain ``.warc`` files of bounded size, so that a record can be fetc
 equal payloads are written once; the others revisit it. Reading the archives back yields one capture line per record,
 sorted by reversed-host URL key. Lines are packed into compressed blocks (first level); a sparse directory holds each
 block's first and last key (second level). A lookup bisects the directory, opens the blocks it names, bisects their
-lines, and reads only the byte ranges found.
+lines, and cuts the byte ranges found out of the archive files, which Spark's reader loads whole.
 """
 
 from __future__ import annotations
@@ -44,6 +44,11 @@ def url_key(url: str | None) -> str:
     return f"{','.join(reversed(host.split('.')))}{shown}){parts.path or '/'}{query}".lower()
 
 
+def target(url: str | None) -> str | None:
+    """``url`` as records hold it, percent-encoded; index and lookups take their keys from this form."""
+    return quote(url, safe=":/?#[]@!$&()*+,;=%~") if url else None
+
+
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -52,7 +57,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
     """One WARC record without the closing blank lines, which the writer adds as the line separator."""
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}" if url else None,
+        f"WARC-Target-URI: {target(url)}" if url else None,
         f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"WARC-Payload-Length: {len(payload)}" if kind == "revisit" else None,
         "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if kind == "revisit" else None,
         f"WARC-Refers-To: <urn:page:{refers_to}>" if kind == "revisit" else None,
@@ -181,10 +186,10 @@ def entries(blocks: DataFrame) -> DataFrame:
 
 
 def lookup(spark: SparkSession, archives: str, index: str, urls: DataFrame) -> DataFrame:
-    """urls(url) -> (key, page_id, record_type, payload) of each capture of them, by bisection and range reads.
+    """urls(url) -> (key, page_id, record_type, payload) of each capture of them, by bisection.
 
     The directory is sorted and bisected once per wanted key; it holds one line per block, so it is a five-hundredth of
-    the captures, and only its key columns are read. The blocks that a key falls into are opened by a join.
+    the captures, and only its key columns are read. The blocks that a key falls into are opened by a join. The archive files are read whole, and the ranges found are cut out of them.
     """
     blocks = spark.read.parquet(index)
     directory = blocks.select("first_key", "last_key").orderBy("first_key", "last_key").collect()
@@ -194,7 +199,7 @@ def lookup(spark: SparkSession, archives: str, index: str, urls: DataFrame) -> D
         for batch in batches:
             found = []
             for url in batch.column(0).to_pylist():
-                key = re.sub(r"\s", "%20", url_key(url))
+                key = re.sub(r"\s", "%20", url_key(target(url)))
                 for k in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)):
                     found.append((key, firsts[k], lasts[k]))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(3)], ["key", "first_key", "last_key"])

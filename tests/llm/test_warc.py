@@ -52,3 +52,11 @@ def test_url_keys():
     assert warc.url_key("http://www.Example.com:80/A?b=C#frag") == "com,example)/a?b=c"
     assert warc.url_key("https://x.org:8443") == "org,x:8443)/"
     assert warc.url_key(None) == ""
+
+
+def test_lookup_of_urls_that_records_hold_encoded(spark):
+    urls = ["http://a.org/café", "http://a.org/it's", "http://a.org/a|b", "http://a.org/{x}", "http://a.org/two words", "http://a.org/%7Bkept%7D"]
+    pages = spark.createDataFrame([(i, u, f"body {i}", "") for i, u in enumerate(urls)], SCHEMA)
+    _, archives, index = warc.archive(pages)
+    found = warc.lookup(spark, archives, index, pages.select("url")).collect()
+    assert sorted((r.page_id, r.payload) for r in found) == [(i, f"body {i}") for i in range(len(urls))]
