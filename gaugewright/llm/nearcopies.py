@@ -2,8 +2,9 @@
 
 A text is the set of 64-bit hashes of its shingles. Two sets at four fifths or more share an entry among the first
 ``n // 5 + 1`` of each under any order of all shingles, and their sizes differ by a quarter at most. The order puts the
-most frequent shingles last, so that common lines are rarely among the first. Every pair that shares a first entry is
-verified on the whole sets. In lists longer than ``posting_limit`` all are compared with the least one first, and then only
+most frequent shingles of a sample last, so that common lines are rarely among the first. A pair that shares a first entry
+is passed over if the parities of its entries, counted in 1024 cells, differ in more cells than the sets may; every other
+pair is verified on the whole sets, which are made again from the texts instead of being written. In lists longer than ``posting_limit`` all are compared with the least one first, and then only
 those with each other that are not yet in one component.
 """
 
@@ -21,6 +22,8 @@ from .common import keep
 from .graph import connected_components
 
 SEED = 42
+CELLS = 1024
+SAMPLE = 8  #: one in so many texts tells which shingles are frequent
 FREQUENT = 1 << 20  #: most shingles put last; the order decides the work, not the result
 
 
@@ -39,10 +42,13 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(at, 512)
                 found = [shingles(t, width) for t in part.column(1).to_pylist()]
                 names = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found), np.uint64, len(found)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "entries"])
+                odd = [np.packbits(np.bincount(x & (CELLS - 1), minlength=CELLS) & 1 == 1).view(np.int64) for x in found]
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, odd)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names), *lists], ["doc_id", "body", "node", "entries", "odd"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(run, f"doc_id {key}, node long, entries array<long>")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("body"))
+    return rows.mapInArrow(run, f"doc_id {key}, body long, node long, entries array<long>, odd array<long>")
 
 
 def _first(sets: DataFrame, late: np.ndarray) -> DataFrame:
@@ -68,14 +74,20 @@ def _first(sets: DataFrame, late: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "h long, node long, n long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, one: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Pairs (a, b) whose Jaccard similarity is four fifths or more."""
-    pairs = keep(pairs.distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    whole = keep(sets.join(asked, "node", "left_semi").groupBy("node").agg(F.any_value("entries").alias("entries")), "whole")
+    facts = lambda c: one.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("odd").alias(f"{c}_odd"))
+    differ = F.aggregate(F.zip_with("a_odd", "b_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    able = pairs.distinct().join(facts("a"), "a").join(facts("b"), "b").where(9 * differ <= F.col("a_n") + F.col("b_n"))
+    able = keep(able.select("a", "b"), "pairs")
+    if able.isEmpty():
+        return able
+    asked = able.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(one, "node").select("body").distinct()
+    again = _sets(docs.withColumn("body", F.xxhash64("text")).join(keep(asked, "asked"), "body", "left_semi"), width)
+    whole = keep(again.select("node", "entries").groupBy("node").agg(F.any_value("entries").alias("entries")), "whole")
     side = lambda c: whole.select(F.col("node").alias(c), F.col("entries").alias(f"{c}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").where(9 * both >= 4 * (F.size("a_set") + F.size("b_set")))
+    found = able.join(side("a"), "a").join(side("b"), "b").where(9 * both >= 4 * (F.size("a_set") + F.size("b_set")))
     return keep(found.select("a", "b"), "links")
 
 
@@ -84,10 +96,12 @@ def near_copies(docs: DataFrame, width: int = 5, posting_limit: int = 48) -> Dat
 
     Null, empty and blank texts are equal to each other. A null doc_id never names a component (null if no member has an id).
     """
-    sets = keep(_sets(docs, width), "sets")
-    plain = _first(sets, np.empty(0, np.int64)).groupBy("h").count().where(F.col("count") > posting_limit)
+    sets = keep(_sets(docs, width).select("doc_id", "node", "body", F.size("entries").alias("n"), "odd"), "sets")
+    one = keep(sets.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("body").alias("body"), F.first("n").alias("n"), F.first("odd").alias("odd")), "distinct")
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    plain = _first(_sets(some, width), np.empty(0, np.int64)).groupBy("h").count().where(F.col("count") > posting_limit // SAMPLE)
     late = np.sort(np.array([r.h for r in plain.orderBy(F.desc("count"), "h").limit(FREQUENT).select("h").collect()], np.int64))
-    first = _first(sets, late)
+    first = _first(_sets(docs, width), late)
     first = keep(first, "first")
     lengths = first.groupBy("h").agg(F.count("*").alias("count"), F.min("node").alias("low")).where("count > 1")
     shared = keep(first.join(lengths, "h"), "shared")
@@ -98,17 +112,16 @@ def near_copies(docs: DataFrame, width: int = 5, posting_limit: int = 48) -> Dat
 
     long = shared.where(F.col("count") > posting_limit)
     stars = long.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    links = _verified(pairs(shared.where(F.col("count") <= posting_limit)).select("a", "b").union(stars), sets)
+    links = _verified(pairs(shared.where(F.col("count") <= posting_limit)).select("a", "b").union(stars), one, docs, width)
     parts = lambda edges: (lambda p: keep(p.union(p.select("component", "component").distinct()), "parts"))(connected_components(edges))
     part = parts(links)
     named = long.join(part, "node", "left").withColumn("part", F.coalesce("component", "node"))
     mixed = named.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("h")
     rest = pairs(keep(named.join(mixed, "h", "left_semi"), "mixed"), "part").where("a_part <> b_part").select("a", "b")
-    more = _verified(rest, sets)
+    more = _verified(rest, one, docs, width)
     part = part if more.isEmpty() else parts(links.union(more))
 
-    least = sets.groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    named = least.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = one.select("node", "least_id").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     known = keep(named.join(names, "component").select("node", "component_id"), "names")
     return sets.select("doc_id", "node").join(known, "node").select("doc_id", "component_id")
