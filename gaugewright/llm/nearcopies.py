@@ -51,27 +51,27 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {key}, body long, node long, entries array<long>, odd array<long>")
 
 
-def _first(sets: DataFrame, late: np.ndarray) -> DataFrame:
-    """(h, node, n): the first entries of each set, those in the sorted ``late`` last."""
-    held = sets.sparkSession.sparkContext.broadcast(late)
+def _first(docs: DataFrame, width: int, late: np.ndarray) -> DataFrame:
+    """(h, node, n): the first entries of each text's set, those in the sorted ``late`` last."""
+    held = docs.sparkSession.sparkContext.broadcast(late)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out = []
-                for x in part.column(1):
-                    x = x.values.to_numpy()
-                    if len(held.value):
-                        last = held.value[np.minimum(np.searchsorted(held.value, x), len(held.value) - 1)] == x
-                        x = np.concatenate([x[~last], x[last]])
-                    out.append(x[: len(x) // 5 + 1])
-                sizes = [len(x) for x in part.column(1)]
+                out: list[np.ndarray] = [np.empty(0, np.int64)]
+                names, sizes = [0], [0]
+                for t in batch.column(0).slice(at, 512).to_pylist():
+                    if len(x := shingles(t, width)):
+                        names.append(xxhash.xxh64_intdigest(x.tobytes(), SEED))
+                        sizes.append(len(x))
+                        if len(held.value):
+                            last = held.value[np.minimum(np.searchsorted(held.value, x), len(held.value) - 1)] == x
+                            x = np.concatenate([x[~last], x[last]])
+                        out.append(x[: len(x) // 5 + 1].copy())
                 times = [len(x) for x in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(part.column(0).to_numpy(), times)), pa.array(np.repeat(np.array(sizes, np.int64), times))], ["h", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(np.array(names, np.uint64).view(np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int64), times))], ["h", "node", "n"])
 
-    rows = sets.where(F.size("entries") > 0).select("node", "entries")
-    return rows.mapInArrow(run, "h long, node long, n long").distinct()
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "h long, node long, n long").distinct()
 
 
 def _verified(pairs: DataFrame, one: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -99,9 +99,9 @@ def near_copies(docs: DataFrame, width: int = 5, posting_limit: int = 48) -> Dat
     sets = keep(_sets(docs, width).select("doc_id", "node", "body", F.size("entries").alias("n"), "odd"), "sets")
     one = keep(sets.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("body").alias("body"), F.first("n").alias("n"), F.first("odd").alias("odd")), "distinct")
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    plain = _first(_sets(some, width), np.empty(0, np.int64)).groupBy("h").count().where(F.col("count") > posting_limit // SAMPLE)
+    plain = _first(some, width, np.empty(0, np.int64)).groupBy("h").count().where(F.col("count") > posting_limit // SAMPLE)
     late = np.sort(np.array([r.h for r in plain.orderBy(F.desc("count"), "h").limit(FREQUENT).select("h").collect()], np.int64))
-    first = _first(_sets(docs, width), late)
+    first = _first(docs, width, late)
     first = keep(first, "first")
     lengths = first.groupBy("h").agg(F.count("*").alias("count"), F.min("node").alias("low")).where("count > 1")
     shared = keep(first.join(lengths, "h"), "shared")
