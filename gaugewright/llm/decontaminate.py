@@ -1,9 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
 Windows of ``seed`` words shared by a document and a benchmark text are found by Karp-Rabin hashes that roll over word
-ids. Seeds on one diagonal join into matches; the longest match whose words are still unmarked becomes a tile, overlapped
-ones are cut to their unmarked rest, and so on until no rest has ``seed`` words. The share of the test text under tiles
-decides, so passages that are reordered or interrupted are caught like whole ones.
+ids. Where they could cover enough of the test text, the longest common stretches whose words are still unmarked become
+tiles, and so on with shorter ones until none has ``seed`` words. The share of the test text under tiles decides, so passages
+that are reordered or interrupted are caught like whole ones. Places are kept for the test text only, never pairs of places, so
+texts that repeat one word or line without end cost no more than others.
 
 The benchmark is a stated query set. It is split into blocks of bounded size by a hash; each block's index is sent to
 the executors and meets all documents. Blocks are added as the benchmark grows, documents are never shuffled.
@@ -11,7 +12,6 @@ the executors and meets all documents. Blocks are added as the benchmark grows,
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from math import ceil
@@ -40,43 +40,80 @@ def _hashes(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def tiles(hits: list[tuple[int, int]], least: int, size: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of shared windows (document position, test position) of ``least`` words -> (length, doc, test)."""
-    diagonals: dict[int, list[int]] = defaultdict(list)
-    for d, t in hits:
-        diagonals[d - t].append(t)
-    todo = []
-    for gap, starts in diagonals.items():
-        starts.sort()
-        begin = last = starts[0]
-        for t in [*starts[1:], None]:
-            if t is None or t != last + 1:
-                todo.append((-(last - begin + least), begin + gap, begin))
-                begin = t
-            last = t
-    heapq.heapify(todo)
-    marked, seen, out = bytearray(size), set(), []
-    while todo:
-        length, d, t = heapq.heappop(todo)
-        length = -length
-        free = [not marked[t + k] and d + k not in seen for k in range(length)]
-        if all(free):
-            out.append((length, d, t))
-            marked[t : t + length] = b"\1" * length
-            seen.update(range(d, d + length))
-            continue
-        k = 0
-        while k < length:
-            if not free[k]:
-                k += 1
+def _windows(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of ``width`` ids without a zero, and their hashes."""
+    if len(ids) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    zeros = np.concatenate([[0], np.cumsum(ids == 0)])
+    at = np.flatnonzero(zeros[width:] == zeros[:-width])
+    return at, _rolled(ids, width)[at]
+
+
+def _rolled(ids: np.ndarray, width: int) -> np.ndarray:
+    """As ``_hashes``, in a number of passes that grows with the logarithm of ``width``."""
+    part, size, done, out = ids, 1, 0, None
+    while True:
+        if width & size:
+            n = len(ids) - width + 1
+            out = part[done : done + n] if out is None else out * _power(size) + part[done : done + n]
+            done += size
+        if size * 2 > width:
+            return out
+        part = part[: len(part) - size] * _power(size) + part[size:]
+        size *= 2
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(_RADIX), n, 1 << 64))
+
+
+def tiles(doc: np.ndarray, test: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling of word ids (zeros match nothing) by common windows of ``least`` words or more -> (length, doc, test).
+
+    Running Karp-Rabin: the longest length at which an unmarked window of the one has the hash of one of the other is
+    bisected; windows of that length are compared and marked in order of the document, the first free place of the test text
+    first; then the next length. Only the test text's places are held, never pairs of places.
+    """
+    doc, test = doc.copy(), test.copy()
+    found, most = [], min(len(doc), len(test))
+    while most >= least:
+        low, high = least - 1, most  # a common window of ``low`` is known, unless it is too short
+        while low < high:
+            middle = (low + high + 1) // 2
+            if np.intersect1d(_windows(doc, middle)[1], _windows(test, middle)[1]).size:
+                low = middle
+            else:
+                high = middle - 1
+        most = low
+        if most < least:
+            break
+        places: dict[int, list[int]] = defaultdict(list)
+        for t, h in reversed(list(zip(*(x.tolist() for x in _windows(test, most)), strict=True))):
+            places[h].append(t)
+        at, hashes = _windows(doc, most)
+        hit = np.isin(hashes, np.fromiter(places, np.uint64, len(places)))
+        free, laid = 0, 0
+        for d, h in zip(at[hit].tolist(), hashes[hit].tolist(), strict=True):
+            if d < free or h not in places:
                 continue
-            end = k
-            while end < length and free[end]:
-                end += 1
-            if end - k >= least:
-                heapq.heappush(todo, (k - end, d + k, t + k))
-            k = end
-    return out
+            here = places[h]
+            while here and not test[here[-1] : here[-1] + most].all():
+                here.pop()
+            if not here:
+                del places[h]
+                if not places:
+                    break
+                continue
+            t = here[-1]
+            if np.array_equal(doc[d : d + most], test[t : t + most]):
+                found.append((most, d, t))
+                test[t : t + most] = 0
+                free, laid = d + most, laid + 1
+        for _, d, _ in found[len(found) - laid :]:
+            doc[d : d + most] = 0
+        if not laid:  # equal hashes of unequal words
+            most -= 1
+    return found
 
 
 class Index:
@@ -91,13 +128,20 @@ class Index:
                 self.ids.setdefault(w, len(self.ids) + 1)
         self.coded = [np.array([self.ids[w] for w in words], np.uint64) for words in texts]
         self.seeds: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
+        self.own: dict[int, dict[int, np.ndarray]] = {}  # which of the hashes each item has
         for width in sorted({min(seed, n) for n in self.sizes if n}):
             places: dict[int, list[tuple[int, int]]] = defaultdict(list)
             for k, (n, ids) in enumerate(zip(self.sizes, self.coded, strict=True)):
                 if n and min(seed, n) == width:
                     for at, h in enumerate(_hashes(ids, width).tolist()):
                         places[h].append((k, at))
-            self.seeds[width] = np.array(sorted(places), np.uint64), dict(places)
+            hashes = np.array(sorted(places), np.uint64)
+            own: dict[int, set[int]] = defaultdict(set)
+            for i, h in enumerate(hashes.tolist()):
+                for k, _ in places[h]:
+                    own[k].add(i)
+            self.seeds[width] = hashes, dict(places)
+            self.own[width] = {k: np.array(sorted(x)) for k, x in own.items()}
 
     def matches(self, text: bytes | None, least: float) -> list[tuple]:
         """(item, tiles, matched words, words, coverage) of each test text covered to ``least`` or more."""
@@ -105,29 +149,43 @@ class Index:
         if not words:
             return []
         ids = np.fromiter((self.ids.get(w, 0) for w in words), np.uint64, len(words))
-        known = np.concatenate([[0], np.cumsum(ids != 0)])
         out = []
         for width, (hashes, places) in self.seeds.items():
-            at = np.flatnonzero(known[width:] - known[:-width] == width) if len(words) >= width else []
+            at, rolled = _windows(ids, width)
             if not len(at):
                 continue
-            rolled = _hashes(ids, width)[at]
             near = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
             ok = hashes[near] == rolled
-            hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for d, h in zip(at[ok].tolist(), rolled[ok].tolist(), strict=True):
+            at, shared = at[ok], np.unique(near[ok])
+            starts: dict[int, list[int]] = defaultdict(list)
+            for h in hashes[shared].tolist():
                 for k, t in places[h]:
-                    if np.array_equal(ids[d : d + width], self.coded[k][t : t + width]):
-                        hits[k].append((d, t))
-            for k, found in hits.items():
-                if len({t for _, t in found}) + (width - 1) * len(found) < least * self.sizes[k]:
+                    starts[k].append(t)
+            if not starts:
+                continue
+            near = near[ok]
+            for k, found in starts.items():
+                under = np.zeros(self.sizes[k] + 1, np.int64)
+                np.add.at(under, found, 1)
+                np.add.at(under, np.array(found) + width, -1)
+                if (np.cumsum(under) > 0).sum() < least * self.sizes[k]:  # what tiles can cover at most
                     continue
-                laid = tiles(found, width, self.sizes[k])
+                laid = tiles(self._stretches(ids, at[np.isin(near, self.own[width][k])], width), self.coded[k], width)
                 matched = sum(x[0] for x in laid)
                 if matched >= least * self.sizes[k]:
                     out.append((self.items[k][0], len(laid), matched, self.sizes[k], matched / self.sizes[k]))
         return out
 
+    @staticmethod
+    def _stretches(ids: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """The words under windows ``at``, with one zero between stretches."""
+        under = np.zeros(len(ids) + 1, np.int64)
+        np.add.at(under, at, 1)
+        np.add.at(under, at + width, -1)
+        inside = np.cumsum(under)[:-1] > 0
+        edge = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        return np.insert(ids[inside], np.cumsum(inside)[edge] - 1, 0) if len(edge) else ids[inside]
+
 
 def indexes(benchmark: DataFrame, seed: int) -> Iterator[Index]:
     """The benchmark's blocks, one after the other; each distinct (item_id, text) once."""
@@ -144,7 +202,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, least: float = 0
 
     A row per document row and test text whose coverage is ``least`` or more. Texts shorter than ``seed`` words must be
     found whole; texts without words, null or empty, match nothing. Repeated document rows give repeated results,
-    repeated benchmark rows count once. Null ids are kept. Other columns are ignored; whole texts are read.
+    repeated benchmark rows count once. Null ids are kept. Other columns are ignored; whole texts are read, very long or
+    repetitive ones in memory that grows with their words. An empty table on either side gives no rows.
     """
     keys = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {keys[0]}, item_id {keys[1]}, tiles long, matched long, words long, coverage double"
@@ -170,7 +229,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, least: float = 0
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, seed: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, that no test text covers; documents pass once per block and are never shuffled."""
+    """The rows of docs, all columns, that no test text covers; documents pass once per block and are never shuffled.
+
+    Null and empty texts stay; repeated rows share their fate; an empty benchmark drops nothing.
+    """
     for index in indexes(benchmark, seed):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:

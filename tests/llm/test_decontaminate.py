@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from gaugewright.llm import decontaminate as d
 
 DOCS, ITEMS = "doc_id long, text string, item_id string, body string", "item_id long, text string, doc_id string"
@@ -90,3 +92,19 @@ def test_empty(spark):
     assert d.leaks(docs, bench).count() == 0
     assert d.leaks(spark.createDataFrame([(1, "a", "", "")], DOCS), bench).count() == 0
     assert d.clean(spark.createDataFrame([(1, "a", "", "")], DOCS), bench).count() == 1
+
+
+def test_tiles_of_repetitive_words():
+    rng = random.Random(4)
+    for _ in range(300):
+        doc, test = ([rng.randint(1, 3) for _ in range(rng.randint(1, 30))] for _ in range(2))
+        least = rng.randint(1, 4)
+        got = d.tiles(np.array(doc, np.uint64), np.array(test, np.uint64), least)
+        assert sum(n for n, *_ in got) == plain_tiles(doc, test, least)
+        assert all(doc[a : a + n] == test[b : b + n] for n, a, b in got)
+
+
+def test_very_long_repetitive_text(spark):
+    bench = spark.createDataFrame([(1, "the " * 200), (2, "the end " * 100)], "item_id int, text string")
+    docs = spark.createDataFrame([(5, "the " * 300000), (6, "an end, " * 50000), (7, "the the end " * 3000)], "doc_id int, text string")
+    assert result(d.leaks(docs, bench)) == [("5", "1", 200, 200)]
