@@ -19,7 +19,7 @@ def _digest(edges: DataFrame) -> tuple:
 def _star(links: DataFrame) -> DataFrame:
     """links(u, v): connect every larger neighbour v of u to the smallest node next to u."""
     least = links.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
-    return links.join(least, "u")
+    return links.hint("merge").join(least, "u")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
