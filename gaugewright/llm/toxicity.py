@@ -1,27 +1,28 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
-Examples are a bounded, hash-picked sample of each label. Their terms are the words and stems that tell the labels
-apart (chi-squared over the examples); document frequencies are counted over the whole corpus. The index keeps, for every term and block of
-examples, the largest weight: the dot product with the query bounds every cosine of the block, so blocks are opened in
-order of their bound until none can hold a nearer example. Nothing is approximated. Votes of the nearest examples are
-weighted by squared cosine against a fixed weight for "no evidence", and a logistic map fitted on a bounded sample with
-the labels' own proportions makes the vote a calibrated probability.
+Examples are a bounded, hash-picked sample of each label. Every word of theirs is a term; document frequencies are counted
+over the whole corpus, and a term's weight is multiplied by how unevenly the labels hold it (smoothed log odds, never
+zero), so that words which tell nothing about the label do not decide which examples are near. The index holds, for every
+term, its postings by blocks of examples and each block's largest weight: the query's dot product with those bounds every
+cosine of a block, so blocks are opened in order of their bound until none can hold a nearer example. Nothing is
+approximated. Votes of the nearest examples are weighted by squared cosine against a fixed weight for "no evidence", and a
+logistic map fitted on a bounded sample with the labels' own proportions makes the vote a calibrated probability.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import bounded_sample, keep
 
-BLOCK = 256
+BLOCK = 64
 _CLASSES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -29,93 +30,85 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_CLASSES).split() if text else []
 
 
-def terms_of(words: Counter) -> Counter:
-    """Words and the stems that stand for unseen endings: their first four and six bytes, marked with a star."""
-    out = Counter(words)
-    for w, n in words.items():
-        for size in (4, 6):
-            if len(w) > size:
-                out[w[:size] + b"*"] += n
-    return out
-
-
-class Hits:
-    """Finds the words of a text that belong to a vocabulary by themselves or by their stem."""
-
-    def __init__(self, vocabulary) -> None:
-        self.whole = frozenset(vocabulary)
-        self.short, self.long = (frozenset(w[:-1] for w in vocabulary if len(w) == size + 1 and w.endswith(b"*")) for size in (4, 6))
-
-    def __call__(self, words: list[bytes]) -> Counter:
-        """Counts of the vocabulary's terms."""
-        distinct, short, long = set(words), self.short, self.long
-        found = (distinct & self.whole) | {w for w in distinct if w[:4] in short or w[:6] in long}
-        if not found:
-            return Counter()
-        terms = terms_of(Counter(w for w in words if w in found))
-        return Counter({t: terms[t] for t in terms.keys() & self.whole})
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The integers of several ranges, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
 class BlockMax:
     """Inverted index of unit example vectors, in blocks of similar ones."""
 
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[dict[int, float]], terms: int) -> None:
-        order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t), default=-1), i))
-        self.ids, self.labels = [ids[i] for i in order], np.array([labels[i] for i in order], float)
-        blocks = ceil(len(ids) / BLOCK)
-        self.peak = np.zeros((terms, blocks), np.float32)
-        self.local = np.full((blocks, terms), -1, np.int32)
-        self.weights: list[np.ndarray] = []
-        for b in range(blocks):
-            rows = [vectors[i] for i in order[b * BLOCK : (b + 1) * BLOCK]]
-            own = sorted({t for r in rows for t in r})
-            self.local[b, own] = np.arange(len(own))
-            w = np.zeros((len(own), len(rows)), np.float32)
-            for j, r in enumerate(rows):
-                for t, x in r.items():
-                    w[self.local[b, t], j] = x
-            self.weights.append(w)
-            self.peak[own, b] = w.max(axis=1, initial=0)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> list[tuple[float, int]]:
+    def __init__(self, ids: list, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
+        """``rows``: (terms, weights) of each example."""
+        strongest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in rows]
+        order = sorted(range(len(rows)), key=lambda i: (strongest[i], i))
+        self.ids, self.labels = [ids[i] for i in order], np.asarray(labels, float)[order]
+        sizes = np.array([len(rows[i][0]) for i in order], np.int64)
+        terms = np.concatenate([np.zeros(0, np.int64), *(rows[i][0] for i in order)]).astype(np.int64)
+        weights = np.concatenate([np.zeros(0, np.float32), *(rows[i][1] for i in order)]).astype(np.float32)
+        by_term = np.argsort(terms, kind="stable")
+        self.row, self.weight = np.repeat(np.arange(len(order), dtype=np.int32), sizes)[by_term], weights[by_term]
+        terms, block = terms[by_term], self.row // BLOCK
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        self.first = np.append(np.flatnonzero(new), len(terms))  # of each (term, block), its postings
+        self.block = block[self.first[:-1]]
+        self.peak = np.maximum.reduceat(self.weight, self.first[:-1]) if len(terms) else np.zeros(0, np.float32)
+        self.entry = np.searchsorted(terms[self.first[:-1]], np.arange(n_terms + 1))  # of each term, its blocks
+        self.blocks = ceil(len(order) / BLOCK)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip=None) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine, ties by position; ``skip`` leaves out examples with that id."""
-        if not len(terms):
+        lengths = self.entry[terms + 1] - self.entry[terms]
+        at, q = _ranges(self.entry[terms], lengths), np.repeat(weights, lengths)
+        if not len(at):
             return []
-        bound = weights @ self.peak[terms]
+        bound = np.bincount(self.block[at], q * self.peak[at], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        bound, place = bound[order], np.empty(self.blocks, np.int64)
+        place[order] = np.arange(self.blocks)
+        rank = place[self.block[at]]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-6):
-                break
-            at = self.local[b, terms]
-            on = at >= 0
-            cos = weights[on] @ self.weights[b][at[on]]
+        begin, step = 0, 2
+        while begin < self.blocks and bound[begin] > 0 and (len(best) < k or bound[begin] >= -best[-1][0] - 1e-6):
+            here = (rank >= begin) & (rank < begin + step)
+            own = at[here]
+            size = self.first[own + 1] - self.first[own]
+            post = _ranges(self.first[own], size)
+            cos = np.bincount(self.row[post], self.weight[post] * np.repeat(q[here], size))
             least = -best[-1][0] if len(best) == k else 0
             found = np.flatnonzero((cos > 0) & (cos >= least))
             if len(found) > 4 * k:  # ties of the last one wanted stay; one more for the row left out
                 found = found[cos[found] >= np.partition(cos[found], -k - 1)[-k - 1]]
-            best += [(-float(cos[j]), b * BLOCK + j) for j in found.tolist() if skip is None or self.ids[b * BLOCK + j] != skip]
-            best = sorted(best)[:k]
+            best = sorted(best + [(-float(cos[j]), j) for j in found.tolist() if skip is None or self.ids[j] != skip])[:k]
+            begin, step = begin + step, step * 2
         return [(-c, i) for c, i in best]
 
 
 class Model:
-    def __init__(self, vocabulary: list[bytes], idf: np.ndarray, examples: list[tuple], neighbours: int, doubt: float) -> None:
-        self.at, self.idf, self.k, self.doubt = {w: i for i, w in enumerate(vocabulary)}, idf, neighbours, doubt
-        vectors = [dict(zip(*(x.tolist() for x in self.vector(dict(tf))), strict=True)) for _, _, tf in examples]
-        self.index = BlockMax([e[0] for e in examples], [e[1] for e in examples], vectors, len(vocabulary))
+    """Vectors over the examples' terms, their index, and the map from votes to scores."""
+
+    def __init__(self, vocabulary: list[bytes], factor: np.ndarray, neighbours: int, doubt: float) -> None:
+        self.at, self.factor, self.k, self.doubt = {w: i for i, w in enumerate(vocabulary)}, factor, neighbours, doubt
         self.slope, self.shift = 1.0, 0.0
 
-    def vector(self, tf: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    def learn(self, examples: list[tuple]) -> None:
+        """examples: (id, label, terms, counts)."""
+        self.index = BlockMax([e[0] for e in examples], np.array([e[1] for e in examples]), [self.weighed(e[2], e[3]) for e in examples], len(self.at))
+
+    def weighed(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.factor[terms]
+        norm = float(np.sqrt(w @ w))
+        return terms, (w / norm if norm else w).astype(np.float32)
+
+    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF vector as (terms, weights)."""
-        terms = sorted(self.at[w] for w in tf.keys() & self.at.keys())
-        if not terms:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        names = {self.at[w]: n for w, n in tf.items() if w in self.at}
-        w = np.array([1 + log(names[t]) for t in terms]) * self.idf[terms]
-        return np.array(terms), (w / np.sqrt(w @ w)).astype(np.float32)
-
-    def vote(self, tf: dict[bytes, int], skip: int | None = None) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(*self.vector(tf), self.k, skip)
+        found = np.fromiter((i for w in words if (i := self.at.get(w)) is not None), np.int64)
+        return self.weighed(*np.unique(found, return_counts=True))
+
+    def vote(self, words: list[bytes], skip=None) -> tuple[float, list[tuple[float, int]]]:
+        near = self.index.nearest(*self.vector(words), self.k, skip)
         weight = [c * c for c, _ in near]
         return sum(w * self.index.labels[i] for w, (_, i) in zip(weight, near, strict=True)) / (sum(weight) + self.doubt), near
 
@@ -136,83 +129,94 @@ class Model:
         self.slope, self.shift = max(float(beta[0]), 1e-6), float(beta[1])
 
 
-def _term_counts(rows: DataFrame) -> DataFrame:
-    """(doc_id, toxic, example, calibrate, text) -> the same with ``terms`` and ``tf`` in place of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [terms_of(Counter(words_of(t))) for t in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array([list(c) for c in counts], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))],
-                ["doc_id", "toxic", "example", "calibrate", "terms", "tf"],
-            )
-
-    key = rows.schema["doc_id"].dataType.simpleString()
-    body = rows.withColumn("text", F.col("text").cast("binary"))
-    return body.mapInArrow(run, f"doc_id {key}, toxic int, example boolean, calibrate boolean, terms array<binary>, tf array<long>")
+def _sample(corpus: DataFrame, labelled: DataFrame, per_label: int, calibration: int) -> DataFrame:
+    """(doc_id, toxic, example, calibrate, body), written: bounded samples of each label and of all labelled rows."""
+    known = keep(labelled.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "known")
+    each = bounded_sample(known, "toxic", per_label, "toxicity").select("doc_id", F.lit(True).alias("example"))
+    some = bounded_sample(known, None, calibration, "calibration").select("doc_id", F.lit(True).alias("calibrate"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    ids = known.join(each.join(some, "doc_id", "full"), "doc_id").select("doc_id", "toxic", flag("example"), flag("calibrate"))
+    return keep(corpus.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "example", "calibrate", F.col("text").cast("binary").alias("body")), "sample")  # ids of the bounded samples
 
 
-def fit(corpus: DataFrame, labelled: DataFrame, per_label: int = 2048, calibration: int = 4096, terms: int = 4096, chi2: float = 15.0, neighbours: int = 10, doubt: float = 0.05) -> Model | float:
+def fit(corpus: DataFrame, labelled: DataFrame, per_label: int = 2048, calibration: int = 4096, neighbours: int = 10, doubt: float = 0.05, smooth: float = 5.0) -> Model | float:
     """corpus(doc_id, text), labelled(doc_id, toxic) -> model; the plain share of label 1 (0 without labels) where it is one-sided.
 
-    Fitted on at most ``per_label`` examples of each label and ``calibration`` rows; document frequencies are of all rows.
+    Fitted on at most ``per_label`` examples of each label and ``calibration`` rows, both hash-picked; all their words are
+    terms, and document frequencies are of all rows. Documents with a null id or label are not learned from; of a
+    document's several labels the largest counts.
     """
-    known = labelled.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    pick = F.xxhash64(F.lit("toxicity"), "doc_id")
-    each = known.withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy(pick, "doc_id"))).where(F.col("rank") <= per_label).select("doc_id", F.lit(True).alias("example"))
-    some = known.orderBy(F.xxhash64(F.lit("calibration"), "doc_id"), "doc_id").limit(calibration).select("doc_id", F.lit(True).alias("calibrate"))
-    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    ids = known.join(F.broadcast(each.join(some, "doc_id", "full")), "doc_id").select("doc_id", "toxic", flag("example"), flag("calibrate"))
-    texts = corpus.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "example", "calibrate", "text")
-    sample = keep(_term_counts(texts), "sample")
+    sample = _sample(corpus, labelled, per_label, calibration)
     size = {r.toxic: r.n for r in sample.where("example").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
         return float(bool(n1))
-    by_term = sample.where("example").select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-    a, b = F.col("a"), F.col("n") - F.col("a")
-    strength = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (F.col("n") * (n0 + n1 - F.col("n")) * float(n0) * n1)
-    chosen = by_term.where(f"n >= 3 and n < {n0 + n1}").withColumn("chi2", strength).where(F.col("chi2") >= chi2).orderBy(F.desc("chi2"), "term").limit(terms)
-    vocabulary = [bytes(r.term) for r in chosen.select("term").collect()]
-    wanted = Hits(vocabulary)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = Counter(), Counter()
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (own if toxic else other).update(set(words_of(text)))
+            terms = list(own.keys() | other.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array([own[t] for t in terms], pa.int64()), pa.array([other[t] for t in terms], pa.int64())], ["term", "a", "b"])
+
+    held = sample.where("example").select("toxic", "body").mapInArrow(distinct, "term binary, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).orderBy("term").toArrow()
+    vocabulary = held.column("term").to_pylist()
+    a, b = (held.column(c).to_numpy() for c in "ab")
+    number = {w: i for i, w in enumerate(vocabulary)}
+    sent = corpus.sparkSession.sparkContext.broadcast(number)  # the words of the bounded sample
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = Counter(), 0
+        df, n, get = np.zeros(len(sent.value), np.int64), 0, sent.value.get
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0).to_pylist():
-                df.update(wanted(words_of(text)).keys())
-        yield pa.RecordBatch.from_arrays([pa.array([*df, None], pa.binary()), pa.array([*df.values(), n], pa.int64())], ["term", "df"])
+                found = [i for w in set(words_of(text)) if (i := get(w)) is not None]
+                df[found] += 1
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(df[seen], n), pa.int64())], ["term", "df"])
+
+    counted = corpus.select(F.col("text").cast("binary").alias("body")).mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    at, n = counted.column("term").to_numpy(), counted.column("df").to_numpy()
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    df[at] = n  # the number of rows comes last, as -1
+    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.01
+    odds = np.log((a + smooth) / (n1 + 2 * smooth)) - np.log((b + smooth) / (n0 + 2 * smooth))
+    model = Model(vocabulary, idf * (0.01 + odds * odds), neighbours, doubt)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = sent.value.get
+        for batch in batches:
+            found = [np.unique(np.array([i for w in words_of(t) if (i := get(w)) is not None], np.int32), return_counts=True) for t in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in range(2))], ["doc_id", "toxic", "example", "calibrate", "terms", "counts"])
 
-    counted = corpus.select(F.col("text").cast("binary").alias("body")).mapInArrow(frequencies, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
-    df = {r.term and bytes(r.term): r.df for r in counted}
-    idf = np.array([log((df[None] + 1) / (df.get(w, 0) + 1)) + 0.01 for w in vocabulary])
+    key = sample.schema["doc_id"].dataType.simpleString()
+    examples = sample.where("example").mapInArrow(coded, f"doc_id {key}, toxic int, example boolean, calibrate boolean, terms array<int>, counts array<int>").orderBy("doc_id", "terms", "counts").toArrow()
+    ids, labels, terms, counts = (examples.column(c) for c in ("doc_id", "toxic", "terms", "counts"))
+    model.learn([(ids[i].as_py(), labels[i].as_py(), np.asarray(terms[i].values, np.int64), np.asarray(counts[i].values, np.int64)) for i in range(examples.num_rows)])
+    judged = corpus.sparkSession.sparkContext.broadcast(model)
 
-    def restricted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[(w, n) for w, n in zip(*x, strict=True) if w in wanted.whole] for x in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array([[w for w, _ in x] for x in found], pa.list_(pa.binary())), pa.array([[n for _, n in x] for x in found], pa.list_(pa.int64()))], batch.schema.names
-            )
+            found = [judged.value.vote(words_of(t), i)[0] for i, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], ["vote", "toxic"])
 
-    rows = sample.mapInArrow(restricted, sample.schema).orderBy("doc_id").collect()
-    counts = [(r, [(bytes(w), n) for w, n in zip(r.terms, r.tf, strict=True)]) for r in rows]
-    model = Model(vocabulary, idf, [(r.doc_id, r.toxic, tf) for r, tf in counts if r.example], neighbours, doubt)
-    own = [(model.vote(dict(tf), r.doc_id)[0], r.toxic) for r, tf in counts if r.calibrate]
-    model.calibrate(np.array([v for v, _ in own]), np.array([y for _, y in own], float))
+    own = sample.where("calibrate").select("doc_id", "toxic", "body").mapInArrow(votes, "vote double, toxic int").orderBy("vote", "toxic").toArrow()
+    model.calibrate(own.column("vote").to_numpy(), own.column("toxic").to_numpy().astype(float))
     return model
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, score, predicted, evidence), one row per input row.
 
-    ``evidence`` lists id:label:cosine of the three nearest examples. Null and empty texts have no evidence and get the
-    score of an empty vote. Whole texts are read; repeated rows and null ids are kept; other columns are ignored.
+    ``evidence`` lists id:label:cosine of the three nearest examples. Null and empty texts and those without a word of the
+    examples have no evidence and get the score of an empty vote. Ties go to the first example in the index's order. Whole
+    texts are read, however long; repeated rows and null ids are kept; other columns are ignored.
     """
-
-    hits = None if isinstance(model, float) else Hits(list(model.at))
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column(1).to_pylist():
@@ -220,7 +224,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
                     scores.append(model)
                     evidence.append("")
                     continue
-                vote, near = model.vote(hits(words_of(text)))
+                vote, near = model.vote(words_of(text))
                 scores.append(model.score(vote))
                 evidence.append(",".join(f"{model.index.ids[i]}:{int(model.index.labels[i])}:{c:.3f}" for c, i in near[:3]))
             yield pa.RecordBatch.from_arrays(
@@ -237,7 +241,11 @@ def fold(column: str = "doc_id"):
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from the labelled rows that are not held out, score all -> (doc_id, held_out, score, predicted, evidence)."""
+    """Learn from the labelled rows that are not held out, score all -> (doc_id, held_out, score, predicted, evidence).
+
+    A row per row of docs; null, empty, long and repeated texts are treated as ``score`` says, null and repeated labels as
+    ``fit`` says; a null id is not held out. Without labels of both kinds every score is the share of label 1.
+    """
     rows = docs.select("doc_id", "text")
     model = fit(rows, labels.select("doc_id", "toxic").where(fold() != 0))
     return score(rows, model).select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")

@@ -1,5 +1,6 @@
 """Toxicity: exact neighbours against brute force, held-out ranking, edge cases."""
 
+import math
 import zlib
 from collections import Counter
 
@@ -13,14 +14,15 @@ SCHEMA = "doc_id long, text string, lang string, score double"
 def test_block_max_is_exact():
     rng = np.random.default_rng(1)
     vectors = []
-    for _ in range(500):
+    for _ in range(900):
         v = {int(t): float(x) for t, x in zip(rng.choice(80, rng.integers(1, 12), replace=False), rng.random(12) + 0.01, strict=False)}
         norm = sum(x * x for x in v.values()) ** 0.5
-        vectors.append({t: x / norm for t, x in v.items()})
-    index = toxicity.BlockMax(list(range(500)), [0] * 500, vectors, 80)
+        vectors.append({t: x / norm for t, x in sorted(v.items())})
+    rows = [(np.array(list(v), np.int64), np.array(list(v.values()), np.float32)) for v in vectors]
+    index = toxicity.BlockMax(list(range(900)), np.zeros(900), rows, 80)
+    assert index.blocks > 10
     for q in vectors[:60]:
-        terms = sorted(q)
-        near = index.nearest(np.array(terms), np.array([q[t] for t in terms], np.float32), 7)
+        near = index.nearest(np.array(list(q), np.int64), np.array(list(q.values()), np.float32), 7)
         true = sorted((sum(q[t] * v.get(t, 0) for t in q) for v in vectors), reverse=True)[:7]
         assert np.allclose([c for c, _ in near], true[: len(near)], atol=1e-5)
         assert len(near) == sum(x > 0 for x in true)
@@ -28,6 +30,38 @@ def test_block_max_is_exact():
             assert abs(sum(q[t] * vectors[index.ids[i]].get(t, 0) for t in q) - c) < 1e-5
 
 
+def test_scores_are_votes_of_the_nearest_by_brute_force(spark):
+    """The whole small table: plain vectors over all words of the examples, all cosines, the k largest."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: Counter(toxicity.words_of((r.text or "").encode())) for r in docs.collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts}
+    n = [sum(y == k for y in known.values()) for k in (0, 1)]
+    assert min(n) > 3
+    by = [Counter(w for i, y in known.items() if y == k for w in texts[i]) for k in (0, 1)]
+    df = Counter(w for t in texts.values() for w in t)
+    odds = {w: math.log((by[1][w] + 5) / (n[1] + 10)) - math.log((by[0][w] + 5) / (n[0] + 10)) for w in by[0].keys() | by[1].keys()}
+    factor = {w: (math.log((len(texts) + 1) / (df[w] + 1)) + 0.01) * (0.01 + x * x) for w, x in odds.items()}
+
+    def vector(counts):
+        v = {w: (1 + math.log(c)) * factor[w] for w, c in counts.items() if w in factor}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()} if norm else {}
+
+    examples = {i: vector(texts[i]) for i in known}
+    model = toxicity.fit(docs, labels.where(toxicity.fold() != 0))
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    assert len(got) == len(texts)
+    for doc_id, counts in texts.items():
+        q = vector(counts)
+        near = sorted(((sum(x * v.get(w, 0) for w, x in q.items()), i) for i, v in examples.items()), reverse=True)[:10]
+        near = [(c, i) for c, i in near if c > 0]
+        vote = sum(c * c * known[i] for c, i in near) / (sum(c * c for c, _ in near) + 0.05)
+        shown = [float(x.rsplit(":", 1)[1]) for x in got[doc_id].evidence.split(",") if x]
+        assert np.allclose(shown, [c for c, _ in near[:3]], atol=2e-3)
+        assert abs(got[doc_id].score - model.score(vote)) < 1e-3
+    assert sum(r.evidence == "" for r in got.values()) <= 0.02 * len(got)
+
+
 def made():
     mild, rude = ["sun", "tree", "river", "stone"], ["zork", "blarg", "snik"]
     rng = np.random.default_rng(2)
