@@ -1,7 +1,6 @@
 """Mixing: totals meet targets, rates match a reference solver, posteriors hold out, edge cases."""
 
 import numpy as np
-import pytest
 
 from gaugewright.llm import mixing
 
@@ -43,7 +42,7 @@ def test_rates_match_a_plain_solver(spark):
     w = rng.integers(1, 50, 60)
     members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(w, p, strict=True)], "mix_tokens long, mix_p array<double>")
     targets = [0.7, 0.3, 0.0]
-    got = mixing.fit_rates(members, targets, ridge=0.01, steps=300, tolerance=1e-12).at(p)[0]
+    got = mixing.fit_rates(members, targets, ridge=0.01, steps=300, tolerance=1e-12, even=False).at(p)[0]
     share, r = w / w.sum(), np.ones(60)
     for _ in range(100000):
         error = (share * r) @ p - targets
@@ -52,13 +51,54 @@ def test_rates_match_a_plain_solver(spark):
     assert (r == 0).any()
 
 
+def test_rare_domains_meet_their_targets(spark):
+    rng = np.random.default_rng(7)
+    hard = [[0.99, 0.0, 0.01] if i % 250 else [0.0, 1.0, 0.0] for i in range(2000)]
+    members = spark.createDataFrame([(int(w), x) for w, x in zip(rng.integers(20, 60, 2000), hard, strict=True)], "mix_tokens long, mix_p array<double>")
+    got = mixing.fit_rates(members, [0.9, 0.05, 0.01])
+    assert np.abs(got.totals - [0.9, 0.05, 0.01]).max() < 0.002
+    assert len(got.history) < 40
+
+
+def test_posteriors_match_a_plain_sum(spark):
+    rows, labels = made(60)
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, domain string")
+    model = mixing.fit_posterior(docs, known, chi2=1.0)
+    assert model.domains == ["a", "b", "c"] and len(model.at) > 3
+    for r in mixing.posteriors(docs.select("doc_id", "text"), model).collect():
+        z = [model.weights[-1][k] + sum(model.weights[i][k] for f, i in model.at.items() if f in mixing.features(r.text.encode())) for k in range(3)]
+        p = np.exp(np.array(z) - max(z))
+        assert np.allclose(r.mix_p, p / p.sum()) and r.mix_tokens == len(r.text.split())
+
+
 def test_no_labels_and_no_documents(spark):
-    docs = spark.createDataFrame([(1, "a", "", "")], SCHEMA)
-    with pytest.raises(ValueError, match="labelled"):
-        mixing.mix(docs, spark.createDataFrame([], "doc_id long, domain string"), {})
+    docs = spark.createDataFrame([(1, "a", "", ""), (2, None, "", "")], SCHEMA)
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    for r in mixing.mix(docs, none, {"x": 0.5, "y": 0.25}).collect():
+        assert (r.p_x, r.p_y) == (0.5, 0.5)
+    assert [r.rate for r in mixing.mix(docs, none, {}).collect()] == [1.0, 1.0]
+    docs = docs.where("doc_id = 1")
     known = spark.createDataFrame([(1, "a")], "doc_id long, domain string")
     assert mixing.mix(docs.where("false"), known, {"a": 1.0}).count() == 0
     (row,) = mixing.mix(docs, known, {"a": 1.0}).collect()
     assert abs(row.rate - 1) < 1e-6
     (row,) = mixing.mix(docs, spark.createDataFrame([(7, "a"), (8, "a"), (9, "b"), (6, "a")], "doc_id long, domain string"), {"a": 1.0}).collect()
     assert abs(row.p_a - 0.75) < 1e-9
+
+
+def test_domains_of_other_types_and_names(spark):
+    rows, labels = made(60)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mix(docs, spark.createDataFrame([(i, "abc".index(d)) for i, d in labels], "doc_id long, domain int"), {"0": 0.5, "1": 0.25, "2": 0.25})
+    assert {"p_0", "p_1", "p_2"} <= set(out.columns) and out.count() == 60
+    names = {"a": "feature", "b": "n", "c": "rate.x`y"}
+    out = mixing.mix(docs, spark.createDataFrame([(i, names[d]) for i, d in labels], "doc_id long, domain string"), {"feature": 0.4, "n": 0.3, "rate.x`y": 0.3})
+    assert {"p_feature", "p_n", "p_rate.x`y"} <= set(out.columns) and out.count() == 60
+
+
+def test_reached_totals(spark):
+    rows, labels = made()
+    targets = {"a": 0.3, "b": 0.3, "c": 0.4}
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, domain string"), targets)
+    for r in mixing.reached(out, targets).collect():
+        assert r.target == targets[r.domain] and abs(r.total - r.target) < 0.01
