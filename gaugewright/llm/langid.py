@@ -13,9 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample, keep
+
 UNKNOWN = "und"
 _BASE = 91
 #: Byte classes: letters a-z, bytes of non-ASCII characters by their low six bits, everything else a blank.
@@ -68,15 +70,15 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndar
 
 
 def sample_labelled(labelled: DataFrame, per_lang: int) -> DataFrame:
-    """At most ``per_lang`` rows (lang, text) of each language, picked by a hash of the id; ranks are cut before any shuffle."""
-    order = Window.partitionBy("lang").orderBy("pick", "doc_id")
-    ids = labelled.select("lang", "doc_id", F.xxhash64(F.lit("langid"), "doc_id").alias("pick")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
-    return labelled.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
+    """At most ``per_lang`` rows (lang, text) of each language, picked by a hash of the id."""
+    ids = bounded_sample(labelled.select("lang", "doc_id"), "lang", per_lang, "langid")
+    return labelled.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")  # ids of the bounded sample
 
 
 def fit(labelled: DataFrame, per_lang: int = 400, features: int = 3000, clusters: int = 4, slack: float = 0.35) -> Model | None:
     """labelled(doc_id, lang, text) -> model, from at most ``per_lang`` texts a language; None if nothing is labelled."""
-    sample = sample_labelled(labelled.where("lang is not null and text is not null"), per_lang).repartition("lang", F.pmod(F.xxhash64("text"), F.lit(8))).cache()
+    sample = sample_labelled(labelled.where("lang is not null and text is not null"), per_lang)
+    sample = keep(sample, "sample")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(_BASE**3, np.int64)
@@ -92,7 +94,6 @@ def fit(labelled: DataFrame, per_lang: int = 400, features: int = 3000, clusters
     top = counts.where("code <> 0").orderBy(F.expr("code = -1").desc(), F.desc("df"), "code").limit(features + 1).collect()
     total = next((r.df for r in top if r.code == -1), 0)
     if not total:
-        sample.unpersist()
         return None
     picked = [r for r in top if r.code != -1]
     codes = np.array([r.code for r in picked], np.int64)
@@ -104,7 +105,6 @@ def fit(labelled: DataFrame, per_lang: int = 400, features: int = 3000, clusters
         return pd.DataFrame({"lang": pdf.lang.iloc[0], "centroid": [row.tobytes() for row in c], "floor": slack * float(np.quantile(best, 0.01))})
 
     rows = sample.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, floor double").orderBy("lang", "centroid").collect()
-    sample.unpersist()
     return Model(codes, idf, [r.lang for r in rows], np.array([np.frombuffer(r.centroid, np.float32) for r in rows]), np.array([r.floor for r in rows]))
 
 

@@ -1,6 +1,10 @@
 """Language identification: held-out accuracy and edge cases."""
 
+import math
 import zlib
+from collections import Counter
+
+import numpy as np
 
 from gaugewright.llm import langid
 
@@ -32,3 +36,28 @@ def test_nothing_to_learn(spark):
     rows = [(1, "abc", None)]
     assert [(r.lang_pred, r.rejected) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()] == [("und", True)]
     assert langid.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def trigrams(text):
+    """Counts of byte trigrams: letters a-z and bytes of other letters by their low six bits, the rest a blank."""
+    marks = [b - 96 if 97 <= b <= 122 else 27 + (b & 63) if b >= 128 else 0 for b in f" {text.lower()} ".encode()]
+    return Counter(zip(marks, marks[1:], marks[2:], strict=False))
+
+
+def test_whole_small_table_against_plain_cosines(spark):
+    """Every prediction and score from plain vectors, all centroids compared one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs.where(langid.fold() != 1))
+    names = [(c // 91**2, c // 91 % 91, c % 91) for c in model.codes.tolist()]
+    assert len(set(model.langs)) == 4 and len(model.langs) > 8
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.identify(docs).collect():
+        tf = trigrams(texts[r.doc_id])
+        v = [math.log1p(tf[n]) * float(w) for n, w in zip(names, model.idf, strict=True)]
+        norm = math.sqrt(sum(x * x for x in v))
+        cosines = [sum(x * float(y) for x, y in zip(v, c, strict=True)) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda k: cosines[k])
+        assert abs(r.score - min(max(cosines[best], 0), 1)) < 1e-4
+        assert r.lang_pred == model.langs[best] or max(c for c, x in zip(cosines, model.langs, strict=True) if x == r.lang_pred) > cosines[best] - 1e-5
+        assert r.rejected == bool(r.score < model.floors[best])
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4)
