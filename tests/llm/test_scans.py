@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 
+import pytest
+import regex
+
 from gaugewright.llm import licenses, secrets
 
 SCHEMA = "doc_id long, text string, kind string, start int"
@@ -83,6 +86,67 @@ def test_license_templates(spark):
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect()}
     assert got[1].labels == "gpl,gpl-3.0" and got[1].matches == "gpl-3.0:1:13"
     assert got[2].matches == "gpl-3.0:0:20"
-    assert got[3].labels == "gpl" and got[3].score == 0.5
-    assert got[4].labels == "apache,apache-2.0" and got[4].score == 1.0
+    assert got[3].labels == "gpl" and got[3].score == 3 / 7
+    assert got[4].labels == "apache,apache-2.0" and got[4].score == 8 / 12
     assert got[5].labels == "" and got[5].score == 0.0
+
+
+def plain_match(template, words):
+    """First place where the markup, expanded into all its wordings, stands; the longest there."""
+    tokens = re.findall(r"\[\[|\]\]|\(\(|\)\)|\||\{\{\d+-\d+\}\}|[^\s\[\]{}()|]+", template)
+
+    def pattern():
+        out = []
+        for t in tokens:
+            if t == "[[" or t == "((":
+                out.append("(?:")
+            elif t == "]]":
+                out.append(")?")
+            elif t == "))":
+                out.append(")")
+            elif t == "|":
+                out.append("|")
+            elif t.startswith("{{"):
+                low, high = t[2:-2].split("-")
+                out.append(r"(?:\S+ ){%s,%s}" % (low, high))
+            else:
+                out.append(re.escape(t) + " ")
+        return "".join(out)
+
+    text = " ".join(words) + " "
+    m = regex.compile(r"(?<!\S)(?:" + pattern() + ")", regex.POSIX).search(text)  # leftmost, then longest
+    return (text[: m.start()].count(" "), text[: m.end()].count(" ")) if m else None
+
+
+def full_text(label, rng):
+    """A wording of a template: optional regions at random, replaceable ones filled."""
+    flat = licenses.TEMPLATES[label]
+    while "[[" in flat:
+        flat = re.sub(r"\[\[([^\[\]]*)\]\]", lambda m: m[1] if rng.random() < 0.5 else " ", flat)
+    flat = re.sub(r"\(\((.*?)\)\)", lambda m: rng.choice(m[1].split("|")), flat)
+    return re.sub(r"\{\{(\d+)-(\d+)\}\}", lambda m: " ".join(rng.choice(["some", "names", "here"]) for _ in range(rng.randint(int(m[1]), int(m[2])))), flat)
+
+
+def test_every_template_against_plain_patterns(spark):
+    """Whole wordings are accepted wherever they stand; one mandatory word changed or left out is not."""
+    rng, rows = random.Random(3), []
+    for label in licenses.TEMPLATES:
+        for _ in range(4):
+            words = full_text(label, rng).split()
+            rows.append(" ".join(["before", *words, "after"]))
+            k = rng.randrange(len(words))
+            rows.append(" ".join(["before", *words[:k], *words[k + 1 :]]))
+            rows.append(" ".join([*words[:k], "otherwise", *words[k:]]).upper())
+    got = {r.doc_id: r.matches for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")).collect()}
+    hits = set()
+    for k, text in enumerate(rows):
+        words = text.lower().split()
+        want = [(label, at) for label, t in sorted(licenses.TEMPLATES.items()) if (at := plain_match(t, words))]
+        assert got[k] == ",".join(f"{label}:{a}:{b}" for label, (a, b) in want), text
+        hits.update(label for label, _ in want)
+    assert hits == set(licenses.TEMPLATES)
+
+
+def test_templates_without_mandatory_words_are_refused():
+    with pytest.raises(ValueError, match="mandatory"):
+        licenses.Template("[[may be]] {{1-2}}")
