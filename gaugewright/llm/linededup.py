@@ -140,20 +140,24 @@ def line_dedup(docs: DataFrame, min_words: int = 20) -> DataFrame:
     Lines end at newline and are compared without surrounding blanks; lines without words never match, break no run and
     stay. The first copy of a run, by doc_id (nulls last) and line, stays. Rows that repeat doc_id and text are one
     document, and each of them gets its result. Null and empty texts stay as they are. A document whose lines all go
-    keeps an empty text. Extra columns are carried along.
+    keeps an empty text; very long texts are cut into lines as a whole. Extra columns are carried along, whatever their names.
     """
     taken = set(docs.columns) & {"lines_total", "lines_removed"}
     gone = removed_lines(docs, min_words)
     kind = docs.schema["doc_id"].dataType
     key = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0).cast(kind)), F.xxhash64("text")]
-    names = {c: f"gw_{c}" for c in (*DOC, "removed")}
+    own = "gw_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    names = {c: own + c for c in (*DOC, "removed")}
+    removed = F.col(own + "removed")
     side = gone.select(*(F.col(c).alias(n) for c, n in names.items()))
-    matched = (key[0] == F.col("gw_absent")) & (key[1] == F.col("gw_doc")) & (key[2] == F.col("gw_sum"))
+    matched = (key[0] == F.col(own + "absent")) & (key[1] == F.col(own + "doc")) & (key[2] == F.col(own + "sum"))
     joined = docs.drop(*taken).join(side, matched, "left")
     parts = F.split("text", "\n")
-    rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("gw_removed"), i)), "\n")
-    lone = F.size("gw_removed") == F.size(F.filter(parts, lambda x: x.rlike(r"[^ \t\r\x0b\x0c]")))
-    cleaned = F.when(F.col("gw_removed").isNull(), F.col("text")).when(lone, F.lit("")).otherwise(rest)
+    rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(removed, i)), "\n")
+    lone = F.size(removed) == F.size(F.filter(parts, lambda x: x.rlike(r"[^ \t\r\x0b\x0c]")))
+    cleaned = F.when(removed.isNull(), F.col("text")).when(lone, F.lit("")).otherwise(rest)
     total = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("lines_total")
-    columns = [cleaned.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in taken]
-    return joined.select(*columns, total, F.coalesce("gw_removed", F.array().cast("array<int>")).alias("lines_removed"))
+    columns = [cleaned.alias("text") if c == "text" else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in taken]
+    return joined.select(*columns, total, F.coalesce(removed, F.array().cast("array<int>")).alias("lines_removed"))

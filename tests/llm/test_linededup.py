@@ -64,3 +64,10 @@ def test_whole_small_table(spark):
 
 def test_empty(spark):
     assert linededup.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd", 1, 2, "x", "y", 3), (2, "a b c\ne", 1, 2, "x", "y", 3)], "doc_id long, text string, gw_doc int, gw_absent int, `GW_sum` string, gw_removed string, `a``b.c` int")
+    out = linededup.line_dedup(docs, 3)
+    assert out.columns == [*docs.columns, "lines_total", "lines_removed"]
+    assert sorted((r.doc_id, r.text, r.gw_doc, r.gw_removed, r["a`b.c"]) for r in out.collect()) == [(1, "a b c\nd", 1, "y", 3), (2, "e", 1, "y", 3)]
