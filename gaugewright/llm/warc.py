@@ -294,7 +294,8 @@ def search(spark: SparkSession, index: str, urls: DataFrame) -> DataFrame:
                     yield _table(found, _NAMES, _KINDS)
 
     wanted = urls.select(F.col("url").cast("binary").alias("url")).distinct().mapInArrow(place, "part string, key string").distinct()
-    return wanted.repartition("part").sortWithinPartitions("part", "key").mapInArrow(seek, CAPTURES)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, so that these small rows, each of which stands for reads, are not gathered in few tasks
+    return wanted.repartition(n, "part").sortWithinPartitions("part", "key").mapInArrow(seek, CAPTURES)
 
 
 def fetch(captures: DataFrame, archives: str, payloads: bool = True) -> DataFrame:
@@ -334,7 +335,8 @@ def fetch(captures: DataFrame, archives: str, payloads: bool = True) -> DataFram
             yield table(found)
 
     chunk = F.floor(F.col("offset") / CHUNK_BYTES)
-    dealt = captures.repartition("file", chunk).sortWithinPartitions("file", "offset")
+    n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = captures.repartition(n, "file", chunk).sortWithinPartitions("file", "offset")
     schema = "key string, file string, offset long, length long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
     return dealt.mapInArrow(run, schema + (", payload binary" if payloads else ""))
 
