@@ -7,7 +7,8 @@ all pass the threshold is saturated: it says neither how many links there are no
 So the saturated nodes of different components are compared with each other, exactly: balls of linked nodes are cut within
 components, balls too far apart by their radii are passed over, the rest are compared node by node. If the audit still
 misses its target after the last round, all nodes take part in that. Then every component's lists are enlarged to the
-whole component, compared in square blocks of bounded size, and the link counts are exact within it.
+whole component: its blocks are counted as a whole where they are close or far enough, else compared vector by vector, and
+the link counts are exact within it.
 """
 
 from __future__ import annotations
@@ -161,12 +162,13 @@ def _touching(table: pa.Table, threshold: float) -> tuple | None:
     return (part[:1], part[~one][:1]) if (x[one] @ x[~one].T >= threshold).any() else None
 
 
-def _blocks(rows: DataFrame, key: str, node: str) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, node: str, names: tuple[str, str] = ("block", "blocks")) -> DataFrame:
     """Deal the rows of each ``key`` into blocks of about BLOCK, and each block to every pair (i, j) of blocks that it is in."""
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64(node), "blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    return placed.withColumn("other", other).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    block, blocks = names
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias(blocks))
+    placed = rows.join(sizes, key).withColumn(block, F.pmod(F.xxhash64(node), blocks))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    return placed.withColumn("other", other).select("*", F.least(block, "other").alias("i"), F.greatest(block, "other").alias("j"))
 
 
 def _bridges(members: DataFrame, threshold: float) -> DataFrame:
@@ -248,6 +250,57 @@ def near_components(nodes: DataFrame, threshold: float, k: int = 10, tables: int
     return _joined(part, everyone, threshold), 1.0
 
 
+SURE = 1e-6  #: angles that come closer to the threshold than this are left to the vectors themselves
+
+
+def _hull(table: pa.Table) -> tuple:
+    """(component, block, node, radius, weight): a block's first node as its centre, the widest angle from it, and the block's weight."""
+    x, ids = _unit(table), table.column("node").to_numpy()
+    k = int(np.argmin(ids))
+    radius = float(np.arccos(np.clip(x @ x[k], -1, 1).min()))
+    key = [table.column(c).to_numpy()[:1] for c in ("component", "block")]
+    return *key, ids[k : k + 1], np.array([radius]), np.array([table.column("weight").to_numpy().sum()])
+
+
+def _decided(table: pa.Table, threshold: float) -> tuple:
+    """(component, a, b, a_weight, b_weight, sure): pairs of blocks that hold links; sure where every pair of their vectors is linked."""
+    x, block, radius = _unit(table), table.column("block").to_numpy(), table.column("radius").to_numpy()
+    weight, deal = table.column("weight").to_numpy(), table.column("deal").to_numpy()
+    one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    angle = np.arccos(np.clip(x @ x.T, -1, 1))
+    np.fill_diagonal(angle, 0)
+    once = block[:, None] <= block[None, :] if one else deal[:, None] < deal[None, :]
+    limit, both = np.arccos(threshold), radius[:, None] + radius[None, :]
+    a, b = np.nonzero(once & (angle - both <= limit + SURE))
+    flip = block[a] > block[b]
+    a, b = np.where(flip, b, a), np.where(flip, a, b)
+    sure = (angle + both)[a, b] <= limit - SURE
+    return np.full(len(a), table.column("component")[0].as_py()), block[a], block[b], weight[a], weight[b], sure
+
+
+def _counts(members: DataFrame, threshold: float) -> DataFrame:
+    """members(component, node, weight, vec) -> (node, links): exact weighted number of other nodes that each is linked with.
+
+    A component is dealt into blocks. Blocks so close that all their vectors are linked are counted without comparing
+    them, blocks too far apart are passed over, and only the rest is compared vector by vector.
+    """
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = keep(members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).drop("blocks"), "placed")
+    hulls = keep(_groups(placed, ["component", "block"], _hull, "component long, block long, node long, radius double, weight long", ["component", "block", "node", "radius", "weight"]), "hulls")
+    dealt = _blocks(hulls.join(placed.select("node", "vec"), "node"), "component", "node", ("deal", "deals"))
+    schema = "component long, a long, b long, a_weight long, b_weight long, sure boolean"
+    pairs = keep(_groups(dealt, ["component", "i", "j"], lambda g: _decided(g, threshold), schema, ["component", "a", "b", "a_weight", "b_weight", "sure"]), "decided")
+
+    near = pairs.where("sure")
+    sides = near.select("component", F.col("a").alias("block"), F.col("b_weight").alias("n"), (F.col("a") == F.col("b")).alias("own")).union(near.where("a <> b").select("component", "b", "a_weight", F.lit(False)))
+    known = sides.groupBy("component", "block").agg(F.sum("n").alias("n"), F.bool_or("own").alias("own"))
+    counted = placed.join(known, ["component", "block"]).select("node", (F.col("n") - F.when(F.col("own"), F.col("weight")).otherwise(0)).alias("links"))
+    ends = pairs.where("not sure").select("component", F.col("a").alias("i"), F.col("b").alias("j"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    rows = ends.join(placed, ["component", "block"])
+    compared = _groups(rows, ["component", "i", "j"], lambda g: _linked(g, threshold), "node long, links long", ["node", "links"])
+    return counted.union(compared).groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def _linked(table: pa.Table, threshold: float) -> tuple | None:
     """Weighted number of links of each row to rows of the other block, or of its own where the blocks are one."""
     x, ids = _unit(table), table.column("node").to_numpy()
@@ -262,7 +315,8 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, k: int = 10) -> DataF
     """vectors(vec_id, embedding, ...) -> (vec_id, n_links, component_id, kept), one row per input row.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing; vectors of different lengths do
-    not link. Rows with equal vectors link with each other, also where they repeat a vec_id. A null vec_id is kept and
+    not link, however long. Rows with equal vectors link with each other, also where they repeat a vec_id; pairs exactly at the
+    threshold are linked. An empty table gives no rows. A null vec_id is kept and
     never names a component; it is ``kept`` only where no row of its component has an id. Other columns are ignored.
     """
     rows = vectors.select("vec_id", F.col("embedding").alias("vec"))
@@ -271,12 +325,13 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, k: int = 10) -> DataF
     nodes = keep(
         rows.where(valid).groupBy("vec").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id()), "nodes"
     )
-    part, _ = near_components(nodes, threshold, k)
+    part, recall = near_components(nodes, threshold, k)
+    if recall < 0.9:
+        raise RuntimeError(f"the neighbour graph holds {recall:.3f} of the true links only")
     members = part.join(nodes, "node")
     names = members.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    paired = _blocks(members.select("component", "node", "weight", "vec"), "component", "node")
-    counts = _groups(paired, ["component", "i", "j"], lambda g: _linked(g, threshold), "node long, links long", ["node", "links"])
-    found = counts.groupBy("node").agg(F.sum("links").alias("links")).join(part.join(names, "component").select("node", "component_id"), "node")
+    counts = _counts(members.select("component", "node", "weight", "vec"), threshold)
+    found = counts.join(part.join(names, "component").select("node", "component_id"), "node")
     known = nodes.join(found, "node", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id"))
     linked = rows.where(valid).join(known, "vec").select("vec_id", "n_links", "component_id")
     alone = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

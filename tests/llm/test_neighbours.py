@@ -90,3 +90,24 @@ def test_missed_recall_is_made_up_for(spark, monkeypatch):
     base = rng.standard_normal((20, 16))
     rows = [(i, (base[i % 20] + 0.1 * rng.standard_normal(16)).tolist(), "") for i in range(120)]
     assert result(neighbours.near_dedup(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_tight_blocks_are_counted_without_comparing_them(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    center, other = rng.standard_normal((2, 8))
+    rows = [(i, (center + 0.01 * rng.standard_normal(8)).tolist(), "") for i in range(200)] + [(500 + i, (other + 0.3 * rng.standard_normal(8)).tolist(), "") for i in range(60)]
+    rows += [(900 + i, rows[i][1], "copy") for i in range(40)]
+    compared = []
+    groups = neighbours._groups
+
+    def watched(df, keys, work, schema, names):
+        if names == ["node", "links"]:
+            compared.append(df.where("node is not null").select("component").distinct().count())
+        return groups(df, keys, work, schema, names)
+
+    monkeypatch.setattr(neighbours, "_groups", watched)
+    found = result(neighbours.near_dedup(spark.createDataFrame(rows, SCHEMA)))
+    assert found == brute(rows)
+    parts = {c for _, n, c, _ in found if n}
+    assert compared and compared[0] < len(parts)  # the tight component is not among them
