@@ -47,11 +47,12 @@ def bounded_sample(rows: DataFrame, by: str | None, most: int, salt: str) -> Dat
     """At most ``most`` rows(doc_id, ...) of each value of ``by`` (of all rows without it), picked by a hash of the id.
 
     A first cut by the hash leaves about four times as many as wanted, however many rows a value has, so that no task ranks
-    more than that; values of ``by`` are classes, of which there are few.
+    more than that. Values of ``by`` are classes, of which there are few: one row each is broadcast.
     """
     pick = F.xxhash64(F.lit(salt), "doc_id")
     named = rows.withColumn("_class", F.col(by).cast("string") if by else F.lit("")).withColumn("_pick", pick)
     share = F.lit(4.0 * most) / F.col("_size")
-    cut = named.join(named.groupBy("_class").agg(F.count("*").alias("_size")), "_class").where(F.col("_pick") / float(1 << 64) + 0.5 < share)
+    sizes = named.groupBy("_class").agg(F.count("*").alias("_size"))
+    cut = named.join(F.broadcast(sizes), "_class").where(F.col("_pick") / float(1 << 64) + 0.5 < share)
     ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("_class").orderBy("_pick", "doc_id")))
     return ranked.where(F.col("_rank") <= most).select(rows.columns)
