@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,12 +26,21 @@ def by_longest_prefix(names: DataFrame, name: str, titles: DataFrame, title: str
 def mentions(names: DataFrame, name: str, texts: DataFrame, ident: str, words: str) -> DataFrame:
     """(name, ident) of texts that hold a name as consecutive words. texts(ident, words array).
 
-    A name meets texts by its first word, and the rest is verified, so rare names never touch most texts.
+    The runs of words that are as long as some name meet the names by equality; a text gives each distinct run once and
+    carries nothing else. The lengths of names are few numbers.
     """
-    parts = names.select(F.col(name), F.split(F.lower(name), " ").alias("_parts")).withColumn("_first", F.col("_parts")[0])
-    spread = texts.select(ident, F.posexplode(words).alias("_at", "_first"), F.col(words).alias("_words"))
-    same = F.slice(F.col("_words"), F.col("_at") + 1, F.size("_parts")) == F.col("_parts")
-    return spread.join(parts, "_first").where(same).select(name, ident).distinct()
+    spelled = names.select(F.col(name), F.lower(name).alias("_run"), F.size(F.split(F.lower(name), " ")).alias("_n"))
+    lengths = sorted(r[0] for r in spelled.select("_n").distinct().collect())
+
+    def runs(n: int) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+        return F.when(F.size(words) >= n, all_).otherwise(F.array().cast("array<string>"))
+
+    some = [runs(n) for n in lengths]
+    if not some:
+        return names.select(name).join(texts.select(ident).where("false"), F.lit(True))
+    spread = texts.select(ident, F.explode(F.array_distinct(F.concat(*some))).alias("_run"))
+    return spread.join(spelled, "_run").select(name, ident).distinct()
 
 
 def inconsistent(pairs: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 
 def outside_targets(edges: DataFrame, known: DataFrame, order: str) -> DataFrame:
     """Targets that are not known pages, with the first source of each: (target, source). known(url)."""
@@ -24,27 +24,18 @@ def broken(edges: DataFrame, statuses: DataFrame) -> DataFrame:
     return edges.join(statuses.where("status >= 400"), "target")
 
 
-def depths(pages: DataFrame, edges: DataFrame, roots: DataFrame, most: int = 20) -> DataFrame:
-    """Click depth of known pages from the roots: (url, depth).
+def depths(pages: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Click depth of known pages from the roots: (url, depth); pages that no path reaches are absent.
 
-    A loop of at most ``most`` frontier steps on the driver, each an anti-join against what is reached. Every step is
-    written to the shared checkpoint folder, which cuts the lineage and survives lost executors.
+    One frontier step after the other until none finds a new page, each an anti-join against what is reached. Every step is
+    written to the shared folder, which cuts the lineage and survives lost executors.
     """
-    spark = pages.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-
-    def written(df: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/depths-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    inner = edges.join(pages.select(F.col("url").alias("target")), "target").select("source", "target").distinct()
-    frontier = written(roots.select("url").join(pages.select("url"), "url", "left_semi").distinct().withColumn("depth", F.lit(0)))
-    reached = frontier
-    for step in range(1, most + 1):
+    inner = stored(edges.join(pages.select(F.col("url").alias("target")), "target").select("source", "target").distinct(), "edges")
+    frontier = stored(roots.select("url").join(pages.select("url"), "url", "left_semi").distinct().withColumn("depth", F.lit(0)), "depths")
+    reached, step = frontier, 0
+    while not frontier.isEmpty():
+        step += 1
         following = frontier.join(inner, F.col("url") == F.col("source")).select(F.col("target").alias("url")).distinct()
-        frontier = written(following.join(reached, "url", "left_anti").withColumn("depth", F.lit(step)))
-        if frontier.isEmpty():
-            break
+        frontier = stored(following.join(reached, "url", "left_anti").withColumn("depth", F.lit(step)), "depths")
         reached = reached.union(frontier)
     return reached

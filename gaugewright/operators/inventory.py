@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def coverage_line(declared: DataFrame, measured: DataFrame, group: str, key: str, ordinal: str) -> DataFrame:
+def coverage_line(declared: list[str], measured: DataFrame, group: str, key: str) -> DataFrame:
     """(group, measured, not_measured): names of a declared list in its own order, by whether they were measured."""
-    groups = measured.select(group).distinct()
-    grid = groups.join(F.broadcast(declared))  # the declared list is short
-    joined = grid.join(measured.select(group, key).distinct().withColumn("_on", F.lit(True)), [group, key], "left")
-    names = lambda on: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(on, F.struct(ordinal, key)))), lambda x: x[key]), ", ")
-    return joined.groupBy(group).agg(names(F.col("_on").isNotNull()).alias("measured"), names(F.col("_on").isNull()).alias("not_measured"))
+    order = F.array(*map(F.lit, declared))
+    on = measured.groupBy(group).agg(F.collect_set(F.when(F.col(key).isin(*declared), F.col(key))).alias("_on"))  # at most the declared names
+    names = lambda has: F.array_join(F.filter(order, lambda x: F.array_contains("_on", x) == has), ", ")
+    return on.select(group, names(True).alias("measured"), names(False).alias("not_measured"))
 
 
 def shortages(slots: DataFrame, stock: DataFrame, key: str) -> DataFrame:

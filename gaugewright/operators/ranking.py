@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 
 def top(df: DataFrame, group: list[str], order: list[Column], most: int | Column) -> DataFrame:
     """The first rows of each group. A constant limit is applied in every task before rows are shuffled."""
@@ -18,14 +20,24 @@ def crawl_order(entries: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
     return ordered, entries.agg(F.greatest(F.lit(0), F.count("*") - cap).alias("remaining"))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 in a total order: ranges of the order are numbered apart and shifted by what stands before them.
+
+    ``order`` must tell all rows apart. Only the number of rows of each range meets in one place.
+    """
+    dealt = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select("_range", F.coalesce("_before", F.lit(0)).alias("_before"))
+    return own.join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")  # a row a partition
+
+
 def pair_by_rank(left: DataFrame, left_order: list[Column], right: DataFrame, right_order: list[Column]) -> DataFrame:
-    """Row n of one list beside row n of the other; the lists are small dimensions, ordered as a whole."""
-    a = left.withColumn("rank", F.row_number().over(Window.orderBy(*left_order)))
-    b = right.withColumn("rank", F.row_number().over(Window.orderBy(*right_order)))
-    return a.join(b, "rank", "full")
+    """Row n of one list beside row n of the other; both orders are total."""
+    return numbered(left, left_order, "rank").join(numbered(right, right_order, "rank"), "rank", "full")
 
 
 def round_robin(needs: DataFrame, key: str, need: str) -> DataFrame:
     """Seats (turn, key, seat) dealt in passes, the biggest need first, one seat a pass: seat number s is dealt in pass s."""
     seats = needs.where(F.col(need) > 0).select(key, need, F.explode(F.sequence(F.lit(1).cast("long"), F.col(need).cast("long"))).alias("seat"))
-    return seats.withColumn("turn", F.row_number().over(Window.orderBy("seat", F.desc(need), key))).select("turn", key, "seat")
+    return numbered(seats, [F.col("seat"), F.desc(need), F.col(key)], "turn").select("turn", key, "seat")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_COLUMNS = 10000
+
+
 def compare(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Full outer comparison: (keys, old_value, new_value, state) with state identical, modified, added or missing."""
     a = old.select(*keys, F.col(value).alias("old_value"), F.lit(1).alias("_a"))
@@ -20,8 +23,12 @@ def closed(before: DataFrame, now: DataFrame, key: str = "check_id") -> DataFram
 
 
 def grid_holes(declared_rows: DataFrame, declared_columns: DataFrame, seen: DataFrame) -> DataFrame:
-    """Cells of a declared grid that were not seen. Both sides are declared lists; the smaller one is sent by Spark's size rule."""
-    grid = declared_rows.crossJoin(declared_columns)
+    """Cells of a declared grid that were not seen. The columns are a declared list, read whole and refused if it is long."""
+    (name,) = declared_columns.columns
+    listed = [r[0] for r in declared_columns.distinct().limit(MOST_COLUMNS + 1).collect()]
+    if len(listed) > MOST_COLUMNS:
+        raise ValueError(f"a grid has {MOST_COLUMNS} columns at most")
+    grid = declared_rows.withColumn(name, F.explode(F.array(*map(F.lit, listed)))) if listed else declared_rows.withColumn(name, F.lit(None)).where("false")
     return grid.join(seen.select(*grid.columns).distinct(), grid.columns, "left_anti")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html, urls
 from ..operators import findings
 from ..operators.findings import Check
+from ..sources.stored import stored
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -30,5 +31,6 @@ def seo_checks() -> list[Check]:
 
 def seo_findings(pages: DataFrame) -> DataFrame:
     """Ranked findings of pages(page_id, url, html)."""
-    facts = findings.duplicates(html.page_facts(pages), "title", "duplicate_title")
+    narrow = stored(html.page_facts(pages).select("page_id", "url", "title", "word_count", "meta_description", "canonical"), "facts")  # so that pages are parsed once
+    facts = findings.duplicates(narrow, "title", "duplicate_title")
     return findings.ranked(findings.findings(facts, seo_checks(), "url", "page_id"))

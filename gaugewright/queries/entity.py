@@ -9,9 +9,9 @@ from ..operators import entities, rules
 from .registry import query, read
 
 
-@query("""SELECT p_name, CAST(max(p_partkey) AS BIGINT) AS p_partkey FROM part WHERE p_size < 3 GROUP BY 1 HAVING count(*) = 1""")
+@query("""SELECT p_name || ' ' || p_type || ' ' || p_size AS name, CAST(max(p_partkey) AS BIGINT) AS p_partkey FROM part GROUP BY 1 HAVING count(*) = 1""")
 def j11_unambiguous_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.unambiguous(read(spark, sf_dir, "part").where("p_size < 3"), "p_name", "p_partkey")
+    return entities.unambiguous(read(spark, sf_dir, "part").selectExpr("concat_ws(' ', p_name, p_type, p_size) as name", "p_partkey"), "name", "p_partkey")
 
 
 @query("""WITH t AS (SELECT substr(p_name, 1, 5 + length(p_name) % 4) AS title, max(p_partkey) AS k FROM part GROUP BY 1), n AS (SELECT DISTINCT p_name AS name FROM part),

@@ -9,12 +9,11 @@ from ..operators import inventory
 from .registry import query, read
 
 
-@query("""WITH d AS (SELECT * FROM (VALUES (1, 'view'), (2, 'click'), (3, 'signup'), (4, 'refund')) t(ordinal, kind)), m AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 7 = 0), g AS (SELECT u.user_id, d.*, m.event_type IS NOT NULL AS has FROM (SELECT DISTINCT user_id FROM m) u CROSS JOIN d LEFT JOIN m ON m.user_id = u.user_id AND m.event_type = d.kind)
+@query("""WITH d AS (SELECT * FROM (VALUES (1, 'view'), (2, 'click'), (3, 'signup'), (4, 'refund')) t(ordinal, kind)), m AS (SELECT DISTINCT user_id, event_type FROM events), g AS (SELECT u.user_id, d.*, m.event_type IS NOT NULL AS has FROM (SELECT DISTINCT user_id FROM m) u CROSS JOIN d LEFT JOIN m ON m.user_id = u.user_id AND m.event_type = d.kind)
 SELECT user_id, coalesce(string_agg(kind, ', ' ORDER BY ordinal) FILTER (has), '') AS measured, coalesce(string_agg(kind, ', ' ORDER BY ordinal) FILTER (NOT has), '') AS not_measured FROM g GROUP BY 1""")
 def a26_coverage_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    declared = spark.createDataFrame([(1, "view"), (2, "click"), (3, "signup"), (4, "refund")], "ordinal int, kind string")
-    measured = read(spark, sf_dir, "events").where("event_id % 7 = 0").selectExpr("user_id", "event_type as kind")
-    return inventory.coverage_line(declared, measured, "user_id", "kind", "ordinal")
+    measured = read(spark, sf_dir, "events").selectExpr("user_id", "event_type as kind")
+    return inventory.coverage_line(["view", "click", "signup", "refund"], measured, "user_id", "kind")
 
 
 @query("""WITH t AS (SELECT p_brand AS k, count(*) FILTER (p_partkey % 3 = 0) AS own, count(*) FILTER (p_partkey % 3 = 1) AS mixed, count(*) FILTER (p_partkey % 3 = 2) AS empty, CAST(sum(p_size) AS BIGINT) AS wants FROM part GROUP BY 1)
@@ -52,10 +51,10 @@ def a20_best_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.best_answers(pairs, "question", "text", "pos")
 
 
-@query(r"""WITH i AS (SELECT doc_id, doc_id % 40 AS page, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'one two three photo.jpg' WHEN 2 THEN 'a shared text here' ELSE left(text, 60) END AS alt FROM documents), c AS (SELECT *, count(*) OVER (PARTITION BY page, alt) AS n FROM i)
-SELECT doc_id, n = 1 AND coalesce(trim(alt), '') <> '' AND len(regexp_split_to_array(trim(alt, ' '), '\s+')) >= 4 AND NOT regexp_matches(trim(alt), '(?i)\.(jpe?g|png|gif|webp|svg)$') AS passes FROM c""")
+@query(r"""WITH i AS (SELECT doc_id, doc_id % 40 AS page, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'one two three photo.jpg' WHEN 2 THEN 'a shared text here' ELSE text END AS alt FROM documents), c AS (SELECT *, count(*) OVER (PARTITION BY page, alt) AS n FROM i)
+SELECT doc_id, n = 1 AND coalesce(trim(alt), '') <> '' AND length(trim(alt)) <= 125 AND len(regexp_split_to_array(trim(alt, ' '), '\s+')) >= 4 AND NOT regexp_matches(trim(alt), '(?i)\.(jpe?g|png|gif|webp|svg)$') AS passes FROM c""")
 def r09_alt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = read(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id % 40 as page", "case doc_id % 5 when 0 then null when 1 then 'one two three photo.jpg' when 2 then 'a shared text here' else left(text, 60) end as alt")
+    images = read(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id % 40 as page", "case doc_id % 5 when 0 then null when 1 then 'one two three photo.jpg' when 2 then 'a shared text here' else text end as alt")
     return inventory.alt_passes(images, "page", "alt").select("doc_id", F.coalesce("passes", F.lit(False)).alias("passes"))
 
 

@@ -151,7 +151,7 @@ def a07_click_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
         keys.where("k % 5 = 0").selectExpr("cast(k as string) as source", f"cast((k * 7 + 1) % {n} as string) as target")
     )
     pages = keys.selectExpr("cast(k as string) as url")
-    return graph.depths(pages, edges, pages.where("url = '0'"), most=20)
+    return graph.depths(pages, edges, pages.where("url = '0'"))
 
 
 @query("""SELECT l_suppkey AS target, max(l_discount) AS worst, count(*) AS links FROM lineitem GROUP BY 1 HAVING max(l_discount) >= 0.1""")

@@ -56,14 +56,14 @@ def j22_pair_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.select(F.col("rank").cast("long").alias("rank"), "customers", "suppliers")
 
 
-COMPARE = """WITH a AS (SELECT doc_id // 2 AS k, sha1(text) AS h FROM documents WHERE doc_id % 2 = 0 AND doc_id % 7 <> 0), b AS (SELECT doc_id // 2 AS k, sha1(text) AS h FROM documents WHERE doc_id % 2 = 1)
+COMPARE = """WITH a AS (SELECT doc_id AS k, CASE WHEN n_chars > 1000 THEN 'long' ELSE 'short' END AS h FROM documents), b AS (SELECT doc_id AS k, CASE WHEN quality = 1 THEN 'long' ELSE 'short' END AS h FROM labels)
 SELECT coalesce(a.k, b.k) AS k, a.h AS old_value, b.h AS new_value, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'missing' WHEN a.h = b.h THEN 'identical' ELSE 'modified' END AS state FROM a FULL JOIN b ON a.k = b.k"""
 
 
 @query(COMPARE)
 def j25_tree_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id div 2 as k", "sha1(cast(text as binary)) as h")
-    return reconcile.compare(docs.where("doc_id % 2 = 0 and doc_id % 7 <> 0"), docs.where("doc_id % 2 = 1"), ["k"], "h")
+    old = read(spark, sf_dir, "documents").selectExpr("doc_id as k", "if(n_chars > 1000, 'long', 'short') as h")
+    return reconcile.compare(old, read(spark, sf_dir, "labels").selectExpr("doc_id as k", "if(quality = 1, 'long', 'short') as h"), ["k"], "h")
 
 
 @query(f"SELECT state, count(*) AS n FROM ({COMPARE}) GROUP BY 1")
@@ -101,7 +101,7 @@ def a49_wanted_and_got(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT s_nationkey AS nation, count(*) AS need FROM supplier GROUP BY 1), s AS (SELECT nation, need, unnest(range(1, need + 1)) AS seat FROM n)
-SELECT CAST(row_number() OVER (ORDER BY seat, need DESC, nation) AS INTEGER) AS turn, nation, CAST(seat AS BIGINT) AS seat FROM s""")
+SELECT CAST(row_number() OVER (ORDER BY seat, need DESC, nation) AS BIGINT) AS turn, nation, CAST(seat AS BIGINT) AS seat FROM s""")
 def a48_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     needs = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("need"))
     return ranking.round_robin(needs, "nation", "need")

@@ -21,19 +21,23 @@ def f22_fold_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH n AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace({FOLD}, '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS t FROM documents)
 SELECT doc_id, CAST(len(t) AS BIGINT) AS tokens, CAST(len(list_distinct(t)) AS BIGINT) AS kinds FROM n""")
 def f23_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = text.tokens(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("tokens"), F.size(F.array_distinct(t)).cast("long").alias("kinds"))
+    t = read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))  # a column of its own, so that it is computed once
+    return t.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("kinds"))
 
 
-@query(rf"SELECT doc_id, regexp_replace({FOLD}, '[^\p{{L}}\p{{N}}]', '', 'g') AS fuzz FROM documents WHERE length(text) < 400")
+@query(rf"SELECT doc_id, regexp_replace({FOLD}, '[^\p{{L}}\p{{N}}]', '', 'g') AS fuzz FROM documents")
 def f41_fuzz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").where("length(text) < 400").select("doc_id", text.fuzz(F.col("text")).alias("fuzz"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.fuzz(F.col("text")).alias("fuzz"))
 
 
-@query("""WITH h AS (SELECT doc_id, text AS h, substr(text, 1, 300) AS n FROM documents), w AS (SELECT doc_id, h, n, list_transform([0.0, 0.2, 0.4, 0.6, 0.8], lambda s: CASE WHEN contains(right(h, 2000), substr(n, CAST(floor(s * (length(n) - 40)) AS INTEGER) + 1, 40)) THEN 1 ELSE 0 END) AS f FROM h)
-SELECT doc_id, CASE WHEN length(n) < 60 THEN contains(right(h, 2000), n) ELSE list_sum(f) >= 3 END AS present FROM w""")
+@query("""WITH h AS (SELECT d.doc_id, d.text AS n, e.text AS h FROM documents d JOIN documents e ON e.doc_id = d.doc_id // 2), w AS (SELECT doc_id, h, n, list_transform([0.0, 0.2, 0.4, 0.6, 0.8], lambda s: CASE WHEN contains(h, substr(n, CAST(floor(s * (length(n) - 40)) AS INTEGER) + 1, 40)) THEN 1 ELSE 0 END) AS f FROM h)
+SELECT doc_id, CASE WHEN length(n) < 60 THEN contains(h, n) ELSE list_sum(f) >= 3 END AS present FROM w""")
 def f25_windowed_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", text.in_windows(F.substring("text", 1, 300), F.right("text", F.lit(2000))).alias("present"))
+    """Is a whole text present in another one, that of the document with half its number?"""
+    docs = read(spark, sf_dir, "documents")
+    other = docs.selectExpr("doc_id as half", "text as page")
+    met = docs.withColumn("half", F.expr("doc_id div 2")).join(other, "half")
+    return met.select("doc_id", text.in_windows(F.col("text"), F.col("page")).alias("present"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 140) || ' […] ' || right(text, 60) END AS capped FROM documents")

@@ -1,19 +1,16 @@
 """Streams over files that run until the available input is used up.
 
-State and sink tables lie in the shared checkpoint folder; a restarted query goes on from its checkpoint.
+State and sink tables lie in a folder that the caller gives, or in a fresh one of the shared folder. A query that is
+started again with the same folder goes on from its checkpoint.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..sources.stored import fresh
 
 
 def file_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,28 +24,41 @@ def first_seen(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicates(keys)
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Run the stream over what is available and return its result table."""
+def drained(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """Run the stream over what is available and return its result table. A batch that is run again replaces itself."""
     spark = stream.sparkSession
-    path = _folder(spark, "stream")
+    path = folder or fresh(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/{number}")
+        batch.write.mode("overwrite").parquet(f"{path}/table" if mode == "complete" else f"{path}/table/{number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/table")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
 
+def upserted(stream: DataFrame, keys: list[str], order: str, folder: str | None = None, merge_every: int = 16) -> DataFrame:
+    """Latest row of each key over all micro-batches of the stream, those of earlier runs with the same folder included.
 
-def upserted(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Latest row of each key after folding every micro-batch into the state table of the batch before."""
+    A batch writes only its own latest rows, so its cost does not grow with the state; a batch that is run again replaces
+    itself. Every ``merge_every`` batches, and in the result, the latest of the written rows is taken.
+    """
     spark = stream.sparkSession
-    path, newest = _folder(spark, "state"), [-1]
+    path = folder or fresh(spark, "state")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_number", T.LongType())])
 
-    def fold(batch: DataFrame, number: int) -> None:
-        rows = batch if newest[0] < 0 else batch.unionByName(spark.read.schema(stream.schema).parquet(f"{path}/{newest[0]}"))
-        latest = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_rank = 1").drop("_rank")
-        latest.write.mode("overwrite").parquet(f"{path}/{number}")
-        newest[0] = number
+    def latest(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_rank = 1").drop("_rank")
 
-    stream.writeStream.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).foreachBatch(fold).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/{newest[0]}")
+    def fold(batch: DataFrame, number: int) -> None:
+        rows = batch
+        if number and number % merge_every == 0:  # this batch takes over what stands before it
+            since = number - merge_every
+            before = spark.read.schema(schema).option("basePath", f"{path}/table").parquet(f"{path}/table").where(F.col("batch_number").between(since, number - 1)).drop("batch_number")
+            rows = batch.unionByName(before)
+        latest(rows).write.mode("overwrite").parquet(f"{path}/table/batch_number={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(fold).start().awaitTermination()
+    written = spark.read.schema(schema).parquet(f"{path}/table")
+    newest = written.agg(F.max("batch_number")).first()[0]
+    base = (newest or 0) // merge_every * merge_every
+    return latest(written.where(F.col("batch_number") >= base).drop("batch_number"))
