@@ -1,4 +1,8 @@
-"""Corpus preparation: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""Corpus preparation: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+All stages take null, empty and very long texts, null ids, repeated rows, empty tables and further columns of any name, and
+all but the last return the columns that they got. Rows that a stage neither drops nor changes pass as they are.
+"""
 
 from __future__ import annotations
 
@@ -13,14 +17,18 @@ from gaugewright.llm.queries import mixed
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that language ID rejects; the model is learned from the rows that are not held out.
 
-    The test runs where the documents lie: they are neither joined nor shuffled.
+    The test runs where the documents lie: they are neither joined nor shuffled. Texts that are null or without a letter are
+    rejected, and all texts where no language can be learned; repeated rows share their fate.
     """
     model = langid.fit(docs.select("doc_id", "text", "lang").where(langid.fold() != 1))
     return langid.accepted(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later copies of repeated line runs; documents that lose all their lines go, texts that change are recounted."""
+    """Delete later copies of repeated line runs; documents that lose all their lines go, texts that change are recounted.
+
+    Rows that repeat id and text are one document and all stay; null and empty texts stay.
+    """
     out = linededup.line_dedup(docs)
     changed = F.size("lines_removed") > 0
     count = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
@@ -28,19 +36,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word Jaccard 0.8 or more stays: the one whose id names it. Documents without an id are never dropped."""
+    """One document of each near-duplicate group stays: the one whose id names it.
+
+    Groups are those of SimHash on five words, verified, and completed to all links at a Jaccard similarity of 0.8 or more.
+    Null and empty texts are one group. Rows that repeat the id that stays all stay; documents without an id are never dropped.
+    """
     groups = nearcopies.near_copies(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark text, whole, interrupted or reordered."""
+    """Drop documents that hold a benchmark text, whole, interrupted or reordered; null and empty texts stay, an empty benchmark drops nothing."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Give every document its tokens, domain posteriors and the rate that brings the mixture to its targets."""
+    """Give every document its tokens, domain posteriors and the rate that brings the mixture to its targets.
+
+    Every row stays, texts without words too; without labelled rows all targets' domains are equally likely.
+    """
     return mixed(spark, docs, sf_dir)
 
 
