@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.sitemap import allowed, robots_rules
 
 
 def source_choice(repository: Column, own: str, path: Column) -> Column:
@@ -76,3 +77,86 @@ def claimed_flags(texts: DataFrame, skill: str) -> DataFrame:
 def scan_tree(pages: DataFrame, folder: str, key: Column) -> None:
     """Write a scan's pages as JSON files, a folder a page key."""
     pages.withColumn("page_key", key).write.mode("overwrite").partitionBy("page_key").json(f"{folder}/pages")
+
+
+def probed(sites: DataFrame) -> DataFrame:
+    """sites(site, robots, sitemap), texts or null -> what a first look says: answered, found, how many addresses, all shut."""
+    rules = robots_rules(sites.select("site", F.coalesce("robots", F.lit("")).alias("body")))
+    shut = allowed(sites.select("site", F.lit("/").alias("path")), rules, "anybot").select("site", (~F.col("allowed")).alias("blocks_all"))
+    listed = F.when(F.regexp_like("sitemap", F.lit("(?i)<sitemapindex")), F.regexp_count("sitemap", F.lit("(?i)<sitemap\\b"))).otherwise(F.regexp_count("sitemap", F.lit("(?i)<url\\b")))
+    return sites.join(shut, "site").select("site", F.col("robots").isNotNull().alias("answered"), F.col("sitemap").isNotNull().alias("found"), F.coalesce(listed, F.lit(0)).alias("addresses"), "blocks_all")
+
+
+def new_lines(logs: DataFrame, log: str, body: str, offset: Column) -> DataFrame:
+    """(log, line): what stands in a log from a byte on, blank lines and comments left out, each line once."""
+    rest = F.decode(F.substring(F.col(body).cast("binary"), (offset + 1).cast("int"), F.lit(2147483647)), "UTF-8")
+    lines = logs.select(log, F.explode(F.split(rest, "\\r?\\n")).alias("line")).where((F.trim("line") != "") & ~F.startswith("line", F.lit("#")))
+    return lines.select(log, F.trim(F.regexp_replace("line", "\\s+", " ")).alias("line")).distinct()
+
+
+#: Letters that only Vietnamese has, and words of it whose letters other languages share.
+VIETNAMESE_LETTERS = "ĂăĐđƠơƯưẠ-ỹ"
+VIETNAMESE_WORDS = ["còn", "xem", "và", "cho", "các", "này"]
+
+
+def not_english(line: Column) -> Column:
+    return F.regexp_like(line, F.lit(f"[{VIETNAMESE_LETTERS}]")) | F.regexp_like(line, F.lit(r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(VIETNAMESE_WORDS) + r")(?![\p{L}\p{N}])"))
+
+
+def block_type(parameters: Column, module: Column, key: str = "jatools-config") -> Column:
+    """Type of a slot's block, kept as JSON within JSON; without one the module's name, or unknown."""
+    kind = F.get_json_object(F.get_json_object(parameters, f"$['{key}']"), "$[':type']")
+    return F.when(F.contains(kind, F.lit(":")), F.regexp_replace(kind, "^[^:]*:", "")).otherwise(F.coalesce(F.nullif(module, F.lit("")), F.lit("unknown")))
+
+
+def _head(text: Column) -> Column:
+    return F.regexp_extract(text, "(?s)\\A---\\s*?\\n(.*?)\\n---[ \\t]*(?:\\n|\\z)", 1)
+
+
+def skill_head(text: Column) -> Column:
+    """(name, description) of a leading block; a description may stand as indented lines below its key."""
+    head = _head(text)
+    plain = lambda key: F.trim(F.regexp_extract(head, f"(?m)^{key}:(.*)$", 1))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, "^\"+|\"+$", ""), "^'+|'+$", "")
+    below = F.regexp_extract(head, "(?m)^description:[ \\t]*[>|]-?[ \\t]*\\n((?:(?:  |\\t).*(?:\\n|\\z))+)", 1)
+    joined = F.array_join(F.filter(F.transform(F.split(below, "\\n"), lambda x: F.trim(F.regexp_replace(x, "^\\t+", ""))), lambda x: x != ""), " ")
+    return F.struct(bare(plain("name")).alias("name"), F.when(plain("description").isin(">", "|", ">-", "|-"), joined).otherwise(bare(plain("description"))).alias("description"))
+
+
+def skill_problem(text: Column) -> Column:
+    """The first rule that a skill's head breaks, null if none: block, keys, name and description."""
+    head, own = _head(text), skill_head(text)
+    keys = F.regexp_extract_all(head, F.lit("(?m)^([A-Za-z][\\w-]*):"), F.lit(1))
+    known = F.array(*map(F.lit, ["name", "description", "license", "allowed-tools", "metadata", "compatibility"]))
+    name, told = own["name"], own["description"]
+    return (
+        F.when(head == "", "no front matter")
+        .when(F.size(F.array_except(keys, known)) > 0, F.concat(F.lit("unexpected: "), F.array_join(F.array_sort(F.array_except(keys, known)), ", ")))
+        .when(~F.array_contains(keys, "name"), "no name")
+        .when(~F.array_contains(keys, "description"), "no description")
+        .when((name != "") & ~F.regexp_like(name, F.lit("^[a-z0-9]+(-[a-z0-9]+)*$")), "bad name")
+        .when(F.length(name) > 64, "long name")
+        .when(F.regexp_like(told, F.lit("[<>]")), "angle brackets")
+        .when(F.length(told) > 1024, "long description")
+    )
+
+
+def line_changes(files: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """(key, added, removed): lines that one side has more often than the other; moved lines are no change."""
+    side = lambda c, a, b: files.select(key, F.explode(F.split(c, "\\n")).alias("line"), F.lit(a).alias("o"), F.lit(b).alias("n"))
+    per = side(old, 1, 0).union(side(new, 0, 1)).groupBy(key, "line").agg((F.sum("n") - F.sum("o")).alias("d"))
+    return per.groupBy(key).agg(F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed"))
+
+
+def rendered(template: Column, values: dict[str, Column]) -> tuple[Column, Column]:
+    """(text, unknown): placeholders filled; lines whose placeholder has no value are left out; placeholders that nobody fills are named."""
+    lines = F.split(template, "\\n")
+    for name, value in values.items():
+        mark = F.lit("{" + name + "}")
+        empty = F.coalesce(value, F.lit("")) == ""
+        lines = F.filter(lines, lambda x: ~(empty & F.contains(x, mark)))  # noqa: B023 - used at once
+    text = F.array_join(lines, "\n")
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    unknown = F.array_except(F.regexp_extract_all(template, F.lit("\\{([A-Za-z]+)\\}"), F.lit(1)), F.array(*map(F.lit, values)))
+    return text, F.array_sort(unknown)

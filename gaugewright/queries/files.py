@@ -285,3 +285,66 @@ def k02_scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     records.scan_tree(pages, folder, urls.slug(F.col("url")))
     written = spark.read.schema("page_id long, url string, title string, page_key string").json(f"{folder}/pages")
     return written.groupBy("page_key").agg(F.count("*").alias("pages"), F.min("page_id").alias("first"))
+
+
+@query("""SELECT s_suppkey AS site, s_acctbal > 0 AS answered, s_nationkey % 3 <> 0 AS found, CASE s_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END AS addresses, s_acctbal > 5000 AS blocks_all FROM supplier""")
+def s12_probed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "supplier")
+    robots = F.expr(r"case when s_acctbal > 5000 then 'User-agent: *\nDisallow: /\n' when s_acctbal > 0 then 'User-agent: *\nDisallow: /cart\n' end")
+    xml = F.expr("case s_nationkey % 3 when 1 then '<sitemapindex><sitemap><loc>a</loc></sitemap><sitemap><loc>b</loc></sitemap></sitemapindex>' when 2 then '<urlset><url><loc>a</loc></url><url><loc>b</loc></url><url></url></urlset>' end")
+    return records.probed(s.select(F.col("s_suppkey").alias("site"), robots.alias("robots"), xml.alias("sitemap")))
+
+
+@query("""SELECT 'n' || s_nationkey AS page, 's' || s_suppkey || '.png' AS shot FROM supplier WHERE s_acctbal >= 0""")
+def s19_screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shots in folders of pages; differences between shots, and other files, are left out."""
+    folder = fresh(spark, "shots")
+    rows = read(spark, sf_dir, "supplier").selectExpr("concat('n', s_nationkey) as page", "if(s_acctbal < 0, concat('diff-s', s_suppkey, '.png'), concat('s', s_suppkey, '.png')) as shot", "'x' as bytes")
+    rows.write.partitionBy("page", "shot").text(folder)
+    found = files.documents(spark, folder, "*.txt").select(F.substring_index(files.path_part(F.col("path"), 3), "=", -1).alias("page"), F.substring_index(files.path_part(F.col("path"), 2), "=", -1).alias("shot"))
+    return found.where(F.endswith("shot", F.lit(".png")) & ~F.startswith("shot", F.lit("diff-"))).orderBy("page", "shot")
+
+
+@query("""SELECT c_custkey AS k, CASE WHEN c_nationkey % 4 = 0 THEN 'grid' WHEN c_nationkey % 4 = 1 THEN 'mod_' || lower(c_mktsegment) WHEN c_nationkey % 4 = 2 THEN 'unknown' ELSE 'a:b' END AS block FROM customer""")
+def f56_block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = F.expr("""case c_nationkey % 4 when 0 then '{":type":"acm:grid"}' when 1 then '{":type":7}' when 2 then 'broken' else '{":type":"acm:a:b"}' end""")
+    parameters = F.to_json(F.struct(F.lit(1).alias("x"), inner.alias("jatools-config")))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), records.block_type(parameters, F.expr("if(c_nationkey % 4 = 2, '', concat('mod_', lower(c_mktsegment)))")).alias("block"))
+
+
+@query("""SELECT event_id, event_type IN ('view', 'click') AS foreign_line FROM events""")
+def f62_not_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.expr("case event_type when 'view' then 'xin chảo' when 'click' then 'Xem, then go' when 'error' then 'voilà, xems echo cho2' when 'purchase' then 'plain English' else 'très bien' end")
+    return read(spark, sf_dir, "events").select("event_id", records.not_english(line).alias("foreign_line"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s, p_name AS n FROM part) SELECT k, CASE WHEN s > 45 THEN '' WHEN s % 7 = 0 THEN 'Bad Name' ELSE 'my-skill' END AS name, CASE WHEN s > 45 THEN '' WHEN s % 2 = 0 THEN n || ' in two lines' ELSE n || CASE WHEN s % 5 = 0 THEN ' <b>' ELSE '' END END AS description,
+ CASE WHEN s > 45 THEN 'no front matter' WHEN s % 3 = 0 THEN 'unexpected: extra' WHEN s % 7 = 0 THEN 'bad name' WHEN s % 2 = 1 AND s % 5 = 0 THEN 'angle brackets' END AS problem FROM p""")
+def f72_r20_skill_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr(
+        r"""concat(if(p_size > 45, '', '---\n'), if(p_size % 7 = 0, 'name: "Bad Name"\n', "name: 'my-skill'\n"), if(p_size % 2 = 0, concat('description: >-\n  ', p_name, '\n\tin two lines\n'), concat('description: ', p_name, if(p_size % 5 = 0, ' <b>', ''), '\n')), if(p_size % 3 = 0, 'extra: 1\n', 'license: MIT\n'), 'metadata:\n  a: b\n---\n# Body\nname: other\n')"""
+    )
+    p = read(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("k"), records.skill_head(text).alias("h"), records.skill_problem(text).alias("problem")).select("k", "h.name", "h.description", "problem")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, CAST(l_quantity AS INTEGER) AS line, CASE WHEN l_returnflag = 'A' THEN -1 WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS d FROM lineitem), g AS (SELECT k, line, sum(d) AS d FROM l GROUP BY 1, 2) SELECT k, CAST(sum(greatest(d, 0)) AS BIGINT) AS added, CAST(sum(greatest(-d, 0)) AS BIGINT) AS removed FROM g GROUP BY 1""")
+def a53_line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that are only in an order's old or new list, as lines of two files."""
+    items = read(spark, sf_dir, "lineitem").withColumn("line", F.col("l_quantity").cast("int").cast("string"))
+    listed = lambda *flags: F.array_join(F.concat(F.array(F.lit("head")), F.collect_list(F.when(F.col("l_returnflag").isin(*flags), F.col("line")))), "\n")
+    return records.line_changes(items.groupBy(F.col("l_orderkey").alias("k")).agg(listed("A", "N").alias("old"), listed("R", "N").alias("new")), "k", "old", "new")
+
+
+@query("""SELECT DISTINCT user_id AS log, 'ERROR é ' || event_type AS line FROM events WHERE event_type <> 'view'""")
+def w11_new_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs read from the byte at which they ended before: what was there, two bytes a letter, is not read again."""
+    lines = F.array_join(F.collect_list(F.when(F.col("event_type") != "view", F.concat(F.lit("ERROR\té  "), "event_type"))), "\n")
+    logs = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("log")).agg(lines.alias("new")).withColumn("body", F.concat(F.lit("ERROR é old\n"), "new", F.lit("\n# comment\n\n")))
+    return records.new_lines(logs, "log", "body", F.octet_length(F.lit("ERROR é old\n")))
+
+
+@query("""SELECT s_suppkey AS k, 'Shop ' || s_name || CASE WHEN s_acctbal > 0 THEN chr(10) || 'known as n' || s_nationkey ELSE '' END || chr(10) || '{other}' AS text, 'other' AS unknown FROM supplier""")
+def f66_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, unknown = records.rendered(F.lit("Shop {shopName}\nknown as {shopAliases}\n{other}"), {"shopName": F.col("s_name"), "shopAliases": F.when(F.col("s_acctbal") > 0, F.concat(F.lit("n"), "s_nationkey"))})
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), text.alias("text"), F.array_join(unknown, ",").alias("unknown"))
