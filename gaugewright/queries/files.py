@@ -348,3 +348,21 @@ def w11_new_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f66_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, unknown = records.rendered(F.lit("Shop {shopName}\nknown as {shopAliases}\n{other}"), {"shopName": F.col("s_name"), "shopAliases": F.when(F.col("s_acctbal") > 0, F.concat(F.lit("n"), "s_nationkey"))})
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), text.alias("text"), F.array_join(unknown, ",").alias("unknown"))
+
+
+@query("""SELECT 's' || s_suppkey || '.png' AS name, CASE WHEN s_nationkey IN (3, 5) THEN NULL WHEN s_acctbal < 5000 THEN 1 ELSE 0 END AS changed, CASE WHEN s_nationkey NOT IN (3, 5) THEN 12 END AS total, CASE WHEN s_nationkey IN (3, 5) THEN NULL WHEN s_acctbal < 5000 THEN 8.3333 ELSE 0.0 END AS percent,
+ CASE s_nationkey WHEN 3 THEN 'missing' WHEN 5 THEN 'size-changed' ELSE 'same-size' END AS state FROM supplier""")
+def s18_k07_a38_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sets of PNG files, written and read back, compared pixel by pixel."""
+    from ..sources import images
+
+    s = read(spark, sf_dir, "supplier").withColumn("dot", F.concat(F.repeat(F.lpad(F.hex(F.col("s_nationkey") * 8), 2, "0"), F.lit(3)), F.lit("FF")))
+    one = lambda first, n: F.unhex(F.concat(first, F.repeat("dot", F.lit(n))))
+    name, folder = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".png")), fresh(spark, "images")
+    before = s.select(name.alias("name"), images.encoded(F.lit(4), F.lit(3), one(F.col("dot"), 11)).alias("content"))
+    other = F.when(F.col("s_acctbal") < 5000, F.when(F.col("s_nationkey") > 12, "000000FF").otherwise("FFFFFFFF")).otherwise(F.col("dot"))
+    width = F.when(F.col("s_nationkey") == 5, 6).otherwise(4)
+    after = s.where("s_nationkey <> 3").select(name.alias("name"), images.encoded(width, (12 / width).cast("int"), one(other, 11)).alias("content"))
+    for side, rows in (("before", before), ("after", after)):
+        files.write_files(rows, f"{folder}/{side}")
+    return images.compared(images.read(spark, f"{folder}/before"), images.read(spark, f"{folder}/after"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +88,18 @@ def age_in_days(then: Column, now: Column) -> Column:
     """today, 1 day or n days."""
     days = F.datediff(now, then)
     return F.when(days <= 0, "today").when(days == 1, "1 day").otherwise(F.concat(days.cast("string"), F.lit(" days")))
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Write rows(name, content) as files of a folder named by URI, from the tasks; a task that is run again replaces its files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{path}/{name}", compression=None) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()

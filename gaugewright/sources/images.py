@@ -1,4 +1,4 @@
-"""PNG files as rows of pixels, and back."""
+"""Screenshots as rows of pixels: Spark's image source reads the files, joins and groups compare them."""
 
 from __future__ import annotations
 
@@ -7,110 +7,62 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIGNATURE = b"\x89PNG\r\n\x1a\n"
-IMAGE = "width int, height int, rgba binary, error string"
-
-
-def decode(data: bytes | None) -> dict:
-    """8-bit RGB or RGBA, not interlaced; anything else gives an error in place of pixels."""
-
-    def failed(why: str) -> dict:
-        return {"width": None, "height": None, "rgba": None, "error": why}
-
-    if not data or data[:8] != SIGNATURE:
-        return failed("not a png")
-    at, head, packed = 8, None, b""
-    try:
-        while at < len(data):
-            size, kind = struct.unpack(">I4s", data[at : at + 8])
-            body = data[at + 8 : at + 8 + size]
-            if kind == b"IHDR":
-                head = struct.unpack(">IIBBBBB", body)
-            elif kind == b"IDAT":
-                packed += body
-            elif kind == b"IEND":
-                break
-            at += 12 + size
-        width, height, bits, colour, _, _, interlaced = head
-        if bits != 8 or colour not in (2, 6) or interlaced:
-            return failed("unsupported png")
-        channels = 3 if colour == 2 else 4
-        lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * channels)
-    except (struct.error, zlib.error, TypeError, ValueError):
-        return failed("damaged png")
-    out = np.zeros((height, width * channels), np.uint8)
-    for y in range(height):
-        up = out[y - 1] if y else np.zeros(width * channels, np.uint8)
-        filtered, row = lines[y, 1:], out[y]
-        method = int(lines[y, 0])
-        if method == 0:
-            row[:] = filtered
-        elif method == 1:
-            for c in range(channels):
-                row[c::channels] = np.cumsum(filtered[c::channels], dtype=np.uint64).astype(np.uint8)
-        elif method == 2:
-            row[:] = filtered + up
-        elif method in (3, 4):
-            left, corner = np.zeros(channels, np.int32), np.zeros(channels, np.int32)
-            for x in range(0, width * channels, channels):
-                above = up[x : x + channels].astype(np.int32)
-                if method == 3:
-                    guess = (left + above) // 2
-                else:
-                    p = left + above - corner
-                    a, b, c = abs(p - left), abs(p - above), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
-                left = (filtered[x : x + channels] + guess) & 255
-                row[x : x + channels] = left
-                corner = above
-        else:
-            return failed("damaged png")
-    pixels = out.reshape(height, width, channels)
-    if channels == 3:
-        pixels = np.concatenate([pixels, np.full((height, width, 1), 255, np.uint8)], axis=2)
-    return {"width": width, "height": height, "rgba": pixels.tobytes(), "error": None}
+from ..operators.layout import yiq_delta
 
 
-def encode(width: int, height: int, rgba: bytes) -> bytes:
-    """RGBA pixels as a PNG without line filters."""
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, width, height, channels, data) of the images below a folder; damaged ones have a height of -1 and no data."""
+    found = spark.read.format("image").option("recursiveFileLookup", "true").load(folder).select("image.*")
+    return found.select(F.substring_index("origin", "/", -1).alias("name"), "width", "height", F.col("nChannels").alias("channels"), "data")
 
-    def chunk(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-    lines = np.frombuffer(rgba, np.uint8).reshape(height, width * 4)
-    raw = np.concatenate([np.zeros((height, 1), np.uint8), lines], axis=1).tobytes()
-    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
+def pixels(images: DataFrame) -> DataFrame:
+    """A row per pixel: (name, x, y, r, g, b), laid on white where there is an alpha channel."""
+    c = F.col
+    spread = images.where("height > 0").select("name", "width", "channels", "data", F.explode(F.sequence(F.lit(0), c("width") * c("height") - 1)).alias("i"))
+    hexed = spread.select("name", (c("i") % c("width")).alias("x"), F.floor(c("i") / c("width")).cast("int").alias("y"), "channels", F.hex(F.substring(c("data"), c("i") * c("channels") + 1, c("channels"))).alias("h"))
+    byte = lambda k: F.conv(F.substring("h", 2 * k + 1, 2), 16, 10).cast("int")
+    alpha = F.when(c("channels") == 4, byte(3) / 255).otherwise(F.lit(1.0))
+    on_white = lambda v: 255 + (v - 255) * alpha
+    blue, green, red = (on_white(F.when(c("channels") == 1, byte(0)).otherwise(byte(k))) for k in range(3))
+    return hexed.select("name", "x", "y", red.alias("r"), green.alias("g"), blue.alias("b"))
 
 
-def _yiq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Perceived difference of RGBA pixels laid on white."""
-    flat = lambda p: 255 + (p[:, :3].astype(float) - 255) * (p[:, 3:4] / 255.0)
-    d = flat(a) - flat(b)
-    axes = d @ np.array([[0.29889531, 0.59597799, 0.21147017], [0.58662247, -0.27417610, -0.52261711], [0.11448223, -0.32180189, 0.31114694]])
-    return (axes**2) @ np.array([0.5053, 0.299, 0.1957])
+def compared(before: DataFrame, after: DataFrame, delta: float = 35215 * 0.1 * 0.1) -> DataFrame:
+    """before and after, as ``read`` gives them -> (name, changed, total, percent, state): visibly different pixels of images of one name.
 
+    ``state`` is same-size, size-changed, missing (gone from ``after``) or added; only the first has counts.
+    """
+    size = lambda df, s: df.select("name", F.col("width").alias(f"{s}_width"), F.col("height").alias(f"{s}_height"))
+    both = size(before, "a").join(size(after, "b"), "name", "full")
+    c = F.col
+    state = F.when(c("b_width").isNull(), "missing").when(c("a_width").isNull(), "added").when((c("a_width") == c("b_width")) & (c("a_height") == c("b_height")), "same-size").otherwise("size-changed")
+    named = both.select("name", state.alias("state"), (c("a_width") * c("a_height")).cast("long").alias("total"))
+    same = named.where("state = 'same-size'").select("name")
+    a, b = (pixels(x.join(same, "name", "left_semi")).toDF("name", "x", "y", *(f"{s}_{k}" for k in "rgb")) for x, s in ((before, "a"), (after, "b")))
+    differs = yiq_delta([c("a_r"), c("a_g"), c("a_b")], [c("b_r"), c("b_g"), c("b_b")]) > delta
+    counts = a.join(b, ["name", "x", "y"]).groupBy("name").agg(F.count_if(differs).alias("changed"))
+    return named.join(counts, "name", "left").select("name", "changed", F.when(c("changed").isNotNull(), c("total")).alias("total"), F.round(100.0 * c("changed") / c("total"), 4).alias("percent"), "state")
 
-def decoded(content: Column) -> Column:
-    """Struct of width, height, pixels and error of a PNG column."""
 
-    def run(data: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([decode(x) for x in data], columns=["width", "height", "rgba", "error"])
+def encode(width: int, height: int, rgba: bytes) -> bytes:
+    """RGBA pixels as a PNG without line filters."""
 
-    return F.pandas_udf(run, IMAGE)(content)
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
+    lines = np.frombuffer(rgba, np.uint8).reshape(height, width * 4)
+    raw = np.concatenate([np.zeros((height, 1), np.uint8), lines], axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
-def changed_pixels(a: Column, b: Column, delta: float = 35215 * 0.1 * 0.1) -> Column:
-    """Number of pixels of two equally large images that differ visibly; null where sizes differ."""
 
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(p: bytes | None, q: bytes | None) -> int | None:
-            if p is None or q is None or len(p) != len(q):
-                return None
-            return int((_yiq(*(np.frombuffer(z, np.uint8).reshape(-1, 4) for z in (p, q))) > delta).sum())
+def encoded(width: Column, height: Column, rgba: Column) -> Column:
+    """PNG bytes of images held as RGBA columns."""
 
-        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="Int64")
+    def run(w: pd.Series, h: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([encode(int(a), int(b), x) for a, b, x in zip(w, h, data, strict=True)])
 
-    return F.pandas_udf(run, "long")(a, b)
+    return F.pandas_udf(run, "binary")(width, height, rgba)
