@@ -31,9 +31,24 @@ def test_near_copies(spark, limit):
             rows.append((len(rows) + 10, line + "\n" + " ".join(text)))
     chain = words(200)
     rows += [(500 + i, " ".join(chain[3 * i :] + words(3 * i))) for i in range(8)]
+    long = words(1500)  # sizes on both sides of a power of two have different numbers of cells
+    rows += [(600 + i, " ".join(long[: 980 + 20 * i])) for i in range(8)] + [(700, " ".join(reversed(long)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert len(set(want.values())) < len(rows) - 20
-    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs, posting_limit=limit).collect()} == want
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs, frequent=limit).collect()} == want
     left = corpus_pipeline.near_copies(spark, docs, "").collect()
     assert {r.doc_id for r in left} == set(want.values())
+
+
+def test_defined_cases(spark):
+    schema = "doc_id long, text string, body string, node string, h string"
+    rows = [(1, "a b c d e f", "x", "y", "z"), (1, "a b c d e f", None, "", ""), (None, "A  b c d e f", "", "", ""), (3, None, "", "", ""), (2, "", "", "", ""), (4, "w " * 60000, "", "", ""), (None, "only this one here now", "", "", "")]
+    docs = spark.createDataFrame(rows, schema)
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in nearcopies.near_copies(docs).collect())
+    assert got == sorted([("1", "1"), ("1", "1"), ("None", "1"), ("3", "2"), ("2", "2"), ("4", "4"), ("None", "None")])
+    left = corpus_pipeline.near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    want = sorted([("1", "x"), ("1", "None"), ("None", ""), ("None", ""), ("2", ""), ("4", "")])
+    assert sorted((str(r.doc_id), str(r.body)) for r in left.collect()) == want
+    assert nearcopies.near_copies(spark.createDataFrame([], schema)).count() == 0
