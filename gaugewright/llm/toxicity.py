@@ -2,10 +2,10 @@
 
 Examples are a bounded, hash-picked sample of each label. Every word of theirs is a term; document frequencies are counted
 over the whole corpus, and a term's weight is multiplied by how unevenly the labels hold it (smoothed log odds, never
-zero), so that words which tell nothing about the label do not decide which examples are near. The index holds, for every
-term, its postings by blocks of examples and each block's largest weight: the query's dot product with those bounds every
-cosine of a block, so blocks are opened in order of their bound until none can hold a nearer example. Nothing is
-approximated. Votes of the nearest examples are weighted by squared cosine against a fixed weight for "no evidence", and a
+zero), so that words which tell nothing about the label do not decide which examples are near. The index holds the posting
+list of every term; those of frequent terms lie in blocks of examples with each block's largest weight. What a query's
+other terms give an example, and what its frequent terms can add to a block at most, bound every cosine of the block, so
+blocks are opened in order of their bound until none can hold a nearer example. Nothing is approximated. Votes of the nearest examples are weighted by squared cosine against a fixed weight for "no evidence", and a
 logistic map fitted on a bounded sample with the labels' own proportions makes the vote a calibrated probability.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, keep
 
-BLOCK = 64
+BLOCK = 64  #: examples in a block
 _CLASSES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -37,51 +37,69 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class BlockMax:
-    """Inverted index of unit example vectors, in blocks of similar ones."""
+    """Inverted index of unit example vectors, in blocks of similar ones.
+
+    Terms that more than an eighth of the examples hold are frequent: their postings are kept block by block as dense rows,
+    with each block's largest weight. All other terms have plain posting lists.
+    """
 
     def __init__(self, ids: list, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
         """``rows``: (terms, weights) of each example."""
         strongest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in rows]
         order = sorted(range(len(rows)), key=lambda i: (strongest[i], i))
         self.ids, self.labels = [ids[i] for i in order], np.asarray(labels, float)[order]
+        self.places: dict = {}
+        for i, x in enumerate(self.ids):
+            self.places.setdefault(x, []).append(i)
         sizes = np.array([len(rows[i][0]) for i in order], np.int64)
         terms = np.concatenate([np.zeros(0, np.int64), *(rows[i][0] for i in order)]).astype(np.int64)
         weights = np.concatenate([np.zeros(0, np.float32), *(rows[i][1] for i in order)]).astype(np.float32)
         by_term = np.argsort(terms, kind="stable")
         self.row, self.weight = np.repeat(np.arange(len(order), dtype=np.int32), sizes)[by_term], weights[by_term]
-        terms, block = terms[by_term], self.row // BLOCK
-        new = np.ones(len(terms), bool)
-        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
-        self.first = np.append(np.flatnonzero(new), len(terms))  # of each (term, block), its postings
-        self.block = block[self.first[:-1]]
-        self.peak = np.maximum.reduceat(self.weight, self.first[:-1]) if len(terms) else np.zeros(0, np.float32)
-        self.entry = np.searchsorted(terms[self.first[:-1]], np.arange(n_terms + 1))  # of each term, its blocks
+        self.start = np.searchsorted(terms[by_term], np.arange(n_terms + 1))  # of each term, its postings
         self.blocks = ceil(len(order) / BLOCK)
+        frequent = np.flatnonzero(np.diff(self.start) * 8 > len(order))
+        self.slot = np.full(n_terms, -1, np.int32)
+        self.slot[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((self.blocks, len(frequent), BLOCK), np.float32)
+        for k, t in enumerate(frequent.tolist()):
+            post = slice(self.start[t], self.start[t + 1])
+            self.dense[self.row[post] // BLOCK, k, self.row[post] % BLOCK] = self.weight[post]
+        self.peak = np.ascontiguousarray(self.dense.max(axis=2, initial=0).T)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip=None) -> list[tuple[float, int]]:
-        """The k examples of largest positive cosine, ties by position; ``skip`` leaves out examples with that id."""
-        lengths = self.entry[terms + 1] - self.entry[terms]
-        at, q = _ranges(self.entry[terms], lengths), np.repeat(weights, lengths)
-        if not len(at):
+        """The k examples of largest positive cosine, ties by position; ``skip`` leaves out examples with that id.
+
+        The posting lists of the query's other terms are added up for all examples. What its frequent terms can add to a block
+        is at most their dot product with the block's largest weights; blocks are opened in order of that bound until none
+        can hold a nearer example.
+        """
+        if not self.blocks:
             return []
-        bound = np.bincount(self.block[at], q * self.peak[at], minlength=self.blocks)
+        slot = self.slot[terms]
+        plain = slot < 0
+        own, q, slot = terms[plain], weights[~plain], slot[~plain]
+        size = self.start[own + 1] - self.start[own]
+        at = _ranges(self.start[own], size)
+        part = np.bincount(self.row[at], self.weight[at] * np.repeat(weights[plain], size), minlength=self.blocks * BLOCK)
+        if skip is not None:
+            part[self.places.get(skip, [])] = -2.0
+        part = part.reshape(self.blocks, BLOCK)
+        bound = part.max(axis=1) + q @ self.peak[slot]
         order = np.argsort(-bound, kind="stable")
-        bound, place = bound[order], np.empty(self.blocks, np.int64)
-        place[order] = np.arange(self.blocks)
-        rank = place[self.block[at]]
+        bound = bound[order]
         best: list[tuple[float, int]] = []
-        begin, step = 0, 2
+        begin, step = 0, 4
         while begin < self.blocks and bound[begin] > 0 and (len(best) < k or bound[begin] >= -best[-1][0] - 1e-6):
-            here = (rank >= begin) & (rank < begin + step)
-            own = at[here]
-            size = self.first[own + 1] - self.first[own]
-            post = _ranges(self.first[own], size)
-            cos = np.bincount(self.row[post], self.weight[post] * np.repeat(q[here], size))
+            here = order[begin : begin + step]
+            cos = part[here] + np.matmul(q, self.dense[here[:, None], slot[None, :]])
             least = -best[-1][0] if len(best) == k else 0
-            found = np.flatnonzero((cos > 0) & (cos >= least))
-            if len(found) > 4 * k:  # ties of the last one wanted stay; one more for the row left out
-                found = found[cos[found] >= np.partition(cos[found], -k - 1)[-k - 1]]
-            best = sorted(best + [(-float(cos[j]), j) for j in found.tolist() if skip is None or self.ids[j] != skip])[:k]
+            b, j = np.nonzero((cos > 0) & (cos >= least))
+            found = cos[b, j]
+            if len(found) > 4 * k:  # ties of the last one wanted stay
+                near = found >= np.partition(found, -k)[-k]
+                b, j, found = b[near], j[near], found[near]
+            best = sorted([*best, *zip((-found).tolist(), (here[b] * BLOCK + j).tolist(), strict=True)])[:k]
             begin, step = begin + step, step * 2
         return [(-c, i) for c, i in best]
 
