@@ -40,7 +40,7 @@ def image_base(src: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"(?i)_\d+x(\d+)?(?=\.[a-z0-9]+$)", ""))
 
 
-def product_images(found: Column, named: Column, store: str = r"(?i)cdn\.shopify\.com") -> Column:
+def product_images(found: Column, named: Column, store: str = r"(?i)cdn\.shopify\.com/s/files/|/cdn/shop/") -> Column:
     """The images whose base names are among ``named``; else those of the store's own servers; else all."""
     bases = F.transform(named, image_base)
     own = F.filter(found, lambda i: F.array_contains(bases, image_base(i["src"])))

@@ -74,13 +74,13 @@ def shop(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("<title>"), F.col("name"), on("named", " | ACME-Shop"), F.lit("</title>"))
     tall = F.concat(
         F.lit("<html><head>"), title, F.when(F.col("k") == 0, '<meta name="robots" content="NOINDEX, follow">').otherwise(""), graph, F.lit("</head><body><h1>"), F.col("name"), F.lit("</h1>"), on("one_heading", "<h2>Details</h2>"), F.when(~F.col("one_heading"), "<h3>Details</h3>").otherwise(""),
-        F.lit("<script>var hidden = 1;</script><p>"), words, F.lit("</p><img src='https://cdn.shopify.com/s/Ring_100x.PNG?v=2' alt=\"a small ring of gold\"><img class='x' src=\"/img/"), F.col("k").cast("string"), F.lit('.jpg"'), F.when(F.col("s") % 4 == 0, '').otherwise(F.concat(F.lit(' alt="ring number '), F.col("k").cast("string"), F.lit(' in silver"'))), F.lit('><a href="/collections/rings">Rings</a><a href="https://www.instagram.com/Acme/">Us</a><a href="https://x.com/">x</a><a href="/pages/About-us">About</a><a href="/contact">Mail</a></body></html>'),
+        F.lit("<script>var hidden = 1;</script><p>"), words, F.lit("</p><img src='https://cdn.shopify.com/s/files/Ring_100x.PNG?v=2' alt=\""), F.when(F.col("s") % 3 == 1, "ring").otherwise("a small ring of gold"), F.lit("\"><img class='x' src=\"/img/"), F.col("k").cast("string"), F.lit('.jpg"'), F.when(F.col("s") % 4 == 0, '').otherwise(F.concat(F.lit(' alt="ring number '), F.col("k").cast("string"), F.lit(' in silver"'))), F.lit('><a href="/collections/rings">Rings</a><a href="https://www.instagram.com/Acme/">Us</a><a href="https://x.com/">x</a><a href="/pages/About-us">About</a><a href="/contact">Mail</a></body></html>'),
     )
     hop = F.concat(F.lit('<html><head><link rel="canonical" href="https://elsewhere.example/'), F.col("k").cast("string"), F.lit('"></head><body>Moved</body></html>'))
     return p.select("k", url.alias("url"), F.when(F.col("stub"), hop).otherwise(tall).alias("html"), F.col("k").alias("order"), F.lit(SITE).alias("site"))
 
 
-@query(f"WITH {P} SELECT k, CAST(i AS BIGINT) AS at, CASE i WHEN 0 THEN 'https://cdn.shopify.com/s/Ring_100x.PNG?v=2' ELSE '/img/' || k || '.jpg' END AS src, CASE WHEN i = 0 THEN 'a small ring of gold' WHEN s % 4 <> 0 THEN 'ring number ' || k || ' in silver' END AS alt, CASE i WHEN 0 THEN 'ring.png' ELSE k || '.jpg' END AS base FROM p, (SELECT unnest([0, 1]) AS i) WHERE NOT stub")
+@query(f"WITH {P} SELECT k, CAST(i AS BIGINT) AS at, CASE i WHEN 0 THEN 'https://cdn.shopify.com/s/files/Ring_100x.PNG?v=2' ELSE '/img/' || k || '.jpg' END AS src, CASE WHEN i = 0 AND s % 3 = 1 THEN 'ring' WHEN i = 0 THEN 'a small ring of gold' WHEN s % 4 <> 0 THEN 'ring number ' || k || ' in silver' END AS alt, CASE i WHEN 0 THEN 'ring.png' ELSE k || '.jpg' END AS base FROM p, (SELECT unnest([0, 1]) AS i) WHERE NOT stub")
 def f03_f32_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shop(spark, sf_dir).select("k", F.posexplode(facts.images(F.col("html"))).alias("at", "i"))
     return found.select("k", F.col("at").cast("long").alias("at"), "i.src", "i.alt", facts.image_base(F.col("i.src")).alias("base"))
@@ -161,7 +161,7 @@ def c14_breadcrumb_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FAILS = [
-    ("crawlable-text", 2, "s < 21"), ("image-alt-text", 3, "s % 4 = 0"), ("heading-hierarchy", 3, "NOT one_heading"), ("brand-in-title", 1, "product_page AND NOT named"),
+    ("crawlable-text", 2, "s < 21"), ("image-alt-text", 3, "s % 4 = 0 OR s % 3 = 1"), ("heading-hierarchy", 3, "NOT one_heading"), ("brand-in-title", 1, "product_page AND NOT named"),
     ("product-schema", 1, "product_page AND NOT (NOT broken AND is_product AND price AND currency AND availability)"), ("product-schema-rich", 2, "product_page AND NOT (NOT broken AND is_product AND (gtin OR (brand AND mpn)))"),
     ("review-schema", 2, "product_page AND NOT (NOT broken AND is_product AND rating)"), ("shipping-schema", 2, "product_page AND NOT (NOT broken AND is_product AND shipping)"), ("faq-schema", 2, "product_page AND NOT (NOT broken AND faq)"),
     ("breadcrumb-schema", 3, "product_page AND NOT (NOT broken AND trail)"), ("video-schema", 3, "product_page AND NOT broken AND video AND NOT thumbnail"),
