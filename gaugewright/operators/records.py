@@ -103,8 +103,8 @@ def not_english(line: Column) -> Column:
     return F.regexp_like(line, F.lit(f"[{VIETNAMESE_LETTERS}]")) | F.regexp_like(line, F.lit(r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(VIETNAMESE_WORDS) + r")(?![\p{L}\p{N}])"))
 
 
-def block_type(parameters: Column, module: Column, key: str = "jatools-config") -> Column:
-    """Type of a slot's block, kept as JSON within JSON; without one the module's name, or unknown."""
+def block_type(parameters: Column, module: Column, key: str) -> Column:
+    """Type of a slot's block, which the parameters keep under ``key`` as JSON within JSON; without one the module's name, or unknown."""
     kind = F.get_json_object(F.get_json_object(parameters, f"$['{key}']"), "$[':type']")
     return F.when(F.contains(kind, F.lit(":")), F.regexp_replace(kind, "^[^:]*:", "")).otherwise(F.coalesce(F.nullif(module, F.lit("")), F.lit("unknown")))
 

@@ -307,9 +307,9 @@ def s19_screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT c_custkey AS k, CASE WHEN c_nationkey % 4 = 0 THEN 'grid' WHEN c_nationkey % 4 = 1 THEN 'mod_' || lower(c_mktsegment) WHEN c_nationkey % 4 = 2 THEN 'unknown' ELSE 'a:b' END AS block FROM customer""")
 def f56_block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inner = F.expr("""case c_nationkey % 4 when 0 then '{":type":"acm:grid"}' when 1 then '{":type":7}' when 2 then 'broken' else '{":type":"acm:a:b"}' end""")
-    parameters = F.to_json(F.struct(F.lit(1).alias("x"), inner.alias("jatools-config")))
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), records.block_type(parameters, F.expr("if(c_nationkey % 4 = 2, '', concat('mod_', lower(c_mktsegment)))")).alias("block"))
+    inner = F.expr("""case c_nationkey % 4 when 0 then '{":type":"kit:grid"}' when 1 then '{":type":7}' when 2 then 'broken' else '{":type":"kit:a:b"}' end""")
+    parameters = F.to_json(F.struct(F.lit(1).alias("x"), inner.alias("block")))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), records.block_type(parameters, F.expr("if(c_nationkey % 4 = 2, '', concat('mod_', lower(c_mktsegment)))"), "block").alias("block"))
 
 
 @query("""SELECT event_id, event_type IN ('view', 'click') AS foreign_line FROM events""")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .stored import qualified, store
+
 
 def documents(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """(path, text) of every file below a folder whose name fits, whole; sort by path where order matters."""
@@ -91,14 +92,15 @@ def age_in_days(then: Column, now: Column) -> Column:
 
 
 def write_files(rows: DataFrame, folder: str) -> None:
-    """Write rows(name, content) as files of a folder named by URI, from the tasks; a task that is run again replaces its files."""
+    """Write rows(name, content) as files of a folder, from the tasks; a task that is run again replaces its files."""
+    uri = qualified(rows.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = fs.FileSystem.from_uri(folder)
-        store.create_dir(path, recursive=True)
+        files, path = store(uri)
+        files.create_dir(path, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_output_stream(f"{path}/{name}", compression=None) as out:
+                with files.open_output_stream(f"{path}/{name}", compression=None) as out:
                     out.write(content)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 

@@ -1,6 +1,9 @@
 """Files, images and sinks: round trips and damaged inputs."""
 
 import json
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -104,3 +107,27 @@ def test_support(spark):
     df = spark.createDataFrame(rows, "name string, domain string, evidence string, answer string, cited array<string>, want boolean")
     got = df.select(answers.supported(*(F.col(c) for c in ("name", "domain", "evidence", "answer", "cited"))), "want").collect()
     assert [r[0] for r in got] == [r.want for r in got]
+
+
+SHARED = """
+import sys
+from pyspark.sql import SparkSession
+from gaugewright.sources import files, stored
+b = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+spark = (b.config("spark.checkpoint.dir", sys.argv[1]) if sys.argv[1] else b).getOrCreate()
+rows = stored.stored(spark.createDataFrame([("a b.txt", b"x")], "name string, content binary"), "rows")
+folder = stored.fresh(spark, "out")
+files.write_files(rows, folder)
+assert [r.text for r in files.documents(spark, folder, "*.txt").collect()] == ["x"]
+assert stored.shared_folder(spark) == stored.shared_folder(spark)
+print(folder)
+"""
+
+
+@pytest.mark.parametrize("scheme", [None, "", "file://"])
+def test_shared_folder_with_and_without_a_scheme_and_unset(tmp_path, scheme):
+    named = "" if scheme is None else f"{scheme}{tmp_path}/shared"
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path)}  # no defaults of this machine
+    run = subprocess.run([sys.executable, "-c", SHARED, named], env=env, capture_output=True, text=True, timeout=240)
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert run.stdout.strip().startswith(f"file://{tmp_path}/shared/" if named else "file:///")
