@@ -2,33 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import suppress
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import fresh, store
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one only where all run on this machine (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="gaugewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder below the one that driver and executors share that nothing has used yet."""
+    return fresh(spark, name)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -43,8 +32,8 @@ def forget(df: DataFrame) -> None:
     """Delete the files of a table that ``keep`` wrote and nothing reads any more; they stay where Arrow does not know the store."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         with suppress(pa.ArrowInvalid, FileNotFoundError):
-            store, path = fs.FileSystem.from_uri(name)
-            store.delete_dir(path)
+            files, path = store(name)
+            files.delete_dir(path)
 
 
 def bounded_sample(rows: DataFrame, by: str | None, most: int, salt: str) -> DataFrame:

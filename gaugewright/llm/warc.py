@@ -7,7 +7,8 @@ sparse directory of each block's first and last key (second level), then the dir
 ranges of the index files, one row each; a task then reads the directory at a file's end, bisects it, reads the blocks it
 names by their ranges, bisects their lines, and the records found are read by their ranges from the archives.
 
-Tasks read and write these files through Arrow's file systems (local or mounted folders, HDFS, S3, GCS), named by URI.
+Tasks read and write these files through Arrow's file systems (local or mounted folders, HDFS, S3, GCS). Folders are named by
+URI; one without a scheme belongs to Spark's default file system.
 A task's files have fresh names and count only once Spark has committed the rows that list them, so tasks may be repeated
 or lost; files of failed attempts stay behind unread.
 """
@@ -27,10 +28,10 @@ from itertools import pairwise
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import qualified, store
 from .common import fresh_path, keep
 
 END = b"\r\n\r\n"
@@ -65,13 +66,6 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and folder of a URI."""
-    if "://" not in uri:
-        raise ValueError(f"name the shared folder with its scheme, such as file:// or hdfs://, not {uri}")
-    return fs.FileSystem.from_uri(uri)
-
-
 def header(page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None) -> bytes:
     """Head of a record; ``refers_to`` makes it a revisit, which stores no payload."""
     again = refers_to is not None
@@ -159,9 +153,11 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes
     again = F.coalesce((F.col("page_id").isNull() | (F.col("page_id") != F.col("keeper"))) & F.col("keeper").isNotNull() & (F.col("size") >= least_bytes), F.lit(False))
     dealt = marked.select("page_id", "url", "digest", "size", F.when(again, F.col("keeper")).alias("refers_to"), F.when(~again, F.col("packed")).alias("packed"))
 
+    path = qualified(pages.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(path)
-        store.create_dir(folder, recursive=True)
+        disk, folder = store(path)
+        disk.create_dir(folder, recursive=True)
         out, name, at = None, "", 0
         for batch in batches:
             found = []
@@ -173,7 +169,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes
                     if out is not None:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                    out = disk.open_output_stream(f"{folder}/{name}", compression=None)
                 out.write(data)
                 found.append((key_of(url), page_id, name, at, len(data)))
                 at += len(data)
@@ -187,12 +183,14 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes
 def scan_archives(files: DataFrame, path: str) -> DataFrame:
     """files(file) under ``path`` -> captures (key, page_id, file, offset, length): archives read from end to end, a record in memory at a time."""
 
+    path = qualified(files.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(path)
+        disk, folder = store(path)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 found, begin, read = [], 0, 0
-                with store.open_input_stream(f"{folder}/{name}", compression=None) as source:
+                with disk.open_input_stream(f"{folder}/{name}", compression=None) as source:
                     left = b""
                     while left or (left := source.read(1 << 20)):
                         unpack, record = zlib.decompressobj(31), []
@@ -214,11 +212,12 @@ def scan_archives(files: DataFrame, path: str) -> DataFrame:
 def build_index(captures: DataFrame, path: str, partitions: int | None = None) -> None:
     """Write captures as index files under ``path``, and ``path``/parts with a row for each. Equal keys, however many, are spread over blocks and files."""
     spark = captures.sparkSession
+    path = qualified(spark, path)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(path)
-        store.create_dir(folder, recursive=True)
+        disk, folder = store(path)
+        disk.create_dir(folder, recursive=True)
         name, out, at, total = f"{uuid.uuid4().hex}.cdx", None, 0, 0
         directory: list[tuple[str, str, int, int]] = []
         lines: list[tuple[str, str]] = []
@@ -231,7 +230,7 @@ def build_index(captures: DataFrame, path: str, partitions: int | None = None) -
 
         for batch in batches:
             if batch.num_rows and out is None:
-                out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                out = disk.open_output_stream(f"{folder}/{name}", compression=None)
             total += batch.num_rows
             keys, *rest = (c.to_pylist() for c in batch.columns)
             lines += zip(keys, map(json.dumps, zip(*rest, strict=True)), strict=True)
@@ -259,6 +258,7 @@ def search(spark: SparkSession, index: str, urls: DataFrame) -> DataFrame:
     The index files' key ranges, one row a file and as many files as the index had partitions, are bisected once per key;
     their directories and blocks are read by tasks. Repeated URLs count once; a null URL asks for captures without one.
     """
+    index = qualified(spark, index)
     parts = spark.read.parquet(f"{index}/parts").orderBy("first_key", "last_key").collect()
     firsts, lasts, names = ([r[c] for r in parts] for c in ("first_key", "last_key", "part"))
 
@@ -271,14 +271,14 @@ def search(spark: SparkSession, index: str, urls: DataFrame) -> DataFrame:
             yield _table(list(found), ["part", "key"], [pa.string()] * 2)
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(index)
+        disk, folder = store(index)
         part, source, directory, opened = None, None, [], (-1, [])
         for batch in batches:
             for name, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name != part:
                     if source is not None:
                         source.close()
-                    part, source, opened = name, store.open_input_file(f"{folder}/{name}"), (-1, [])
+                    part, source, opened = name, disk.open_input_file(f"{folder}/{name}"), (-1, [])
                     at, size = struct.unpack(">QQ", source.read_at(16, source.size() - 16))
                     directory = json.loads(zlib.decompress(source.read_at(size, at)))
                 low = bisect.bisect_left(directory, key, key=lambda x: x[1])
@@ -302,9 +302,10 @@ def fetch(captures: DataFrame, archives: str, payloads: bool = True) -> DataFram
     """captures -> the same with url, record_type, refers_to, payload_bytes, payload_digest and, if asked, payload; only the records' ranges are read."""
     facts = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    archives = qualified(captures.sparkSession, archives)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(archives)
+        disk, folder = store(archives)
         name, source = None, None
 
         def table(found: list[tuple]) -> pa.RecordBatch:
@@ -323,7 +324,7 @@ def fetch(captures: DataFrame, archives: str, payloads: bool = True) -> DataFram
                 if files[a] != name:
                     if source is not None:
                         source.close()
-                    name, source = files[a], store.open_input_file(f"{folder}/{files[a]}")
+                    name, source = files[a], disk.open_input_file(f"{folder}/{files[a]}")
                 data = memoryview(source.read_at(offsets[b - 1] + lengths[b - 1] - offsets[a], offsets[a]))
                 for i in range(a, b):
                     headers, payload = parse(zlib.decompress(data[offsets[i] - offsets[a] : offsets[i] - offsets[a] + lengths[i]], 31))

@@ -107,9 +107,13 @@ def test_empty_table(spark):
     assert warc.lookup(spark, archives, index, spark.createDataFrame([("http://a.org",)], "url string")).count() == 0
 
 
-def test_folders_need_a_scheme(spark):
-    with pytest.raises(ValueError, match="scheme"):
-        warc._store("/shared/x")
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_folders_with_and_without_a_scheme(spark, tmp_path, scheme):
+    pages = spark.createDataFrame([(1, "http://a.org", "ab", ""), (2, "http://b.org", "ab", "")], SCHEMA)
+    archives, index = f"{scheme}{tmp_path}/two words", f"{scheme}{tmp_path}/index"
+    warc.build_index(warc.write_archives(pages, archives), index)
+    found = warc.lookup(spark, archives, index, pages.select("url")).collect()
+    assert sorted((r.page_id, r.record_type, r.payload) for r in found) == [(1, "revisit", b""), (2, "response", b"ab")]
 
 
 def test_url_keys():
