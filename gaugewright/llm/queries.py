@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, linededup, mixing, neighbours, secrets, simhash, toxicity, warc
+from . import conversations, decontaminate, fingerprints, langid, licenses, linededup, mixing, neighbours, secrets, simhash, spelling, toxicity, warc
 from .common import read
 
 
@@ -60,8 +61,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def _misspelt() -> Column:
+    """The word, or for one in 97 pairs of document and word the word without one code point."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "word").cast("binary"))
+    at = (h % F.char_length("word")).cast("int")
+    return F.when(h % 97 == 0, F.concat(F.substring("word", F.lit(1), at), F.substring(F.col("word"), at + 2, F.char_length("word")))).otherwise(F.col("word"))
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(spelling.words(read(spark, sf_dir, "documents"), _misspelt())))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, heads = F.col("conv_id") - F.col("conv_id") % 20, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return conversations.trie(conversations.rebuilt(read(spark, sf_dir, "conversations"), base, heads))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edits(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_toxicity, op4_licenses, op5_language, op6_line_dedup, op7_warc, op8_neighbours, op9_secrets, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_toxicity, op4_licenses, op5_language, op6_line_dedup, op7_warc, op8_neighbours, op9_secrets, op10_decontaminate, op11_spelling, op12_conversation_trie, op13_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
