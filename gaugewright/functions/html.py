@@ -6,10 +6,11 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squeeze, strip_tags, word_count
+from .text import ENTITIES, cap_ends, html_text, squeeze, strip_tags, word_count
 
 
 def title(html: Column) -> Column:
@@ -46,6 +47,71 @@ def body_text(html: Column) -> Column:
     return strip_tags(F.regexp_replace(html, "(?is)<head\\b.*?</head>", " "))
 
 
+#: Elements that are no main text, by name; by words of an id that begins with SECTION; by words of a class.
+ASIDES = ("header", "nav", "footer", "aside")
+SECTION = "shopify-section-"
+SECTION_WORDS = ("header", "footer", "announcement", "cart", "drawer", "popup", "newsletter", "menu")
+HIDDEN_WORDS = ("visually-hidden", "visuallyhidden", "sr-only", "screen-reader", "skip-to-content")
+#: Phrases that themes repeat on every page; # stands for a number.
+REPEATED = (
+    "Skip to content", "Skip to product information", "Skip to information", "Open media # in modal", "Play video", "# / of #", "#% (#)", "Be the first to write a review", "Write a review", "Share Share Link Close share Copy link",
+    "View full details",
+)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)\b([^>]*)>")
+_NAMED = re.compile(r"""\b(id|class)\s*=\s*"([^"]*)\"""")
+
+
+def _is_aside(name: str, attributes: str) -> bool:
+    if name in ASIDES:
+        return True
+    given = {k: v.lower() for k, v in _NAMED.findall(attributes.lower())}
+    section = given.get("id", "")
+    return (section.startswith(SECTION) and any(w in section for w in SECTION_WORDS)) or any(w in given.get("class", "") for w in HIDDEN_WORDS)
+
+
+def main_region(page: str) -> str:
+    """What a page shows as its own: inside the first <main> if there is one, without asides.
+
+    Tags are read once, in order. A stack for each element's name pairs every end with the begin of its depth, so an element
+    goes with all it holds, further elements of its name too; one without an end loses its tag only.
+    """
+    tags = [(m.start(), m.end(), bool(m[1]), m[2].lower(), m[3]) for m in _TAG.finditer(page)]
+    low, high = 0, len(page)
+    if begin := next((t for t in tags if t[3] == "main" and not t[2]), None):
+        if end := next((t for t in tags if t[3] == "main" and t[2] and t[0] >= begin[1]), None):
+            low, high = begin[1], end[0]
+    stacks: dict[str, list[tuple[int, bool]]] = {}
+    spans = []
+    for start, stop, closes, name, attributes in tags:
+        if not low <= start < high:
+            continue
+        if not closes:
+            stacks.setdefault(name, []).append((start, _is_aside(name, attributes)))
+        elif stacks.get(name):
+            begun, aside = stacks[name].pop()
+            if aside:
+                spans.append((begun, stop))
+    out, at = [], low
+    for begun, stop in sorted(spans):
+        if stop > at:
+            out += [page[at : max(at, begun)], " "]
+            at = stop
+    return "".join(out) + page[at:high]
+
+
+def _main_regions(pages: pa.Array) -> pa.Array:
+    return pa.array([None if p is None else main_region(p) for p in pages.to_pylist()], pa.string())
+
+
+def main_text(html: Column, cap: int = 8000) -> Column:
+    """Text of a page's main region, without what themes repeat, its head and tail if it is longer than ``cap``; empty for none."""
+    text = html_text(F.arrow_udf(_main_regions, "string")(F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<(script|style)\\b.*?</\\1>", " ")), 1 << 30)
+    for phrase in REPEATED:
+        pattern = re.sub(r"\\?#", r"\\d+", re.escape(phrase))
+        text = F.regexp_replace(text, ("\\b" if phrase[-1] == ")" else "(?i)\\b") + pattern + ("" if phrase[-1] == ")" else "\\b"), " ")
+    return cap_ends(squeeze(text), cap)
+
+
 def arrival(html: Column) -> Column:
     """'received', or why a page did not arrive: bot-wall, js-shell or empty."""
     text = body_text(html)
@@ -99,3 +165,25 @@ def page_facts(pages):
         .withColumn("canonical", canonical(F.col("html")))
         .withColumn("content_hash", F.sha1(F.col("text").cast("binary")))
     )
+
+
+#: Headings that introduce no content of their own.
+BARE_HEADINGS = ("follow us:",)
+#: What a heading needs at least to carry a block.
+LEAST_HEADING = 8
+
+
+def heading_pairs(html: Column, least: int = LEAST_HEADING) -> Column:
+    """Array of (heading, body): each heading of a fragment with the paragraph right after it, empty if none follows; short headings are left out."""
+    shape = "(?is)<h([1-6])[^>]*>(.*?)</h\\1>\\s*(?:<p[^>]*>(.*?)</p>)?"
+    plain = lambda x: squeeze(decode_entities(F.regexp_replace(x, "<[^>]+>", " ")))
+    pairs = F.transform(F.regexp_extract_all(html, F.lit(shape), F.lit(0)), lambda x: F.struct(plain(F.regexp_extract(x, shape, 2)).alias("heading"), plain(F.regexp_extract(x, shape, 3)).alias("body")))
+    return F.filter(pairs, lambda p: (F.char_length(p["heading"]) >= least) & ~F.lower(p["heading"]).isin(*BARE_HEADINGS))
+
+
+def decode_entities(text: Column) -> Column:
+    """Text with the six entities decoded that stay text; &amp; last, so that nothing is decoded twice."""
+    for entity, plain in ENTITIES.items():
+        if entity != "&amp;":
+            text = F.replace(text, F.lit(entity), F.lit(plain))
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))

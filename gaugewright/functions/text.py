@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,9 +16,14 @@ ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"
 QUESTION_MARKS = "?？؟"
 
 
-def _latin_folds() -> tuple[str, str]:
-    """Precomposed Latin letters and their base letters, by rule from the Unicode tables."""
-    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.combining(unicodedata.normalize("NFD", c)[-1])]
+@cache
+def _single_folds() -> tuple[str, str]:
+    """Letters of any script that decompose to one letter and marks of U+0300 to U+036F, and that letter, by rule from the Unicode tables."""
+    pairs = []
+    for c in map(chr, [*range(0xC0, 0xAC00), *range(0xF900, 0x10000)]):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if base != c and all("\u0300" <= m <= "\u036f" for m in marks):
+            pairs.append((c, base))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -51,8 +57,11 @@ def word_count(text: Column) -> Column:
 
 
 def fold(col: Column) -> Column:
-    """Lower case without diacritics: precomposed letters by table, combining marks dropped, six special letters mapped."""
-    source, target = _latin_folds()
+    """Lower case without diacritics in any script: letters with marks by table, combining marks dropped, six special letters mapped.
+
+    Syllables and letters whose marks lie outside U+0300 to U+036F stay composed; ``places.decomposed`` takes these apart too.
+    """
+    source, target = _single_folds()
     out = F.translate(F.lower(col), source, target)
     for letter, plain in SPECIAL_FOLDS.items():
         out = F.replace(out, F.lit(letter), F.lit(plain))
@@ -97,9 +106,9 @@ def in_windows(needle: Column, haystack: Column, short: int = 60, width: int = 4
 
 
 def cap_ends(text: Column, cap: int, mark: str = " […] ") -> Column:
-    """Long texts keep seven tenths of the cap from the head and the rest from the tail."""
-    head = cap * 7 // 10
-    return F.when(F.length(text) <= cap, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit(mark), F.right(text, F.lit(cap - head))))
+    """Long texts keep their head and tail, seven tenths and the rest of what the mark between leaves of the cap."""
+    head = (cap - len(mark)) * 7 // 10
+    return F.when(F.length(text) <= cap, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit(mark), F.right(text, F.lit(cap - len(mark) - head))))
 
 
 def cap_words(text: Column, cap: int) -> Column:

@@ -63,15 +63,31 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda x: F.split(x, "#")[0]))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its dot parts resolved: . goes, .. goes with the part before it, none leaves the root; a dot part at the end leaves a slash there."""
+    parts = F.split(path, "/")
+    up, here = lambda x: F.lower(x).isin("..", ".%2e", "%2e.", "%2e%2e"), lambda x: F.lower(x).isin(".", "%2e")
+    none = F.array().cast("array<string>")
+    step = lambda done, x: F.when(up(x), F.when(F.size(done) > 1, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)).when(here(x), done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(parts, none, step)
+    last = F.element_at(parts, -1)
+    return F.when(~F.regexp_like(path, F.lit("(?i)(^|/)(\\.|%2e)")), path).otherwise(F.concat(F.array_join(kept, "/"), F.when(up(last) | here(last), "/").otherwise("")))
+
+
 def resolve(link: Column, page: Column) -> Column:
-    """Absolute form of absolute, scheme-relative, rooted and plain relative links; dot parts stay as written."""
+    """Absolute form of absolute, scheme-relative, rooted, relative and query-only links, dot parts resolved; null for other schemes."""
     scheme, authority = F.try_parse_url(page, F.lit("PROTOCOL")), F.try_parse_url(page, F.lit("AUTHORITY"))
     root = F.concat(scheme, F.lit("://"), authority)
-    folder = F.regexp_replace(F.coalesce(F.try_parse_url(page, F.lit("PATH")), F.lit("/")), "[^/]*$", "")
-    return (
+    own = F.coalesce(F.try_parse_url(page, F.lit("PATH")), F.lit("/"))
+    folder = F.regexp_replace(own, "[^/]*$", "")
+    target = (
         F.when(F.regexp_like(link, F.lit("^(?i:https?)://")), link)
         .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
         .when(F.startswith(link, F.lit("/")), F.concat(root, link))
         .when(F.regexp_like(link, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), None)
+        .when(F.startswith(link, F.lit("?")), F.concat(root, F.when(own == "", "/").otherwise(own), link))
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), link))
     )
+    shape = "^([a-zA-Z]+://[^/?#]*)([^?#]*)(.*)$"
+    dotted = F.regexp_like(target, F.lit("(?i)^[a-z]+://[^?#]*/(\\.|%2e){1,2}(/|\\?|#|$)"))
+    return F.when(dotted, F.concat(F.regexp_extract(target, shape, 1), without_dots(F.regexp_extract(target, shape, 2)), F.regexp_extract(target, shape, 3))).otherwise(target)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -141,11 +141,28 @@ def skill_problem(text: Column) -> Column:
     )
 
 
-def line_changes(files: DataFrame, key: str, old: str, new: str) -> DataFrame:
-    """(key, added, removed): lines that one side has more often than the other; moved lines are no change."""
-    side = lambda c, a, b: files.select(key, F.explode(F.split(c, "\\n")).alias("line"), F.lit(a).alias("o"), F.lit(b).alias("n"))
-    per = side(old, 1, 0).union(side(new, 0, 1)).groupBy(key, "line").agg((F.sum("n") - F.sum("o")).alias("d"))
-    return per.groupBy(key).agg(F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed"))
+def markdown_pairs(texts: DataFrame, key: str, body: str, least: int = 8) -> DataFrame:
+    """texts(key, body) -> (key, place, heading, body): each heading of a Markdown text with the paragraph that follows it before anything else does.
+
+    Lines are numbered by the heading they stand under; fenced code holds no headings. A paragraph ends at a blank line, a
+    fence or a heading, its lines are joined by blanks. Headings under ``least`` characters are left out; ``place`` counts those of the text.
+    """
+    lines = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.posexplode(F.split(body, "\\r?\\n")).alias("at", "line"))
+    order = Window.partitionBy("k").orderBy("at")
+    fence = F.regexp_like("line", F.lit("^\\s{0,3}(```|~~~)"))
+    lines = lines.withColumn("fence", fence).withColumn("inside", F.sum(fence.cast("int")).over(order) % 2 == 1)
+    head = ~F.col("inside") & F.regexp_like("line", F.lit("^\\s{0,3}#{1,6}\\s+\\S"))
+    plain = ~F.col("inside") & ~F.col("fence") & ~F.col("head") & (F.trim("line") != "")
+    lines = lines.withColumn("head", head).withColumn("under", F.sum(F.col("head").cast("int")).over(order)).where("under > 0").withColumn("plain", plain)
+    below = Window.partitionBy("k", "under").orderBy("at")
+    # blank lines right below a heading do not count; what ends a paragraph does, once it has begun, and a fence always
+    begun = F.max(F.col("plain").cast("int")).over(below)
+    stop = ~F.col("head") & ~F.col("plain") & ((begun == 1) | F.col("fence"))
+    lines = lines.withColumn("stopped", F.max(stop.cast("int")).over(below))
+    words = F.array_sort(F.collect_list(F.when(F.col("plain") & (F.col("stopped") == 0), F.struct("at", F.trim("line").alias("line")))))
+    title = F.max(F.when(F.col("head"), F.trim(F.regexp_replace(F.regexp_replace("line", "^\\s{0,3}#{1,6}\\s+", ""), "\\s+#+\\s*$", ""))))
+    pairs = lines.groupBy("k", "under").agg(title.alias("heading"), F.array_join(F.transform(words, lambda x: x["line"]), " ").alias("text"))
+    return pairs.where(F.char_length("heading") >= least).select(F.col("k").alias(key), F.col("under").alias("place"), "heading", F.col("text").alias("body"))
 
 
 def rendered(template: Column, values: dict[str, Column]) -> tuple[Column, Column]:

@@ -67,8 +67,8 @@ FACTS = {
     "search_blocked": "x % 9 = 0", "noindex": "x % 8 = 0", "assistant_blocked": "x % 7 = 0", "in_feed": "case when x % 3 = 0 then x % 2 = 0 end", "reachable": "x % 11 <> 0", "related_links": "x % 2 = 0", "token_coverage": "case when x % 6 <> 0 then (x % 21) / 20.0 end",
     "images": "x % 6", "images_with_alt": "least(x % 6, x % 4)", "h1_count": "1 + x % 2", "name_match": "(x % 11) / 10.0", "skips_level": "x % 5 = 0", "brand_in_title": "x % 4 = 0", "has_product": "x % 5 <> 0", "has_offer": "x % 3 <> 0",
     "has_price": "true", "has_currency": "x % 2 = 0", "has_availability": "x % 7 <> 0", "valid_gtin": "x % 5 = 1", "has_brand": "x % 3 = 1", "has_mpn": "x % 4 = 1", "has_sku": "x % 2 = 1", "has_review": "x % 4 = 2", "rating": "case when x % 4 > 1 then x % 7 end",
-    "worst": "case when x % 2 = 0 then 1 end", "best": "case when x % 3 = 0 then 10 end", "rating_count": "x % 3", "has_shipping": "x % 3 = 0", "has_rate": "true", "has_destination": "x % 2 = 0", "has_time": "x % 4 <> 0", "has_faq": "x % 5 > 1", "valid_questions": "x % 3",
-    "has_organization": "x % 6 <> 0", "has_org_name": "true", "has_logo": "x % 2 = 1", "has_same_as": "x % 3 = 1", "has_video": "x % 10 = 0", "video_embed": "x % 4 = 0", "video_fields": "x % 7", "date_text": "x % 13 = 0", "panel": "x % 17 = 0", "encyclopedia": "x % 19 = 0", "data_entry": "x % 5 = 0",
+    "worst": "case when x % 2 = 0 then 1 end", "best": "case when x % 3 = 0 then 10 end", "rating_count": "case when x % 3 > 0 then x % 3 - 1 end", "has_shipping": "x % 3 = 0", "has_rate": "true", "has_destination": "x % 2 = 0", "has_time": "x % 4 <> 0", "has_faq": "x % 5 > 1", "valid_questions": "x % 3",
+    "has_organization": "x % 6 <> 0", "has_org_name": "true", "has_logo": "x % 2 = 1", "has_same_as": "x % 3 = 1", "has_video": "x % 10 = 0", "video_embed": "x % 4 = 0", "video_fields": "x % 7", "own_images": "x % 6", "own_video": "x % 4 = 0", "date_text": "x % 13 = 0", "panel": "x % 17 = 0", "encyclopedia": "x % 19 = 0", "data_entry": "x % 5 = 0",
     "shipping_band": "case x % 5 when 0 then 'na' when 1 then '0' when 2 then '50' when 3 then '100' end", "received": "x % 23 <> 0",
 }
 #: The same rules, written for the oracle.
@@ -81,12 +81,12 @@ case when h1_count <> 1 then 0 when name_match >= 0.8 and not skips_level then 1
 case when brand_in_title then 100 else 0 end|brand-in-title
 case when not has_product then 0 when has_offer and has_price and has_currency and has_availability then 100 else 50 end|product-schema
 case when valid_gtin or (has_brand and has_mpn) then 100 when has_brand or has_mpn or has_sku then 50 else 0 end|product-schema-rich
-case when not has_review and rating is null then 0 when rating between coalesce(worst, 0) and coalesce(best, 5) and rating_count > 0 then 100 else 50 end|review-schema
+case when not has_review and rating is null then 0 when rating between coalesce(worst, 0) and coalesce(best, 5) and rating_count is not null then 100 else 50 end|review-schema
 case when not has_shipping then 0 when has_rate and has_destination and has_time then 100 else 50 end|shipping-schema
 case when not has_faq then 0 when valid_questions > 0 then 100 else 50 end|faq-schema
 case when not has_organization then 0 when has_org_name and has_logo and has_same_as then 100 else 50 end|organization-schema
 case when has_video then case when video_fields >= 5 then 100 else 50 end when video_embed then 0 end|video-schema
-case when images >= 4 then 50 else 0 end + case when video_embed then 25 else 0 end|original-media
+case when own_images >= 4 then 50 else 0 end + case when own_video then 25 else 0 end|original-media
 case when shown_date is null and not date_text then 0 when shown_date is not null and date_diff('day', shown_date, date '2000-01-01') <= 180 then 100 else 50 end|freshness
 case when panel or encyclopedia then 100 when data_entry then 50 else 0 end|entity-databases
 case when shipping_band = 'na' then 0 else try_cast(shipping_band as integer) end|shipping-competitive"""

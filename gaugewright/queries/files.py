@@ -328,14 +328,6 @@ def f72_r20_skill_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("k"), records.skill_head(text).alias("h"), records.skill_problem(text).alias("problem")).select("k", "h.name", "h.description", "problem")
 
 
-@query("""WITH l AS (SELECT l_orderkey AS k, CAST(l_quantity AS INTEGER) AS line, CASE WHEN l_returnflag = 'A' THEN -1 WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS d FROM lineitem), g AS (SELECT k, line, sum(d) AS d FROM l GROUP BY 1, 2) SELECT k, CAST(sum(greatest(d, 0)) AS BIGINT) AS added, CAST(sum(greatest(-d, 0)) AS BIGINT) AS removed FROM g GROUP BY 1""")
-def a53_line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that are only in an order's old or new list, as lines of two files."""
-    items = read(spark, sf_dir, "lineitem").withColumn("line", F.col("l_quantity").cast("int").cast("string"))
-    listed = lambda *flags: F.array_join(F.concat(F.array(F.lit("head")), F.collect_list(F.when(F.col("l_returnflag").isin(*flags), F.col("line")))), "\n")
-    return records.line_changes(items.groupBy(F.col("l_orderkey").alias("k")).agg(listed("A", "N").alias("old"), listed("R", "N").alias("new")), "k", "old", "new")
-
-
 @query("""SELECT DISTINCT user_id AS log, 'ERROR é ' || event_type AS line FROM events WHERE event_type <> 'view'""")
 def w11_new_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs read from the byte at which they ended before: what was there, two bytes a letter, is not read again."""

@@ -40,7 +40,7 @@ def f25_windowed_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("doc_id", text.in_windows(F.col("text"), F.col("page")).alias("present"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 140) || ' […] ' || right(text, 60) END AS capped FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 136) || ' […] ' || right(text, 59) END AS capped FROM documents")
 def f26_cap_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.cap_ends(F.col("text"), 200).alias("capped"))
 

@@ -92,7 +92,7 @@ def age_in_days(then: Column, now: Column) -> Column:
 
 
 def write_files(rows: DataFrame, folder: str) -> None:
-    """Write rows(name, content) as files of a folder, from the tasks; a task that is run again replaces its files."""
+    """Write rows(name, content) as files of a folder, whose names may hold folders of their own, from the tasks; a task that is run again replaces its files."""
     uri = qualified(rows.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +100,8 @@ def write_files(rows: DataFrame, folder: str) -> None:
         files.create_dir(path, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if "/" in name:
+                    files.create_dir(f"{path}/{name}".rsplit("/", 1)[0], recursive=True)
                 with files.open_output_stream(f"{path}/{name}", compression=None) as out:
                     out.write(content)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
