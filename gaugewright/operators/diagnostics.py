@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Body classes that stand for a template, by template; the first template with a class of the page decides.
-SHOP_CLASSES = {"checkout": ["woocommerce-checkout"], "cart": ["woocommerce-cart"], "account": ["woocommerce-account"], "product": ["single-product"], "product-list": ["post-type-archive-product", "tax-product_cat", "woocommerce-shop"]}
-SITE_CLASSES = {"search": ["search", "search-results", "search-no-results"], "404": ["error404"], "blog-list": ["home"], "archive": ["archive"], "post": ["single-post", "single"], "front-page": ["front-page"]}
+TEMPLATE_CLASSES = {
+    "checkout": ["woocommerce-checkout"], "cart": ["woocommerce-cart"], "account": ["woocommerce-account"], "product": ["single-product"], "product-list": ["post-type-archive-product", "tax-product_cat", "woocommerce-shop"],
+    "search": ["search", "search-results", "search-no-results"], "404": ["error404"], "blog-list": ["home"], "archive": ["archive"], "post": ["single-post", "single"], "front-page": ["front-page"],
+}
 
 
 def template(body_class: Column, path: Column) -> Column:
     """Template of a page by the set of its body's classes; the root is the front page."""
     classes = F.split(F.trim(F.lower(body_class)), "\\s+")
     out = F.when(path == "/", F.lit("front-page"))
-    for name, marks in (SHOP_CLASSES | SITE_CLASSES).items():
+    for name, marks in TEMPLATE_CLASSES.items():
         out = out.when(F.arrays_overlap(classes, F.array(*map(F.lit, marks))), name)
     own = F.exists(classes, lambda c: F.startswith(c, F.lit("page-template-")) & (c != "page-template-default"))
     return out.when(own, "custom-template").when(F.array_contains(classes, "page"), "page").otherwise("unknown")

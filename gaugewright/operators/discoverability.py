@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import skips_level
@@ -83,7 +83,10 @@ def discoverability(pages: DataFrame, robots: DataFrame, samples: int = 20) -> D
     """
     kept = pages.where(~F.col("stub") & F.col("document"))
     by_page = findings(kept, page_checks(), "url", "order", samples).select("check_id", "priority", "count", "subjects")
-    evidence = site_evidence(kept, robots).groupBy("check_id", "priority").agg(F.count("*").alias("count"), F.slice(F.array_sort(F.collect_list("subject")), 1, samples).alias("subjects"))  # a few lines a site
+    said = site_evidence(kept, robots)
+    counts = said.groupBy("check_id", "priority").agg(F.count("*").alias("count"))
+    first = said.withColumn("_rank", F.row_number().over(Window.partitionBy("check_id").orderBy("subject"))).where(F.col("_rank") <= samples)  # cut before anything is gathered, whatever the number of sites
+    evidence = counts.join(first.groupBy("check_id").agg(F.array_sort(F.collect_list("subject")).alias("subjects")), "check_id").select("check_id", "priority", "count", "subjects")
     return by_page.union(evidence).orderBy("priority", F.desc("count"), "check_id")
 
 

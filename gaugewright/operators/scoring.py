@@ -109,3 +109,9 @@ def faq_score(pairs: Column, intent: Column, phrasing: Column, stubs: Column, co
     parts = {"count": F.least(pairs / 3, F.lit(1.0)), "intent": intent / most, "phrasing": phrasing / most, "length": (pairs - stubs) / most, "complete": complete / most, "format": fmt / most}
     total = sum((F.lit(100 * FAQ_WEIGHTS[k]) * x for k, x in parts.items()), F.lit(0.0))
     return F.when(pairs == 0, 0.0).otherwise(F.round(total))
+
+
+def lane_impact(rows: DataFrame, *by: str) -> DataFrame:
+    """rows(ordinal, key, impact, global_weight, ...) -> per group the number of criteria, the critical keys in order, and the weight to a tenth."""
+    critical = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("impact") == "Critical", F.struct("ordinal", "key")))), lambda x: x["key"]), ",")
+    return rows.groupBy(*by).agg(F.count("*").alias("criteria"), F.nullif(critical, F.lit("")).alias("critical"), F.round(F.sum("global_weight"), 1).alias("weight"))

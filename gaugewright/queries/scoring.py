@@ -24,9 +24,10 @@ def audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.evaluated(dimension, answers)
 
 
-@query(f"WITH {DIM} SELECT key, factor, round(pct * weight / (sum(weight) OVER (PARTITION BY factor)), 6) AS global_weight FROM dim")
+@query(f"{ROWS} SELECT audit, key, factor, round(gw, 6) AS global_weight FROM r WHERE status = 'scored'")
 def a14_global_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.criteria(spark).select("key", "factor", F.round("global_weight", 6).alias("global_weight"))
+    """What each scored criterion of each audit weighs."""
+    return audits(spark, sf_dir).where("status = 'scored'").select("audit", "key", "factor", F.round("global_weight", 6).alias("global_weight"))
 
 
 @query(f"""{ROWS} SELECT audit, coalesce(factor, '-') AS factor, coalesce(sub_group, '-') AS sub_group, round(sum(CASE WHEN status = 'scored' THEN gw * score END) / nullif(sum(CASE WHEN status = 'scored' THEN gw END), 0), 6) AS score
@@ -60,11 +61,10 @@ def a16_top_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(rows, ["audit"], [F.desc(F.round("impact_rank", 9)), F.col("ordinal")], 3).select("audit", "key", F.round("impact_rank", 6).alias("impact_rank"), "rank")
 
 
-@query(f"WITH {DIM} SELECT factor, count(*) AS criteria, string_agg(CASE WHEN impact = 'Critical' THEN key END, ',' ORDER BY ordinal) AS critical, round(sum(pct * weight / w), 1) AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY factor) AS w FROM dim) GROUP BY 1")
+@query(f"{ROWS} SELECT audit, factor, count(*) AS criteria, string_agg(CASE WHEN impact = 'Critical' THEN key END, ',' ORDER BY ordinal) AS critical, round(sum(gw), 1) AS weight FROM r WHERE status <> 'scored' GROUP BY 1, 2")
 def a18_lane_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scoring.criteria(spark)
-    critical = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("impact") == "Critical", F.struct("ordinal", "key")))), lambda x: x["key"]), ",")
-    return rows.groupBy("factor").agg(F.count("*").alias("criteria"), F.nullif(critical, F.lit("")).alias("critical"), F.round(F.sum("global_weight"), 1).alias("weight"))
+    """What each audit leaves unmeasured, by factor: how many criteria, the critical ones, and their weight."""
+    return scoring.lane_impact(audits(spark, sf_dir).where("status <> 'scored'"), "audit", "factor")
 
 
 @query("""WITH m AS (SELECT p_brand, median(p_retailprice) AS mid, count(*) AS n FROM part GROUP BY 1) SELECT p_partkey, round(mid, 4) AS median, round(100 * (p_retailprice - mid) / mid, 6) AS gap,
