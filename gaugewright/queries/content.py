@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, places, text, urls
-from ..operators import criteria, json_trees, linediff, records
+from ..operators import criteria, json_trees, linediff, publish, records
 from ..sources import delimited, files, paged, sitemap
 from ..sources.stored import fresh
 from .registry import query, read
+from .scoring import ROWS, audits
 from .texts import FOLD
 
 
@@ -276,3 +277,75 @@ u AS ({" UNION ALL ".join(f"SELECT k, '{key}' AS key, CAST(CASE WHEN s % 17 <> 0
 def c01_c28_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifteen criteria scored from what stands in each page."""
     return criteria.measured(criteria.page_facts(audited_pages(spark, sf_dir)), "k", leave=criteria.OFF_PAGE)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey % 20 AS e, CASE o_orderstatus WHEN 'F' THEN 'with_skill' ELSE 'without_skill' END AS config, o_totalprice AS t, o_orderpriority AS p FROM orders)
+SELECT CAST(CASE e % 4 WHEN 0 THEN e * 100 WHEN 2 THEN (SELECT count(DISTINCT x.e) FROM o x WHERE x.e % 4 <> 3 AND 'eval-' || CASE WHEN x.e % 4 = 1 THEN '' || x.e ELSE 'n' || x.e END < 'eval-n' || o.e) ELSE e END AS BIGINT) AS eval_id, config, CAST(k AS INTEGER) AS run, t AS pass_rate, CASE WHEN p = '5-LOW' THEN 7.5 ELSE 3.0 END AS seconds, CAST(CASE WHEN p = '5-LOW' THEN 70 ELSE 5 END AS BIGINT) AS tokens FROM o WHERE p <> '1-URGENT' AND e % 4 <> 3""")
+def s17_run_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation folders below runs/ with and without metadata, some broken; gradings that do not parse; folders that hold no runs."""
+    o = read(spark, sf_dir, "orders").selectExpr("o_orderkey as k", "o_custkey % 20 as e", "if(o_orderstatus = 'F', 'with_skill', 'without_skill') as config", "o_totalprice as t", "o_orderpriority as p")
+    folder = F.expr("concat(if(e % 4 = 3, 'eval-', 'runs/eval-'), if(e % 4 = 1, '', 'n'), e)")
+    run = F.concat(folder, F.lit("/"), "config", F.lit("/run-"), F.col("k").cast("string"))
+    graded = F.expr("""if(p = '1-URGENT', '{broken', concat('{"summary":{"pass_rate":', t, '},"timing":{"total_duration_seconds":', if(p = '5-LOW', '0', '3'), '},"execution_metrics":{"output_chars":5}}'))""")
+    about = o.where("e % 4 in (0, 2)").select(F.concat(folder, F.lit("/eval_metadata.json")).alias("name"), F.expr("""if(e % 4 = 0, concat('{"eval_id":', e * 100, '}'), '{no')""").alias("text")).distinct()
+    clock = o.select(F.concat(run, F.lit("/timing.json")).alias("name"), F.lit('{"total_duration_seconds":7.5,"total_tokens":70}').alias("text"))
+    stray = o.select(F.concat(folder, F.lit("/inputs/grading.json")).alias("name"), F.lit("{}").alias("text")).distinct()
+    found = o.select(F.concat(run, F.lit("/grading.json")).alias("name"), graded.alias("text")).unionByName(about).unionByName(clock).unionByName(stray)
+    return files.run_tree(found.select(F.concat(F.lit("file:///bench/x/"), "name").alias("path"), "text"), "/bench/x").select("eval_id", "config", "run", "pass_rate", "seconds", "tokens")
+
+
+@query("""WITH a AS (SELECT p_partkey AS k, p_size AS s FROM part), r AS (SELECT 'g-' || k || '-run' AS run_id, CASE WHEN s % 3 <> 0 THEN 2 ELSE 0 END AS outputs, CASE WHEN s % 2 = 0 THEN 1 ELSE 0 END AS previous_outputs, CASE WHEN s % 5 = 0 THEN 'better ' || s ELSE '' END AS feedback FROM a WHERE s % 7 <> 0)
+SELECT run_id, CAST(outputs AS BIGINT) AS outputs, CAST(previous_outputs AS BIGINT) AS previous_outputs, feedback, CASE WHEN outputs > 0 AND previous_outputs > 0 THEN 'kept' WHEN outputs > 0 THEN 'new' WHEN previous_outputs > 0 THEN 'gone' ELSE 'unmatched' END AS state FROM r WHERE outputs > 0 OR previous_outputs > 0 OR feedback <> ''""")
+def s29_runs_of_two_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs found by their outputs, beside those of the iteration before and what was said of them; folders without runs are passed over."""
+    p = read(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_size as s", "concat(if(p_size % 7 = 0, 'skill/', 'g/'), p_partkey, '/run') as folder")
+    own = lambda rows, *names: rows.select(F.explode(F.array(*(F.concat("folder", F.lit(n)) for n in names))).alias("path"))
+    now = own(p.where("s % 3 <> 0"), "/outputs/a.txt", "/outputs/deep/outputs/b.txt", "/notes.md", "/outputs.txt")
+    before = own(p.where("s % 2 = 0"), "/outputs/a.txt", "/transcript.md")
+    reviews = p.where("s % 7 <> 0").select(F.replace("folder", F.lit("/"), F.lit("-")).alias("run_id"), F.expr("if(s % 5 = 0, concat('better ', s), '  ')").alias("feedback"))
+    return files.found_runs(now, before, reviews)
+
+
+@query("""SELECT 'n' || s_nationkey AS file, CAST(CASE WHEN s_nationkey % 3 = 0 THEN 0 ELSE row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 END AS INTEGER) AS place, s_name AS name FROM supplier
+WHERE s_nationkey % 5 <> 4 QUALIFY s_nationkey % 3 <> 0 OR row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) = 1""")
+def s16_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one record and of lists of them, in a folder; some do not parse."""
+    from pyspark.sql import Window
+
+    s = read(spark, sf_dir, "supplier").withColumn("n", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("s_nationkey % 3 <> 0 or n = 1")
+    record = F.to_json(F.struct(F.col("s_name").alias("name")))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", record.alias("x")))), lambda x: x["x"]), ",\n")
+    body = F.when(F.col("s_nationkey") % 5 == 4, "[{").when(F.col("s_nationkey") % 3 == 0, F.col("x")).otherwise(F.concat(F.lit(" ["), "x", F.lit("]")))
+    folder = fresh(spark, "cells")
+    files.write_files(s.groupBy("s_nationkey").agg(listed.alias("x")).select(F.expr("concat('n', s_nationkey, '.json')").alias("name"), body.cast("binary").alias("content")), folder)
+    return files.cells(files.documents(spark, folder), "name string").select(F.regexp_extract("path", "([^/]+)\\.json$", 1).alias("file"), F.col("at").alias("place"), "record.name")
+
+
+@query(f"""{ROWS}, t AS (SELECT audit, round(sum(CASE WHEN status = 'scored' THEN gw * score END) / sum(CASE WHEN status = 'scored' THEN gw END), 1) AS score, count(*) FILTER (status = 'scored') AS scored, count(*) AS total FROM r GROUP BY 1),
+w AS (SELECT audit, key, row_number() OVER (PARTITION BY audit ORDER BY round(gw * (100 - score), 9) DESC, ordinal) AS n FROM r WHERE status = 'scored' AND gw * (100 - score) > 0), p AS (SELECT audit, string_agg(key, '","' ORDER BY n) AS top FROM w WHERE n <= 3 GROUP BY 1)
+SELECT t.audit, score, CASE WHEN score < 50 THEN 'weak' WHEN score < 80 THEN 'moderate' ELSE 'strong' END AS verdict, CAST(scored AS VARCHAR) AS scored, '["' || top || '"]' AS top, CAST(total AS INTEGER) AS criteria, 'shop ' || t.audit AS subject, scored || ' of ' || total || ' criteria scored.' AS said FROM t JOIN p USING (audit)""")
+def k05_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all audits as JSON, read back field by field."""
+    told = publish.reports(audits(spark, sf_dir), "audit", F.concat(F.lit("shop "), F.col("audit").cast("string")), F.lit("2024-01-01T00:00:00Z"))
+    at = lambda path: F.get_json_object("payload", path)
+    size = F.size(F.from_json(at("$.audit.criteria"), "array<struct<key string>>"))
+    return told.select("audit", at("$.audit.score").cast("double").alias("score"), at("$.audit.verdict").alias("verdict"), at("$.audit.coverage.scored").alias("scored"), at("$.audit.topPriorities").alias("top"), size.alias("criteria"), at("$.audit.subject").alias("subject"), F.regexp_extract("summary", "\\d+ of \\d+ criteria scored\\.", 0).alias("said"))
+
+
+@query("""SELECT c_custkey AS k, CAST(CASE c_custkey % 5 WHEN 0 THEN 'missing name' WHEN 1 THEN 'segment' WHEN 2 THEN 'unknown field' END AS VARCHAR) AS problem FROM customer""")
+def k04_json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records checked by the JSON Schema that a table's schema gives: required fields, listed values, no fields beside them."""
+    import json
+
+    from pyspark.sql import types as T
+
+    c = read(spark, sf_dir, "customer")
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    kind = T.StructType([T.StructField("name", T.StringType(), False, {"minLength": 1}), T.StructField("segment", T.StringType(), True, {"enum": segments}), T.StructField("ref", T.StringType(), False, {"default": "main"})])
+    schema = json.loads(publish.json_schema(kind, "customer"))
+    body = F.to_json(F.struct(F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("name"), F.when(F.col("c_custkey") % 5 == 1, "NONE").otherwise(F.lit("BUILDING")).alias("segment"), F.when(F.col("c_custkey") % 5 == 2, 1).alias("more")))
+    given = F.map_keys(F.from_json(body, "map<string, string>"))
+    lacking = F.exists(F.array(*map(F.lit, schema["required"])), lambda f: ~F.array_contains(given, f))
+    beside = F.size(F.array_except(given, F.array(*map(F.lit, schema["properties"])))) > 0
+    listed = F.get_json_object(body, "$.segment").isin(*schema["properties"]["segment"]["enum"])
+    return c.select(F.col("c_custkey").alias("k"), F.when(lacking, "missing name").when(~listed, "segment").when(beside, "unknown field").alias("problem"))

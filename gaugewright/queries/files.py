@@ -297,12 +297,16 @@ def s12_probed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 'n' || s_nationkey AS page, 's' || s_suppkey || '.png' AS shot FROM supplier WHERE s_acctbal >= 0""")
 def s19_screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shots in folders of pages; differences between shots, and other files, are left out."""
+    """Image files in folders of pages; differences between shots, and other files, are left out."""
+    from ..sources import images
+
     folder = fresh(spark, "shots")
-    rows = read(spark, sf_dir, "supplier").selectExpr("concat('n', s_nationkey) as page", "if(s_acctbal < 0, concat('diff-s', s_suppkey, '.png'), concat('s', s_suppkey, '.png')) as shot", "'x' as bytes")
-    rows.write.partitionBy("page", "shot").text(folder)
-    found = files.documents(spark, folder, "*.txt").select(F.substring_index(files.path_part(F.col("path"), 3), "=", -1).alias("page"), F.substring_index(files.path_part(F.col("path"), 2), "=", -1).alias("shot"))
-    return found.where(F.endswith("shot", F.lit(".png")) & ~F.startswith("shot", F.lit("diff-"))).orderBy("page", "shot")
+    s = read(spark, sf_dir, "supplier")
+    name = F.expr("concat('n', s_nationkey, '/', if(s_acctbal < 0, 'diff-', ''), 's', s_suppkey, '.png')")
+    shots = s.select(name.alias("name"), images.encoded(F.lit(2), F.lit(1), F.unhex(F.lit("000000FFFFFFFFFF"))).alias("content"))
+    notes = s.select(F.expr("concat('n', s_nationkey, '/s', s_suppkey, '.txt')").alias("name"), F.lit("x").cast("binary").alias("content"))
+    files.write_files(shots.unionByName(notes), folder)
+    return images.shots(spark, folder)
 
 
 @query("""SELECT c_custkey AS k, CASE WHEN c_nationkey % 4 = 0 THEN 'grid' WHEN c_nationkey % 4 = 1 THEN 'mod_' || lower(c_mktsegment) WHEN c_nationkey % 4 = 2 THEN 'unknown' ELSE 'a:b' END AS block FROM customer""")

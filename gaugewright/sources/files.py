@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,6 +62,72 @@ def evaluation_runs(gradings: DataFrame, timings: DataFrame) -> DataFrame:
     )
 
 
+def run_tree(found: DataFrame, root: str) -> DataFrame:
+    """found(path, text), all files of a benchmark folder -> (eval_id, config, run, pass_rate, passed, failed, total, seconds, tokens, tool_calls, errors).
+
+    Runs lie in eval-*/config/run-*/grading.json below ``runs`` if the folder has one, else below the folder itself; folders of an
+    evaluation without runs are no configurations. An evaluation's number is the one in its eval_metadata.json, else that of
+    its name, else its place among the evaluations' names; so it is where the metadata do not parse. Gradings that are missing or malformed
+    are left out. A duration of zero falls back to the timing file beside the grading, and so do the tokens.
+    """
+    below = found.select(F.regexp_replace("path", f"^(?:[a-z]+:/*)?{re.escape(root.split(':')[-1].rstrip('/'))[1:] if root.startswith('/') else re.escape(root)}/", "").alias("rest"), "text")
+    below = below.select(F.regexp_replace("rest", "^/+", "").alias("rest"), "text")
+    nested = below.where(F.startswith("rest", F.lit("runs/"))).limit(1).select(F.lit(True).alias("nested"))
+    placed = below.join(F.broadcast(nested), how="left").where(F.startswith("rest", F.lit("runs/")) | F.col("nested").isNull())
+    parts = placed.select(F.split(F.regexp_replace("rest", "^runs/", ""), "/").alias("p"), "text").where(F.startswith(F.col("p")[0], F.lit("eval-")))
+    evals = parts.select(F.col("p")[0].alias("eval")).distinct()
+    place = F.row_number().over(Window.orderBy("eval")) - 1  # one row an evaluation
+    stated = parts.where((F.size("p") == 2) & (F.get("p", F.lit(1)) == "eval_metadata.json")).select(F.col("p")[0].alias("eval"), F.lit(True).alias("stated"), F.from_json("text", "eval_id long")["eval_id"].alias("id"))
+    named = F.regexp_extract("eval", "^eval-([0-9]+)(?:-|$)", 1).try_cast("long")
+    ids = evals.withColumn("place", place.cast("long")).join(stated, "eval", "left").select("eval", F.coalesce("id", F.when(F.col("stated").isNull(), named), "place").alias("eval_id"))
+    inside = parts.where((F.size("p") == 4) & F.startswith(F.get("p", F.lit(2)), F.lit("run-"))).select(F.col("p")[0].alias("eval"), F.col("p")[1].alias("config"), F.col("p")[2].alias("folder"), F.col("p")[3].alias("file"), "text")
+    run = "summary struct<pass_rate double, passed int, failed int, total int>, timing struct<total_duration_seconds double>, execution_metrics struct<total_tool_calls int, errors_encountered int, output_chars long>"
+    gradings = parsed(inside.where("file = 'grading.json'").withColumn("path", F.lit("")), run).where("state = 'ok'")
+    clocks = inside.where("file = 'timing.json'").select("eval", "config", "folder", F.from_json("text", "total_duration_seconds double, total_tokens long").alias("t"))
+    seconds, tokens = F.coalesce("record.timing.total_duration_seconds", F.lit(0.0)), F.coalesce("record.execution_metrics.output_chars", F.lit(0))
+    joined = gradings.join(clocks, ["eval", "config", "folder"], "left").join(ids, "eval")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return joined.select(
+        "eval_id", "config", F.regexp_extract("folder", "^run-([0-9]+)", 1).try_cast("int").alias("run"), F.coalesce("record.summary.pass_rate", F.lit(0.0)).alias("pass_rate"), none("record.summary.passed").alias("passed"), none("record.summary.failed").alias("failed"),
+        none("record.summary.total").alias("total"), F.when(seconds == 0, F.coalesce("t.total_duration_seconds", F.lit(0.0))).otherwise(seconds).alias("seconds"), F.when((seconds == 0) & (none("t.total_tokens") > 0), F.col("t.total_tokens")).otherwise(tokens).alias("tokens"),
+        none("record.execution_metrics.total_tool_calls").alias("tool_calls"), none("record.execution_metrics.errors_encountered").alias("errors"),
+    )
+
+
+#: Folders that hold no runs.
+NO_RUNS = ("node_modules", ".git", "__pycache__", "skill", "inputs")
+
+
+def found_runs(paths: DataFrame, previous: DataFrame, reviews: DataFrame) -> DataFrame:
+    """paths(path) and previous(path), files of two iterations by their paths below their folders, reviews(run_id, feedback) of the
+    earlier one -> (run_id, outputs, previous_outputs, feedback, state).
+
+    A run is the uppermost folder that has an outputs folder with files; its id is its path with dashes. Folders that hold no
+    runs are passed over. ``state`` is kept, new, gone, or unmatched for feedback on a run that the earlier iteration lacks; blank feedback is none.
+    """
+
+    def runs(files: DataFrame, outputs: str) -> DataFrame:
+        named = files.select(F.regexp_extract("path", "^(?:(.*?)/)?outputs/[^/]", 1).alias("folder"), F.regexp_like("path", F.lit("^(?:.*?/)?outputs/[^/]")).alias("is_output"), "path").where("is_output")
+        parts = F.split("folder", "/")
+        own = named.where(~F.arrays_overlap(parts, F.array(*map(F.lit, NO_RUNS))))
+        return own.groupBy(F.replace("folder", F.lit("/"), F.lit("-")).alias("run_id")).agg(F.count("*").alias(outputs))
+
+    said = reviews.where("trim(feedback) <> ''").groupBy("run_id").agg(F.max("feedback").alias("feedback"))
+    both = runs(paths, "outputs").join(runs(previous, "previous_outputs"), "run_id", "full").join(said, "run_id", "full")
+    state = F.when(F.col("outputs").isNotNull() & F.col("previous_outputs").isNotNull(), "kept").when(F.col("outputs").isNotNull(), "new").when(F.col("previous_outputs").isNotNull(), "gone").otherwise("unmatched")
+    return both.select("run_id", F.coalesce("outputs", F.lit(0)).alias("outputs"), F.coalesce("previous_outputs", F.lit(0)).alias("previous_outputs"), F.coalesce("feedback", F.lit("")).alias("feedback"), state.alias("state"))
+
+
+def cells(found: DataFrame, schema: str) -> DataFrame:
+    """found(path, text) of JSON files that hold one record or a list of them -> (path, at, record), a row a record; malformed files give none.
+
+    ``at`` is the place in its file, from 0; a file that holds one record has one.
+    """
+    listed = F.startswith(F.ltrim("text"), F.lit("["))
+    records = F.when(listed, F.from_json("text", f"array<struct<{schema}>>")).otherwise(F.array(F.from_json("text", f"struct<{schema}>")))
+    return found.where(F.try_parse_json("text").isNotNull()).select("path", F.posexplode(records).alias("at", "record")).where("record is not null")
+
+
 def event_lines(lines: DataFrame, schema: str) -> DataFrame:
     """lines(value): payloads of server-sent ``data:`` lines and of plain JSON lines; others are ignored."""
     payload = F.regexp_extract("value", "^(?:data:)?\\s*(\\{.*\\})\\s*$", 1)

@@ -19,6 +19,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.substring_index("origin", "/", -1).alias("name"), "width", "height", F.col("nChannels").alias("channels"), "data")
 
 
+def shots(spark: SparkSession, folder: str) -> DataFrame:
+    """(page, shot) of the PNG files in folders of pages, without pictures of differences; files are listed, not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(folder).select(F.split("path", "/").alias("p"))
+    named = found.select(F.element_at("p", -2).alias("page"), F.element_at("p", -1).alias("shot"))
+    return named.where(~F.startswith("shot", F.lit("diff-"))).orderBy("page", "shot")
+
+
 def pixels(images: DataFrame) -> DataFrame:
     """A row per pixel: (name, x, y, r, g, b), laid on white where there is an alpha channel."""
     c = F.col

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewright.functions import html, places, text, urls
-from gaugewright.operators import criteria, json_trees, linediff, records
+from gaugewright.operators import criteria, json_trees, linediff, publish, records
 from gaugewright.sources import delimited, files, paged, sitemap
 
 
@@ -183,3 +183,32 @@ def test_page_facts_of_missing_pages(spark):
 def test_files_in_folders_of_their_own(spark, tmp_path):
     files.write_files(spark.createDataFrame([("a/b/c.txt", b"x"), ("d.txt", b"y")], "name string, content binary"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "a" / "b" / "c.txt").read_text() == "x"
+
+
+def test_run_tree_without_a_runs_folder(spark):
+    graded = '{"summary":{"pass_rate":0.5,"passed":1,"failed":1,"total":2},"timing":{"total_duration_seconds":4.0}}'
+    found = [("eval-3/a/run-2/grading.json", graded), ("eval-3/a/run-2/timing.json", '{"total_duration_seconds":9}'), ("eval-x/b/run-1/grading.json", "{}"), ("eval-x/b/run-1/timing.json", '{"total_duration_seconds":9,"total_tokens":8}'), ("eval-x/inputs/grading.json", graded), ("other/a/run-1/grading.json", graded), ("eval-y/a/run-1/grading.json", "{")]
+    table = spark.createDataFrame([(f"file:/w/bench/{p}", t) for p, t in found], "path string, text string")
+    rows = files.run_tree(table, "/w/bench").collect()
+    assert sorted((r.eval_id, r.config, r.run, r.pass_rate, r.total, r.seconds, r.tokens) for r in rows) == [(1, "b", 1, 0.0, 0, 9.0, 8), (3, "a", 2, 0.5, 2, 4.0, 0)]
+
+
+def test_cells_of_odd_files(spark):
+    table = spark.createDataFrame([("a", '[{"n":1},{"n":2}]'), ("b", ' {"n":3}'), ("c", "[]"), ("d", "{"), ("e", None), ("f", "7")], "path string, text string")
+    assert sorted((r.path, r["at"], r.record.n) for r in files.cells(table, "n int").collect() if r.record.n) == [("a", 0, 1), ("a", 1, 2), ("b", 0, 3)]
+
+
+def test_json_schema_is_that_of_the_writer(spark):
+    schema = spark.sql("select 'x' as a, 1 as b, array(1.5) as c, map('k', date'2020-01-01') as d, named_struct('e', true) as f, cast(null as timestamp) as g").schema
+    told = json.loads(publish.json_schema(schema, "rows"))
+    assert told["title"] == "rows" and told["required"] == ["a", "b", "c", "d", "f"] and told["additionalProperties"] is False
+    assert told["properties"]["c"] == {"type": "array", "items": {"type": "number"}} and told["properties"]["d"]["additionalProperties"] == {"type": "string", "format": "date"}
+    assert told["properties"]["f"]["properties"]["e"] == {"type": "boolean"} and told["properties"]["g"]["format"] == "date-time"
+
+
+def test_reports_of_audits_without_scores(spark):
+    rows = spark.createDataFrame([(1, "k1", "f", "na", None, 60.0, 1), (1, "k2", "f", "inactive", None, 40.0, 2), (2, "k1", "f", "scored", 100.0, 60.0, 1), (2, "k2", "f", "scored", 0.0, 40.0, 2)], "audit int, key string, factor string, status string, score double, global_weight double, ordinal int")
+    got = {r.audit: r for r in publish.reports(rows, "audit", F.lit("s"), F.lit("t")).collect()}
+    one, two = (json.loads(got[k].payload)["audit"] for k in (1, 2))
+    assert one["score"] is None and one["verdict"] is None and one["topPriorities"] == [] and "No score" in got[1].summary
+    assert two["score"] == 60.0 and two["topPriorities"] == ["k2"] and two["coverage"] == {"total": 2, "scored": 2, "na": 0, "inactive": 0}
