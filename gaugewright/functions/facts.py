@@ -92,9 +92,9 @@ def lists_text(node: Column, path: str) -> Column:
 NODES = {"item": ["Product"], "offer": ["Offer", "AggregateOffer"], "maker": ["Organization"], "film": ["VideoObject"], "trail": ["BreadcrumbList"], "answers": ["FAQPage"]}
 
 
-def with_nodes(pages, html: str = "html"):
-    """pages with ``nodes`` and a column for each of NODES, so that a page is parsed once however many facts are read."""
-    held = pages.withColumn("nodes", H.json_ld(F.col(html)))
+def with_nodes(pages, html: str = "html", every: bool = False):
+    """pages with ``nodes`` and a column for each of NODES, so that a page is parsed once however many facts are read; ``every`` keeps the JSON of nodes of all types."""
+    held = pages.withColumn("nodes", H.json_ld(F.col(html), None if every else [k for kinds in NODES.values() for k in kinds]))
     return held.select("*", *(first_node(F.col("nodes"), *kinds).alias(name) for name, kinds in NODES.items()))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 import pyarrow as pa
@@ -120,8 +121,8 @@ def arrival(html: Column) -> Column:
     return F.when(~bare, "received").when(wall, "bot-wall").when(F.length(html) > 2000, "js-shell").otherwise("empty")
 
 
-def _json_ld_nodes(html: pd.Series) -> pd.Series:
-    """All object nodes of a page's JSON-LD, parents first; blocks that do not parse are skipped."""
+def _json_ld_nodes(html: pd.Series, wanted: frozenset[str] | None = None) -> pd.Series:
+    """All object nodes of a page's JSON-LD, parents first; blocks that do not parse are skipped. Only nodes of a wanted type are written out."""
     blocks = re.compile(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>')
 
     def walk(node, depth: int, out: list) -> None:
@@ -132,7 +133,7 @@ def _json_ld_nodes(html: pd.Series) -> pd.Series:
             kinds = node.get("@type")
             kinds = [k for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)]
             name = node.get("name")
-            out.append({"depth": depth, "types": kinds, "name": name if isinstance(name, str) else None, "node": json.dumps(node, ensure_ascii=False)})
+            out.append({"depth": depth, "types": kinds, "name": name if isinstance(name, str) else None, "node": json.dumps(node, ensure_ascii=False) if wanted is None or not wanted.isdisjoint(kinds) else None})
             for key, x in node.items():
                 if key != "@context":
                     walk(x, depth + 1, out)
@@ -149,9 +150,14 @@ def _json_ld_nodes(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
-def json_ld(html: Column) -> Column:
-    """Array of the object nodes of a page's JSON-LD: depth, types, name and the node itself as JSON."""
-    return F.pandas_udf(_json_ld_nodes, "array<struct<depth int, types array<string>, name string, node string>>")(html)
+def json_ld(html: Column, kinds: Iterable[str] | None = None) -> Column:
+    """Array of the object nodes of a page's JSON-LD: depth, types, name and the node itself as JSON, null for types not among ``kinds`` if these are given."""
+    wanted = None if kinds is None else frozenset(kinds)
+
+    def nodes(page: pd.Series) -> pd.Series:
+        return _json_ld_nodes(page, wanted)
+
+    return F.pandas_udf(nodes, "array<struct<depth int, types array<string>, name string, node string>>")(html)
 
 
 def page_facts(pages):

@@ -78,7 +78,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
     page's own text, tags and structured data, which are parsed once; given columns stay.
     """
     c, page = F.col, F.col("html")
-    parsed = facts.with_nodes(pages)
+    parsed = facts.with_nodes(pages, every=True)
     first = lambda *kinds: facts.first_node(c("nodes"), *kinds)
     node = lambda x, path: F.try_variant_get(x, path, "variant")
     present = lambda x, path: ~facts.kind_of(x, path).isin("VOID")

@@ -26,21 +26,20 @@ def by_longest_prefix(names: DataFrame, name: str, titles: DataFrame, title: str
 def mentions(names: DataFrame, name: str, texts: DataFrame, ident: str, words: str) -> DataFrame:
     """(name, ident) of texts that hold a name as consecutive words. texts(ident, words array).
 
-    The runs of words that are as long as some name meet the names by equality; a text gives each distinct run once and
-    carries nothing else. The lengths of names are few numbers.
+    A text's words are zipped with themselves, shifted, so that each place is a row with as many words as the longest name
+    has; its runs, one a length, meet the names by equality. Small sets of names are broadcast by Spark itself, and then no
+    word is shuffled. The lengths of names are few numbers.
     """
     spelled = names.select(F.col(name), F.lower(name).alias("_run"), F.size(F.split(F.lower(name), " ")).alias("_n"))
     lengths = sorted(r[0] for r in spelled.select("_n").distinct().collect())
-
-    def runs(n: int) -> Column:
-        all_ = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-        return F.when(F.size(words) >= n, all_).otherwise(F.array().cast("array<string>"))
-
-    some = [runs(n) for n in lengths]
-    if not some:
+    if not lengths:
         return names.select(name).join(texts.select(ident).where("false"), F.lit(True))
-    spread = texts.select(ident, F.explode(F.array_distinct(F.concat(*some))).alias("_run"))
-    return spread.join(spelled, "_run").select(name, ident).distinct()
+    most = lengths[-1]
+    shifted = texts.select(ident, *((F.col(words) if k == 0 else F.slice(words, k + 1, 1 << 30)).alias(f"_w{k}") for k in range(most)))
+    places = shifted.select(ident, F.explode(F.arrays_zip(*(f"_w{k}" for k in range(most)))).alias("_r"))
+    run = lambda n: F.when(F.col(f"_r._w{n - 1}").isNotNull(), F.concat_ws(" ", *(F.col(f"_r._w{k}") for k in range(n))))
+    runs = run(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(run, lengths)))
+    return places.select(ident, runs.alias("_run")).where("_run is not null").join(spelled, "_run").select(name, ident).distinct()
 
 
 def inconsistent(pairs: DataFrame, key: str, value: str) -> DataFrame:
