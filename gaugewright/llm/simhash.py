@@ -2,10 +2,12 @@
 
 A 64-bit fingerprint has eight positional bytes. Two fingerprints at four or fewer differing bits differ in at most
 four bytes, so they share at least four (position, byte) entries: that is the guaranteed minimum. Posting lists of
-single bytes hold 1/256 of the corpus and do not scale. Of any seven positions a pair must share three, so the index is
-keyed by the 35 choices of three of the first seven positions; a pair that meets in a list is taken once, under the first
-three positions that it shares, its shared bytes are tallied over all eight positions, pairs below the minimum of four are
-dropped, and the rest is verified bit by bit.
+single bytes hold 1/256 of the corpus and do not scale. Of any seven positions a pair must share three, and of eight four, so the
+index is keyed by the 35 choices of three of the first seven positions, or by the 70 of four of eight: pairs that meet by
+chance grow with the square of the corpus over 2^24 or 2^32, and the longer keys take over where the shorter ones would give
+a fingerprint dozens of chance partners. A pair that meets in a list is taken once, under the first positions that it
+shares, its shared bytes are tallied over all eight positions, pairs below the minimum of four are dropped, and the rest is
+verified bit by bit. Both keys give the same links.
 
 Fingerprints in a posting list much longer than chance makes it (a dense group of near copies) are not paired there.
 They are linked through midpoints: two words are within four bits exactly if some word lies within two bits of both,
@@ -30,9 +32,13 @@ from .graph import connected_components
 
 MAX_BITS = 4
 SEED = 42
-KEY_BYTES = 3  #: shared by every wanted pair among the first seven positions
 LEAST_SHARED = 4  #: positional bytes that every wanted pair shares
-_MASKS = [sum(0xFF << 8 * p for p in chosen) for chosen in combinations(range(7), KEY_BYTES)]
+LONG_KEYS = 1 << 26  #: fingerprints from which keys have four bytes instead of three
+
+
+def _masks(key_bytes: int) -> list[int]:
+    """Choices of so many of the first positions that every wanted pair shares one: among key_bytes + 4 positions it shares key_bytes."""
+    return [sum(0xFF << 8 * p for p in chosen) for chosen in combinations(range(key_bytes + 8 - LEAST_SHARED), key_bytes)]
 
 
 def _signed(x: int) -> int:
@@ -87,13 +93,16 @@ def _midpoints(fps: DataFrame) -> DataFrame:
     return both.select("fp", F.col("fp").bitwiseXOR(F.expr(bit("i"))).bitwiseXOR(F.expr(bit("j"))).alias("mid"))
 
 
-def fingerprint_links(fps: DataFrame, posting_limit: int = 48) -> DataFrame:
+def fingerprint_links(fps: DataFrame, posting_limit: int = 48, key_bytes: int | None = None) -> DataFrame:
     """Distinct fps(fp) -> edges (a, b), written, whose connected components are those of all pairs at <= 4 differing bits.
 
     ``posting_limit`` is what a list may hold beyond four times its expected length; longer ones go through midpoints.
+    ``key_bytes`` is three, or four from LONG_KEYS fingerprints on, unless given.
     """
-    limit = posting_limit + 4 * fps.count() / (1 << 8 * KEY_BYTES)
-    masks = F.array(*(F.lit(_signed(m)) for m in _MASKS))
+    n = fps.count()
+    key_bytes = key_bytes or (3 if n < LONG_KEYS else 4)
+    limit = posting_limit + 4 * n / (1 << 8 * key_bytes)
+    masks = F.array(*(F.lit(_signed(m)) for m in _masks(key_bytes)))
     postings = fps.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("which", "part")).select("fp", F.col("which").cast("byte").alias("which"), "part")
     lengths = postings.groupBy("which", "part").count().where("count > 1")
     shared = keep(postings.hint("merge").join(lengths, ["which", "part"]), "postings")
@@ -104,8 +113,8 @@ def fingerprint_links(fps: DataFrame, posting_limit: int = 48) -> DataFrame:
     same = [F.when(xor.bitwiseAND(F.lit(_signed(0xFF << 8 * p))) == 0, 1).otherwise(0) for p in range(8)]
     tally = sum(same[1:], same[0])
     first, seen = F.lit(0).cast("long"), F.lit(0)
-    for p in range(7):
-        first = F.when((same[p] == 1) & (seen < KEY_BYTES), first.bitwiseOR(F.lit(_signed(0xFF << 8 * p)))).otherwise(first)
+    for p in range(key_bytes + 8 - LEAST_SHARED):
+        first = F.when((same[p] == 1) & (seen < key_bytes), first.bitwiseOR(F.lit(_signed(0xFF << 8 * p)))).otherwise(first)
         seen = seen + same[p]
     pairs = (
         left.hint("merge")

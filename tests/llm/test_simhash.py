@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import xxhash
 
 from gaugewright.llm import simhash
@@ -66,6 +68,22 @@ def test_made_rows_with_and_without_dense_lists(spark):
     assert result(simhash.near_dedup(docs, posting_limit=2)) == want
 
 
+@pytest.mark.parametrize("posting_limit", [0, 48])
+def test_longer_keys_give_the_same_links(spark, posting_limit):
+    rng = random.Random(9)
+    words = [rng.getrandbits(64) for _ in range(200)]
+    for base in words[:40]:
+        for _ in range(10):
+            words.append(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))))
+    signed = sorted({w - (1 << 64) if w >> 63 else w for w in words})
+    fps = spark.createDataFrame([(w,) for w in signed], "fp long")
+    want = {(a, b) for k, a in enumerate(signed) for b in signed[k + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    for key_bytes in (3, 4):
+        parts = {r.node: r.component for r in simhash.connected_components(simhash.fingerprint_links(fps, posting_limit, key_bytes)).collect()}
+        assert all(parts.get(a, a) == parts.get(b, b) for a, b in want)
+        assert set(parts) <= {x for pair in want for x in pair}
+
+
 def test_whole_small_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert result(simhash.near_dedup(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
