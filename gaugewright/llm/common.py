@@ -36,16 +36,27 @@ def forget(df: DataFrame) -> None:
             files.delete_dir(path)
 
 
+MANY = 10_000  #: classes up to which their sizes are broadcast
+
+
 def bounded_sample(rows: DataFrame, by: str | None, most: int, salt: str) -> DataFrame:
-    """At most ``most`` rows(doc_id, ...) of each value of ``by`` (of all rows without it), picked by a hash of the id.
+    """At most ``most`` distinct rows of each value of ``by`` (of all rows without it), all there are if they are fewer.
 
-    A first cut by the hash leaves about four times as many as wanted, however many rows a value has, so that no task ranks
-    more than that. Values of ``by`` are classes, of which there are few: one row each is broadcast.
+    Rows are picked by a hash of all their columns, so repeated rows count once and cannot crowd out others. A first cut by the
+    hash leaves about four times as many as wanted and some more, however many rows a value has, so that no task ranks more than that.
+    The sizes of up to MANY classes are broadcast; of more, joined.
     """
-    pick = F.xxhash64(F.lit(salt), "doc_id")
-    named = rows.withColumn("_class", F.col(by).cast("string") if by else F.lit("")).withColumn("_pick", pick)
-    share = F.lit(4.0 * most) / F.col("_size")
-    sizes = named.groupBy("_class").agg(F.count("*").alias("_size"))
-    cut = named.join(F.broadcast(sizes), "_class").where(F.col("_pick") / float(1 << 64) + 0.5 < share)
-    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("_class").orderBy("_pick", "doc_id")))
+    pick = F.xxhash64(F.lit(salt), *rows.columns)
+    named = rows.withColumn("_class", F.col(by).cast("string") if by else F.lit("")).withColumn("_pick", pick).distinct()
+    named = keep(named, "sampled")
+    share = F.lit(4.0 * most + 64) / F.col("_size")
+    sizes = keep(named.groupBy("_class").agg(F.count("*").alias("_size")), "sizes")
+    few = sizes.limit(MANY + 1).count() <= MANY
+    cut = named.join(F.broadcast(sizes) if few else sizes, "_class").where(F.col("_pick") / float(1 << 64) + 0.5 < share)
+    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("_class").orderBy("_pick", *rows.columns)))
     return ranked.where(F.col("_rank") <= most).select(rows.columns)
+
+
+def one_text(rows: DataFrame, text: str, *by: str) -> DataFrame:
+    """rows(by..., text) -> one row for each ``by``, with the text of the smallest hash where an id has several; repeats meet where they lie."""
+    return rows.groupBy(*by).agg(F.min_by(text, F.xxhash64(text)).alias(text))

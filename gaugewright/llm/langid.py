@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, keep
+from .common import bounded_sample, keep, one_text
 
 UNKNOWN = "und"
 _BASE = 91
@@ -70,13 +70,18 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndar
 
 
 def sample_labelled(labelled: DataFrame, per_lang: int) -> DataFrame:
-    """At most ``per_lang`` rows (lang, text) of each language, picked by a hash of the id."""
-    ids = bounded_sample(labelled.select("lang", "doc_id"), "lang", per_lang, "langid")
-    return labelled.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")  # ids of the bounded sample
+    """At most ``per_lang`` rows (lang, text) of each language, picked by a hash among its distinct ids and texts."""
+    body = F.xxhash64("text").alias("_body")
+    picked = bounded_sample(labelled.where("doc_id is not null").select("lang", "doc_id", body), "lang", per_lang, "langid")
+    found = labelled.select("lang", "doc_id", body, "text").join(F.broadcast(picked), ["lang", "doc_id", "_body"])  # keys of the bounded sample
+    return one_text(found, "text", "lang", "doc_id", "_body").select("lang", "text")
 
 
 def fit(labelled: DataFrame, per_lang: int = 400, features: int = 3000, clusters: int = 4, slack: float = 0.35) -> Model | None:
-    """labelled(doc_id, lang, text) -> model, from at most ``per_lang`` texts a language; None if nothing is labelled."""
+    """labelled(doc_id, lang, text) -> model, from at most ``per_lang`` texts a language; None if nothing is labelled.
+
+    Rows with a null lang, text or id are not learned from; rows that repeat all three count once.
+    """
     sample = sample_labelled(labelled.where("lang is not null and text is not null"), per_lang)
     sample = keep(sample, "sample")
 

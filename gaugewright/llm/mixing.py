@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, keep
+from .common import MANY, bounded_sample, keep, one_text
 
 _CLASSES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _GROUPS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "bang": b"!?", "marks": b"#$%&*+=<>@^_~|", "digit": b"0123456789", "stop": b".,;:"}
@@ -80,7 +80,8 @@ def fit_posterior(docs: DataFrame, labelled: DataFrame, per_domain: int = 2000,
     domains = sorted(shares)
     ids = bounded_sample(known, "domain", per_domain, "mixing")
     number = F.array_position(F.array(*map(F.lit, domains)).cast("array<string>"), F.col("domain")).cast("int") - 1
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(number.alias("number"), F.col("text").cast("binary").alias("body"))  # ids of the bounded sample
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id") if len(domains) <= MANY else docs.select("doc_id", "text").join(ids, "doc_id")  # ids of the bounded sample
+    picked = one_text(found, "text", "doc_id", "domain").select(number.alias("number"), F.col("text").cast("binary").alias("body"))
     picked = keep(picked, "picked")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

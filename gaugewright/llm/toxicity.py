@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, keep
+from .common import bounded_sample, keep, one_text
 
 BLOCK = 64  #: examples in a block
 _CLASSES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -148,13 +148,14 @@ class Model:
 
 
 def _sample(corpus: DataFrame, labelled: DataFrame, per_label: int, calibration: int) -> DataFrame:
-    """(doc_id, toxic, example, calibrate, body), written: bounded samples of each label and of all labelled rows."""
+    """(doc_id, toxic, example, calibrate, body), written: bounded samples of each label and of all labelled rows, one text an id."""
     known = keep(labelled.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "known")
     each = bounded_sample(known, "toxic", per_label, "toxicity").select("doc_id", F.lit(True).alias("example"))
     some = bounded_sample(known, None, calibration, "calibration").select("doc_id", F.lit(True).alias("calibrate"))
     flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     ids = known.join(each.join(some, "doc_id", "full"), "doc_id").select("doc_id", "toxic", flag("example"), flag("calibrate"))
-    return keep(corpus.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "example", "calibrate", F.col("text").cast("binary").alias("body")), "sample")  # ids of the bounded samples
+    found = corpus.select("doc_id", F.col("text").cast("binary").alias("body")).join(F.broadcast(ids), "doc_id")  # ids of the bounded samples
+    return keep(one_text(found, "body", "doc_id", "toxic", "example", "calibrate"), "sample")
 
 
 def fit(corpus: DataFrame, labelled: DataFrame, per_label: int = 2048, calibration: int = 4096, neighbours: int = 10, doubt: float = 0.05, smooth: float = 5.0) -> Model | float:

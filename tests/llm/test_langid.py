@@ -61,3 +61,23 @@ def test_whole_small_table_against_plain_cosines(spark):
         assert r.lang_pred == model.langs[best] or max(c for c, x in zip(cosines, model.langs, strict=True) if x == r.lang_pred) > cosines[best] - 1e-5
         assert r.rejected == bool(r.score < model.floors[best])
     assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4)
+
+
+def test_samples_of_repeated_rows(spark):
+    """Repeated rows count once and crowd out nothing; one id of very many texts is bounded like many ids of one text."""
+    one_id = [(7, f"text {i}", "en") for i in range(4000)]
+    repeated = [(100 + i, f"other {i}", "de") for i in range(40) for _ in range(100)]
+    few = [(1, "only", "fr"), (1, "only", "fr"), (2, "null id's twin", "fr"), (None, "none", "fr")]
+    rows = spark.createDataFrame(one_id + repeated + few, "doc_id long, text string, lang string")
+    got = langid.sample_labelled(rows, 10).collect()
+    assert Counter(r.lang for r in got) == {"en": 10, "de": 10, "fr": 2} and len({r.text for r in got}) == 22
+
+
+def test_repeated_tables_learn_alike(spark):
+    docs = spark.createDataFrame([(k, f"{t} {k}", lang) for k, (t, lang) in enumerate([("the quick brown fox", "en"), ("der schnelle braune fuchs", "de")] * 20)], "doc_id long, text string, lang string")
+    many = docs
+    for _ in range(5):
+        many = many.union(many)
+    once = {(r.doc_id, r.lang_pred) for r in langid.identify(docs).collect()}
+    assert {(r.doc_id, r.lang_pred) for r in langid.identify(many).collect()} == once
+    assert {lang for _, lang in once} == {"en", "de"}

@@ -102,3 +102,11 @@ def test_reached_totals(spark):
     out = mixing.mix(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, domain string"), targets)
     for r in mixing.reached(out, targets).collect():
         assert r.target == targets[r.domain] and abs(r.total - r.target) < 0.01
+
+
+def test_one_text_of_an_id(spark):
+    from gaugewright.llm.common import one_text
+
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, None), (3, "c"), (3, None)], "doc_id int, text string")
+    got = {r.doc_id: r.text for r in one_text(rows, "text", "doc_id").collect()}
+    assert len(got) == 3 and got[1] in ("a", "b") and got[2] is None
