@@ -198,8 +198,12 @@ def _joined(part: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     return part if more.isEmpty() else _parts(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
-def _audit(nodes: DataFrame, parts: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the true links of ``sample`` nodes with links and as many of all, found by comparing them with every node, that ``parts`` connects."""
+def _audit(nodes: DataFrame, parts: DataFrame, threshold: float, sample: int) -> float | None:
+    """How much of each node's true links ``parts`` connects, on the average of ``sample`` nodes with links and as many of all.
+
+    The truth is found by comparing these nodes with every node; each counts once, so that no dense group outweighs lost
+    single links. Null where none of them has a link: then nothing was measured.
+    """
     order = F.xxhash64(F.lit("audit"), "node")
     linked = nodes.join(parts.select("node"), "node", "left_semi")
     asked = list({r.node: r for df in (linked, nodes) for r in df.select("node", "vec").orderBy(order).limit(sample).collect()}.values())
@@ -223,12 +227,12 @@ def _audit(nodes: DataFrame, parts: DataFrame, threshold: float, sample: int) ->
 
     true = nodes.select("node", "vec", F.size("vec").cast("long").alias("dim")).mapInArrow(run, EDGE)
     name = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-    total, found = true.join(name("u"), "u", "left").join(name("v"), "v", "left").agg(F.count("*"), F.coalesce(F.sum((F.col("u_part") == F.col("v_part")).cast("int")), F.lit(0))).first()
-    return found / total if total else 1.0
+    held = F.avg(F.coalesce(F.col("u_part") == F.col("v_part"), F.lit(False)).cast("int"))
+    return true.join(name("u"), "u", "left").join(name("v"), "v", "left").groupBy("u").agg(held.alias("held")).agg(F.avg("held")).first()[0]
 
 
-def near_components(nodes: DataFrame, threshold: float, k: int = 10, tables: int = 8, rounds: int = 6, recall: float = 0.995, sample: int = 256) -> tuple[DataFrame, float]:
-    """nodes(node, vec): distinct finite nonzero vectors -> ((node, component) of nodes with links, audited recall).
+def near_components(nodes: DataFrame, threshold: float, k: int = 10, tables: int = 8, rounds: int = 6, recall: float = 0.995, sample: int = 256) -> tuple[DataFrame, float | None]:
+    """nodes(node, vec): distinct finite nonzero vectors -> ((node, component) of nodes with links, audited recall, null without a link to measure it by).
 
     Where the recall stays below its target, all nodes of different components are compared; the recall is then 1.
     """
@@ -244,7 +248,7 @@ def near_components(nodes: DataFrame, threshold: float, k: int = 10, tables: int
             full = lists.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), F.min("cos").alias("least")).where((F.col("n") >= k) & (F.col("least") >= threshold)).select("node")
             part = _joined(part, part.join(full, "node", "left_semi").join(nodes.select("node", "vec"), "node").select("component", "node", "vec"), threshold)
             audited = _audit(nodes, part, threshold, sample)
-            if audited >= recall:
+            if audited is None or audited >= recall:
                 return part, audited
     everyone = nodes.select("node", "vec").join(part, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "vec")
     return _joined(part, everyone, threshold), 1.0
@@ -312,12 +316,13 @@ def _linked(table: pa.Table, threshold: float) -> tuple | None:
 
 
 def near_dedup(vectors: DataFrame, threshold: float = 0.9, k: int = 10) -> DataFrame:
-    """vectors(vec_id, embedding, ...) -> (vec_id, n_links, component_id, kept), one row per input row.
+    """vectors(vec_id, embedding, ...) -> (vec_id, n_links, component_id, kept, audited_recall), one row per input row.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing; vectors of different lengths do
     not link, however long. Rows with equal vectors link with each other, also where they repeat a vec_id; pairs exactly at the
     threshold are linked. An empty table gives no rows. A null vec_id is kept and
-    never names a component; it is ``kept`` only where no row of its component has an id. Other columns are ignored.
+    never names a component; it is ``kept`` only where no row of its component has an id. ``audited_recall`` is the same in all
+    rows: the share of true links that the graph connects, or null where no audited vector has one. Other columns are ignored.
     """
     rows = vectors.select("vec_id", F.col("embedding").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
@@ -326,7 +331,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, k: int = 10) -> DataF
         rows.where(valid).groupBy("vec").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id()), "nodes"
     )
     part, recall = near_components(nodes, threshold, k)
-    if recall < 0.9:
+    if recall is not None and recall < 0.9:
         raise RuntimeError(f"the neighbour graph holds {recall:.3f} of the true links only")
     members = part.join(nodes, "node")
     names = members.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -335,4 +340,4 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, k: int = 10) -> DataF
     known = nodes.join(found, "node", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id"))
     linked = rows.where(valid).join(known, "vec").select("vec_id", "n_links", "component_id")
     alone = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumn("audited_recall", F.lit(recall).cast("double"))

@@ -54,9 +54,37 @@ def test_component_larger_than_a_block(spark, monkeypatch):
 
 
 def test_whole_table(spark):
+    """No pair of these vectors is linked, so the recall is unknown."""
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]
-    assert result(neighbours.near_dedup(table)) == brute(rows)
+    found = neighbours.near_dedup(table)
+    assert result(found) == brute(rows)
+    assert {r.audited_recall for r in found.select("audited_recall").distinct().collect()} == {None}
+
+
+def test_planted_groups_of_many_sizes(spark):
+    """5000 vectors: pairs, groups to 600, and single ones; every link and component, and the audit per node."""
+    rng = np.random.default_rng(11)
+    vectors = []
+    for size in [2] * 200 + [5] * 60 + [30] * 10 + [200, 600]:
+        center = rng.standard_normal(24)
+        spread = rng.choice([0.05, 0.25])
+        vectors += [center + spread * rng.standard_normal(24) for _ in range(size)]
+    vectors += list(rng.standard_normal((5000 - len(vectors), 24)))
+    order = rng.permutation(len(vectors))
+    x = np.array(vectors)[order]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    least = np.arange(len(x))
+    while True:
+        lower = np.array([min(least[i], least[near[i]].min(initial=len(x))) for i in range(len(x))])
+        if (lower == least).all():
+            break
+        least = lower
+    found = {r.vec_id: r for r in neighbours.near_dedup(spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(x)], SCHEMA)).collect()}
+    assert all(found[i].n_links == near[i].sum() and found[i].component_id == least[i] for i in range(len(x)))
+    assert found[0].audited_recall >= 0.995
 
 
 def test_empty(spark):
