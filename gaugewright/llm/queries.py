@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, fingerprints, langid, licenses, linededup, mixing, neighbours, secrets, simhash, spelling, toxicity, warc
+from . import conversations, decontaminate, fingerprints, langid, licenses, linededup, mixing, neighbours, oracles, secrets, simhash, spelling, toxicity, warc
 from .common import read
 
 
@@ -86,4 +86,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express; the others are held against brute force, round trips or held-out rows in the tests."""
+    return {"op11_spelling": oracles.SPELLING, "op12_conversation_trie": oracles.CONVERSATION_TRIE}

@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from gaugewright.llm import conversations
+from gaugewright.llm import conversations, oracles
 from gaugewright.llm.queries import op12_conversation_trie
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -92,3 +92,14 @@ def test_empty_and_turnless(spark):
 def test_query_on_the_whole_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
     assert rows_of(op12_conversation_trie(spark, "/root/testdata/sf0.001")) == brute(sequences([tuple(r) for r in rows]))
+
+
+def test_oracle_against_brute_force():
+    import duckdb
+    import pandas as pd
+
+    rows = [r for r in planted() if r[0] is None or r[0] < 400]
+    duck = duckdb.connect()
+    duck.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert sorted(duck.sql(oracles.CONVERSATION_TRIE).select(*names).fetchall()) == brute(sequences(rows))

@@ -5,9 +5,10 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
-from gaugewright.llm import spelling
+from gaugewright.llm import oracles, spelling
 from gaugewright.llm.queries import op11_spelling
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,15 +87,24 @@ def test_words_of_texts(spark):
     assert spelling.vocabulary(spelling.words(docs), 2, 2).collect()[0].asDict() == {"word": "zz", "n": 2}
 
 
-def test_query_on_the_whole_table(spark):
+def counts():
     n = Counter()
-    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect():
-        for run in re.findall("[A-Za-zÀ-ÿ]+", r.text or ""):
+    for doc_id, text in duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall():
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
             w = run.translate(LOWER)
-            h = zlib.crc32(f"{r.doc_id}:{w}".encode())
+            h = zlib.crc32(f"{doc_id}:{w}".encode())
             n[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 97 == 0 else w] += 1
-    n = {w: k for w, k in n.items() if len(w) >= 5 and k >= 3}
-    assert rows_of(op11_spelling(spark, "/root/testdata/sf0.001")) == brute(n)
+    return {w: k for w, k in n.items() if len(w) >= 5 and k >= 3}
+
+
+def test_query_on_the_whole_table(spark):
+    assert rows_of(op11_spelling(spark, "/root/testdata/sf0.001")) == brute(counts())
+
+
+def test_oracle_against_brute_force():
+    duck = duckdb.connect()
+    duck.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    assert sorted(duck.sql(oracles.SPELLING).select("word", "form", "root", "n", "n_near", "form_n").fetchall()) == brute(counts())
 
 
 def test_null_id_of_a_text(spark):
