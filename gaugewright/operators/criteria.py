@@ -5,6 +5,7 @@ Facts that were not measured are null and give ``na``; what was measured and is
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,12 +39,16 @@ def scores() -> dict[str, Column]:
         "video-schema": F.when(~c("has_video") & c("video_embed"), 0).when(c("has_video"), _three(F.lit(False), c("video_fields") >= 5)),
         "original-media": F.when(c("own_images") >= 4, 50).otherwise(0) + F.when(c("own_video"), 25).otherwise(0),
         "freshness": F.when(c("shown_date").isNull() & ~c("date_text"), 0).when(F.datediff(c("as_of"), c("shown_date")) <= 180, 100).otherwise(50),
-        "entity-databases": F.when(c("panel") | c("encyclopedia"), 100).when(c("data_entry"), 50).otherwise(0),
+        "entity-databases": F.when(c("panel") | c("encyclopedia"), 100).when(c("data_entry"), 50).when(F.coalesce("panel", "encyclopedia", "data_entry").isNotNull(), 0),
         "shipping-competitive": F.when(c("shipping_band") == "na", 0).otherwise(c("shipping_band").try_cast("int")),
     }
 
 
-#: Criteria that no page decides.
+#: All criteria that ``scores`` decides, and those that no page does.
+KEYS = (
+    "ai-bots-allowed", "google-merchant-feed", "internal-linking", "crawlable-text", "image-alt-text", "heading-hierarchy", "brand-in-title", "product-schema", "product-schema-rich", "review-schema", "shipping-schema", "faq-schema",
+    "organization-schema", "video-schema", "original-media", "freshness", "entity-databases", "shipping-competitive",
+)
 OFF_PAGE = ("entity-databases", "google-merchant-feed", "shipping-competitive")
 #: Phrases over related products, words before a date of change, and what shows an embedded film.
 RELATED = ("related products", "you may also like", "recommend", "complete the look", "pair well with", "pairs well with")
@@ -148,7 +153,23 @@ def page_facts(pages: DataFrame) -> DataFrame:
     return parsed.select(*pages.columns, *(x.alias(n) for n, x in out.items()))
 
 
-def measured(facts: DataFrame, audit: str = "audit", leave: tuple[str, ...] = ()) -> DataFrame:
+def off_page_facts(audits: DataFrame, collected: str, analysis: str) -> DataFrame:
+    """audits with the facts of OFF_PAGE: from what was collected off the page and from the analysis, both JSON texts or null.
+
+    What was not collected stays null, so it is not measured; a collected answer that does not say yes says no. A stated band that is
+    no band measures nothing, while the answer na scores 0.
+    """
+    held = lambda group: F.get_json_object(collected, f"$.{group}").isNotNull()
+    says = lambda group, name: F.when(held(group), F.coalesce(F.get_json_object(collected, f"$.{group}.{name}") == "true", F.lit(False)))
+    known = "entityDatabases"
+    stated = F.get_json_object(analysis, "$['shipping-competitive'].band")
+    return audits.withColumns({
+        "in_feed": says("googleMerchantFeed", "onGoogleShopping"), "panel": says(known, "hasKnowledgePanel"), "encyclopedia": says(known, "hasWikipedia"), "data_entry": says(known, "hasWikidata") | says(known, "hasCrunchbase"),
+        "shipping_band": F.when(stated.isin("0", "50", "100", "na"), stated),
+    })
+
+
+def measured(facts: DataFrame, audit: str = "audit", leave: Collection[str] = ()) -> DataFrame:
     """facts (one row per audit, and ``received``) -> (audit, key, status, score). A page that never arrived measures nothing on it; criteria in ``leave`` are left out."""
     cells = []
     for key, score in scores().items():

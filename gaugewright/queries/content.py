@@ -349,3 +349,36 @@ def k04_json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     beside = F.size(F.array_except(given, F.array(*map(F.lit, schema["properties"])))) > 0
     listed = F.get_json_object(body, "$.segment").isin(*schema["properties"]["segment"]["enum"])
     return c.select(F.col("c_custkey").alias("k"), F.when(lacking, "missing name").when(~listed, "segment").when(beside, "unknown field").alias("problem"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer), u AS (SELECT k, 'google-merchant-feed' AS key, CAST(CASE n % 4 WHEN 0 THEN 100 WHEN 1 THEN 0 END AS DOUBLE) AS score FROM c
+UNION ALL SELECT k, 'entity-databases', CASE WHEN n % 4 = 2 THEN NULL WHEN n % 3 = 0 OR n % 5 = 0 THEN 100 WHEN n % 2 = 0 THEN 50 ELSE 0 END FROM c UNION ALL SELECT k, 'shipping-competitive', CASE k % 6 WHEN 0 THEN 0 WHEN 1 THEN 50 WHEN 2 THEN 100 WHEN 3 THEN 0 END FROM c)
+SELECT k, key, CASE WHEN score IS NULL THEN 'na' ELSE 'scored' END AS status, score FROM u""")
+def c02_c38_c40_off_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Criteria that no page decides, from collected answers and an analysis, of which some are missing."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    feed = F.expr("case n % 4 when 0 then named_struct('onGoogleShopping', true, 'source', 'x') when 1 then named_struct('onGoogleShopping', false, 'source', 'x') end")
+    known = F.when(F.col("n") % 4 != 2, F.struct((F.col("n") % 3 == 0).alias("hasKnowledgePanel"), (F.col("n") % 5 == 0).alias("hasWikipedia"), (F.col("n") % 4 == 0).alias("hasWikidata"), F.when(F.col("n") % 2 == 0, True).alias("hasCrunchbase")))
+    band = F.expr("case k % 6 when 0 then '0' when 1 then '50' when 2 then '100' when 3 then 'na' when 4 then '75' end")
+    rows = c.withColumns({"collected": F.to_json(F.struct(feed.alias("googleMerchantFeed"), known.alias("entityDatabases"))), "analysis": F.when(F.col("k") % 6 != 5, F.to_json(F.struct(F.struct(band.alias("band")).alias("shipping-competitive"))))})
+    facts = criteria.off_page_facts(rows, "collected", "analysis").withColumn("received", F.lit(True))
+    return criteria.measured(facts, "k", leave=[x for x in criteria.KEYS if x not in criteria.OFF_PAGE])
+
+
+@query(r"""WITH d AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '(\d)', CASE doc_id % 3 WHEN 0 THEN '€\1' WHEN 1 THEN '\1 USD' ELSE '\1' END), chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(line, '\p{Sc}\s?\d|\d\s?\p{Sc}|\b(USD|EUR|GBP|JPY|CHF)\s?\d|\d\s?(USD|EUR|GBP|JPY|CHF)\b')) AS money FROM d GROUP BY 1""")
+def f43_money_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that state money, of whole documents, whose first number got a sign, a code, or neither."""
+    d = read(spark, sf_dir, "documents")
+    priced = F.expr(r"regexp_replace(text, '^([^0-9]*)([0-9])', case doc_id % 3 when 0 then '$1€$2' when 1 then '$1$2 USD' else '$1$2' end)")
+    lines = d.select("doc_id", F.explode(F.split(priced, "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(text.states_money(F.col("line"))).alias("money"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id) AS n, unnest(string_split(text, chr(10))) AS line FROM documents), l AS (SELECT doc_id, CASE WHEN length(line) % 5 = 0 THEN line || ' (Xem)' WHEN length(line) % 7 = 0 THEN replace(line, 'd', 'đ') ELSE line END AS line FROM d)
+SELECT doc_id, count(*) FILTER (regexp_matches(line, '[ĂăĐđƠơƯưẠ-ỹ]') OR regexp_matches(' ' || line || ' ', '(?i)[^\p{L}\p{N}](còn|xem|và|cho|các|này)[^\p{L}\p{N}]')) AS foreign_lines FROM l GROUP BY 1""")
+def f62_lines_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of whole documents that are not English by letters or words, some of which were written in."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    line = F.expr("case when char_length(line) % 5 = 0 then concat(line, ' (Xem)') when char_length(line) % 7 = 0 then replace(line, 'd', 'đ') else line end")
+    return d.select("doc_id", records.not_english(line).alias("found")).groupBy("doc_id").agg(F.count_if("found").alias("foreign_lines"))
