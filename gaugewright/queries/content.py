@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import html, places, text, urls
 from ..operators import criteria, json_trees, linediff, publish, records
@@ -84,8 +87,6 @@ def t02_locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred words by length, then in the order of the root locale."""
     words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z\\x{C0}-\\x{FF}]+"), F.lit(0))).alias("word")).distinct()
     top = words.orderBy(F.length("word"), places.in_order(F.col("word"))).limit(100)
-    from pyspark.sql import Window
-
     return top.select("word", F.row_number().over(Window.orderBy(F.length("word"), places.in_order(F.col("word")))).cast("long").alias("place"))
 
 
@@ -104,7 +105,7 @@ d AS (SELECT *, sum(step) OVER (PARTITION BY page_id, name ORDER BY i) AS level
 s AS (SELECT page_id, i, token, name, step, lead(i) OVER w AS ends, lead(step) OVER w AS after FROM k WINDOW w AS (PARTITION BY page_id, name, level ORDER BY i)),
 gone AS (SELECT page_id, i AS low, ends AS high FROM s WHERE step = 1 AND after = -1 AND (name IN ('header', 'nav', 'footer', 'aside') OR contains(token, 'sr-only') OR contains(token, 'shopify-section-'))),
 x AS (SELECT e.page_id, string_agg(CASE WHEN step = 0 AND NOT starts_with(token, '<') THEN token ELSE ' ' END, '' ORDER BY i) AS t FROM e WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.page_id = e.page_id AND e.i BETWEEN low AND high) GROUP BY 1),
-y AS (SELECT page_id, regexp_replace(regexp_replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '[\\s\\x{00a0}\\x{feff}]+', ' ', 'g'), ' ([.,;:!?])', '\\1', 'g') AS t FROM x)"""
+y AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '(?s)</?[a-zA-Z][^>]*>', ' ', 'g'), '[\\s\\x{00a0}\\x{feff}]+', ' ', 'g'), ' ([.,;:!?])', '\\1', 'g') AS t FROM x)"""
 
 
 @query(f"""{FRAMED}, z AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i)\\bWrite a review\\b', ' ', 'g'), '\\b\\d+% \\(\\d+\\)', ' ', 'g'), '[\\s\\x{{00a0}}\\x{{feff}}]+', ' ', 'g')) AS t FROM y) SELECT page_id, CASE WHEN length(t) <= 1500 THEN t ELSE left(t, 1046) || ' […] ' || right(t, 449) END AS main FROM z""")
@@ -153,8 +154,6 @@ k AS (SELECT i.s, i.kind, i.id, i.p, b.before + row_number() OVER (PARTITION BY
 SELECT 's' || s AS site, kind, id, CAST(p AS INTEGER) AS page, nth <= 35 AS kept, 'Order ' || id AS title FROM k""")
 def s10_paged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as recorded answers of ten items; some answers are missing, some items without an address, and 35 items a site are wanted."""
-    from pyspark.sql import Window
-
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("o_custkey % 40").alias("s"), F.expr("if(o_orderstatus = 'F', 'pages', 'posts')").alias("kind"))
     o = o.withColumn("n", F.row_number().over(Window.partitionBy("s", "kind").orderBy("id")) - 1).withColumn("p", F.expr("n div 10 + 1"))
     item = F.to_json(F.struct("id", F.when(F.col("id") % 11 != 0, F.concat(F.lit("https://s/"), F.col("id").cast("string"))).alias("link"), F.struct(F.concat(F.lit("<b>Order</b>\n "), F.col("id").cast("string")).alias("rendered")).alias("title"), F.array(F.lit(1), F.lit(2)).alias("tags")))
@@ -310,8 +309,6 @@ def s29_runs_of_two_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE s_nationkey % 5 <> 4 QUALIFY s_nationkey % 3 <> 0 OR row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) = 1""")
 def s16_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of one record and of lists of them, in a folder; some do not parse."""
-    from pyspark.sql import Window
-
     s = read(spark, sf_dir, "supplier").withColumn("n", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("s_nationkey % 3 <> 0 or n = 1")
     record = F.to_json(F.struct(F.col("s_name").alias("name")))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", record.alias("x")))), lambda x: x["x"]), ",\n")
@@ -335,10 +332,6 @@ def k05_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey AS k, CAST(CASE c_custkey % 5 WHEN 0 THEN 'missing name' WHEN 1 THEN 'segment' WHEN 2 THEN 'unknown field' END AS VARCHAR) AS problem FROM customer""")
 def k04_json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records checked by the JSON Schema that a table's schema gives: required fields, listed values, no fields beside them."""
-    import json
-
-    from pyspark.sql import types as T
-
     c = read(spark, sf_dir, "customer")
     segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     kind = T.StructType([T.StructField("name", T.StringType(), False, {"minLength": 1}), T.StructField("segment", T.StringType(), True, {"enum": segments}), T.StructField("ref", T.StringType(), False, {"default": "main"})])

@@ -14,7 +14,7 @@ from .stored import qualified, store
 
 def documents(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """(path, text) of every file below a folder whose name fits, whole; sort by path where order matters."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(folder)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

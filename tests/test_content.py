@@ -212,3 +212,9 @@ def test_reports_of_audits_without_scores(spark):
     one, two = (json.loads(got[k].payload)["audit"] for k in (1, 2))
     assert one["score"] is None and one["verdict"] is None and one["topPriorities"] == [] and "No score" in got[1].summary
     assert two["score"] == 60.0 and two["topPriorities"] == ["k2"] and two["coverage"] == {"total": 2, "scored": 2, "na": 0, "inactive": 0}
+
+
+def test_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.json").write_text(' [{"n":1},\n{"n":2}]\n')
+    (row,) = files.documents(spark, str(tmp_path)).collect()
+    assert row.text == ' [{"n":1},\n{"n":2}]\n' and row.path.endswith("/a.json")
