@@ -115,3 +115,16 @@ def lane_impact(rows: DataFrame, *by: str) -> DataFrame:
     """rows(ordinal, key, impact, global_weight, ...) -> per group the number of criteria, the critical keys in order, and the weight to a tenth."""
     critical = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("impact") == "Critical", F.struct("ordinal", "key")))), lambda x: x["key"]), ",")
     return rows.groupBy(*by).agg(F.count("*").alias("criteria"), F.nullif(critical, F.lit("")).alias("critical"), F.round(F.sum("global_weight"), 1).alias("weight"))
+
+
+def rival_gaps(items: DataFrame, rivals: DataFrame, item: str, price: str, currency: str, least: int = 2) -> DataFrame:
+    """items and rivals, both (item, price, currency) -> (item, rivals, median, gap, score), an item a row.
+
+    Only rivals' prices above zero in the item's own currency count; the median of an even number is the mean of the middle
+    two. With fewer than ``least`` of them, or without a price of its own, an item has no median, gap in percent or score.
+    """
+    theirs = rivals.where(F.col(price) > 0).select(item, currency, F.col(price).alias("_theirs"))
+    per = theirs.groupBy(item, currency).agg(F.count("*").alias("rivals"), F.median("_theirs").alias("_median"))
+    enough = F.when((F.col("rivals") >= least) & (F.col(price) > 0), F.col("_median"))
+    gap = F.round(100 * (F.col(price) - enough) / enough, 6)
+    return items.join(per, [item, currency], "left").select(item, F.coalesce("rivals", F.lit(0)).alias("rivals"), F.round(enough, 6).alias("median"), gap.alias("gap"), F.when(enough.isNotNull(), gap_score(gap)).alias("score"))

@@ -76,6 +76,16 @@ def c39_price_competitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(mids, "p_brand").select("p_partkey", F.round("mid", 4).alias("median"), gap.alias("gap"), F.when(F.col("n") >= 2, scoring.gap_score(gap)).alias("score"))
 
 
+@query("""WITH r AS (SELECT l_partkey AS k, CASE l_suppkey % 3 WHEN 0 THEN 'USD' ELSE 'EUR' END AS cur, l_extendedprice / l_quantity AS theirs FROM lineitem WHERE l_discount > 0), i AS (SELECT p_partkey AS k, CASE p_size % 4 WHEN 0 THEN 'USD' ELSE 'EUR' END AS cur, CASE WHEN p_size % 11 <> 0 THEN p_retailprice END AS own FROM part),
+m AS (SELECT k, cur, count(*) AS n, median(theirs) AS mid FROM r GROUP BY 1, 2), j AS (SELECT i.k, coalesce(n, 0) AS n, CASE WHEN n >= 2 AND own > 0 THEN mid END AS mid, own FROM i LEFT JOIN m USING (k, cur))
+SELECT k, n AS rivals, round(mid, 6) AS median, round(100 * (own - mid) / mid, 6) AS gap, CASE WHEN mid IS NOT NULL THEN CAST(least(100, greatest(0, round(100 * (40 - round(100 * (own - mid) / mid, 6)) / 35))) AS DOUBLE) END AS score FROM j""")
+def a19_rival_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's price against those of its suppliers in the same currency."""
+    rivals = read(spark, sf_dir, "lineitem").where("l_discount > 0").selectExpr("l_partkey as k", "l_extendedprice / l_quantity as price", "if(l_suppkey % 3 = 0, 'USD', 'EUR') as cur")
+    items = read(spark, sf_dir, "part").selectExpr("p_partkey as k", "if(p_size % 11 <> 0, p_retailprice, null) as price", "if(p_size % 4 = 0, 'USD', 'EUR') as cur")
+    return scoring.rival_gaps(items, rivals, "k", "price", "cur")
+
+
 @query("""WITH n AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) SELECT user_id, CAST(least(100, round(12.5 * sqrt(n))) AS DOUBLE) AS reddit, CAST(least(100, round(45 * sqrt(n))) AS DOUBLE) AS press FROM n""")
 def c35_c37_mention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "events").where("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("n"))
