@@ -61,10 +61,10 @@ FILE_NAME = r"(?i)^(img[_-]|dsc[_-]?\d)|\.(jpe?g|png|gif|webp|svg|bmp|avif)$"
 def good_alts(found: Column, least_words: int = 4, most: int = 125) -> Column:
     """How many images have an alternative text of their own: some words, no file name, not too long, not that of another image."""
     texts = F.transform(found, lambda i: F.trim(F.coalesce(i["alt"], F.lit(""))))
-    plain = F.transform(texts, text.normalize)
-    own = lambda x: F.size(F.filter(plain, lambda y: y == text.normalize(x))) <= 1
+    both = F.transform(texts, lambda x: F.struct(x.alias("text"), text.normalize(x).alias("plain")))
+    plain = F.transform(both, lambda x: x["plain"])
     good = lambda x: (x != "") & ~F.regexp_like(x, F.lit(FILE_NAME)) & (F.size(F.split(x, "\\s+")) >= least_words) & (F.char_length(x) <= most)
-    return F.size(F.filter(texts, lambda x: good(x) & own(x)))
+    return F.size(F.filter(both, lambda x: good(x["text"]) & (F.size(F.array_remove(plain, x["plain"])) >= F.size(plain) - 1)))
 
 
 def name_share(heading: Column, name: Column) -> Column:
@@ -94,11 +94,13 @@ def page_facts(pages: DataFrame) -> DataFrame:
     named = F.coalesce(F.try_variant_get(c("item"), "$.image", "array<string>"), F.array(F.try_variant_get(c("item"), "$.image", "string")))
     named = F.filter(named, lambda x: x.isNotNull())
     own = facts.product_images(found, named)
-    shown, source = (F.array_distinct(text.tokens(text.strip_tags(x))) for x in (page, c("source_html")))
+    parsed = parsed.withColumns({f"_{n}": F.array_distinct(text.tokens(text.strip_tags(x))) for n, x in (("shown", page), ("source", c("source_html")))}).withColumn("_own", own)
+    shown, source, own = c("_shown"), c("_source"), c("_own")
     brand = F.coalesce(*(F.when(facts.says(c("item"), p), F.try_variant_get(c("item"), p, "string")) for p in ("$.brand", "$.brand.name")), F.when(text.squash(c("vendor")) != text.squash(c("shop")), F.nullif(F.trim("vendor"), F.lit(""))))
     embedded = F.regexp_like(page, F.lit(r"(?i)<video\b|<iframe\b[^>]*(youtube|vimeo)|" + "|".join(x.replace(".", r"\.") for x in FILMS)))
     numbers = [F.coalesce(text.gtin_valid(F.try_variant_get(c("item"), f"$.{k}", "string")), F.lit(False)) for k in facts.ITEM_NUMBERS]
-    dated = F.get(F.filter(F.transform("nodes", lambda n: F.try_variant_get(F.try_parse_json(n["node"]), "$.dateModified", "string")), lambda x: x.isNotNull()), F.lit(0))
+    said = F.filter("nodes", lambda n: F.contains(n["node"], F.lit('"dateModified"')))
+    dated = F.get(F.filter(F.transform(said, lambda n: F.try_variant_get(F.try_parse_json(n["node"]), "$.dateModified", "string")), lambda x: x.isNotNull()), F.lit(0))
     stated = lambda x: F.nullif(F.regexp_extract(x, f"(?iu)(?:{'|'.join(CHANGED)})[^0-9]{{0,12}}(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}/\\d{{4}}|\\d{{4}})", 1), F.lit(""))
     date = F.coalesce(dated, stated(page), stated(c("source_html")))
     questions = F.coalesce(F.try_variant_get(c("answers"), "$.mainEntity", "array<variant>"), F.array(node(c("answers"), "$.mainEntity")))

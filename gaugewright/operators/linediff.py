@@ -1,8 +1,8 @@
 """Differences of text files line by line, as an edit script.
 
-Lines are exploded, equal heads and tails of two files and lines that only one of them has are set aside by joins and counts;
-what is left of both is matched along a longest common subsequence. That matching is exact: anchors of unique lines alone
-would lose lines where repeated ones cross. A file's lines stay in one row only there, as whole numbers.
+A row holds both texts of a file, so nothing is shuffled: equal heads and tails are cut off by array functions, and what is
+left between them is matched along a longest common subsequence. That matching is exact: anchors of unique lines alone would
+lose lines where repeated ones cross.
 """
 
 from __future__ import annotations
@@ -48,9 +48,19 @@ def common_places(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def _matched(olds: pa.Array, news: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
-    return pa.array([[{"i": i, "j": j} for i, j in common_places(a, b)] for a, b in zip(olds.to_pylist(), news.to_pylist(), strict=True)], kind)
+def unmatched(old: list[str], new: list[str]) -> tuple[list[int], list[int]]:
+    """Places of old lines to remove and of new lines to add: all that a longest common subsequence leaves out. Lines that only one side has take no part in it."""
+    both = set(old) & set(new)
+    known = {line: n for n, line in enumerate(both)}
+    a, b = ([(n, known[line]) for n, line in enumerate(lines) if line in known] for lines in (old, new))
+    kept = common_places([code for _, code in a], [code for _, code in b])
+    here, there = {a[i][0] for i, _ in kept}, {b[j][0] for _, j in kept}
+    return [n for n in range(len(old)) if n not in here], [n for n in range(len(new)) if n not in there]
+
+
+def _changes(olds: pa.Array, news: pa.Array) -> pa.Array:
+    found = [unmatched(a, b) for a, b in zip(olds.to_pylist(), news.to_pylist(), strict=True)]
+    return pa.array([{"i": i, "j": j} for i, j in found], pa.struct([("i", pa.list_(pa.int32())), ("j", pa.list_(pa.int32()))]))
 
 
 def edit_script(files: DataFrame, key: str, old: str, new: str) -> DataFrame:
@@ -58,31 +68,19 @@ def edit_script(files: DataFrame, key: str, old: str, new: str) -> DataFrame:
 
     ``place`` counts lines of the text that holds the line, from 1. As few lines as possible change; among equally short
     scripts any one is given, always the same. A null text has no lines, an empty one neither; a line break at the end opens
-    no further line. Keys are distinct; files under a null key are left out.
+    no further line. Rows under a null key are left out. The two texts of a row must fit a task.
     """
-    split = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.split(F.regexp_replace(c, "\\r?\\n\\z", ""), "\\r?\\n"))
-    pairs = files.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), split(old).alias("old"), split(new).alias("new")).where(F.coalesce(F.col("old") != F.col("new"), ~(F.col("old").isNull() & F.col("new").isNull())))
-    sides = [pairs.select("k", F.lit(s).alias("side"), F.coalesce(F.size(s), F.lit(0)).alias("n"), F.posexplode_outer(s).alias("at", "line")) for s in ("old", "new")]
-    lines = sides[0].union(sides[1])
-    # equal heads and tails: how many places from either end hold the same line on both sides
-    ends = lines.where("at is not null").select("k", "side", "line", F.explode(F.array(F.struct(F.lit("head").alias("end"), F.col("at").alias("from")), F.struct(F.lit("tail").alias("end"), (F.col("n") - 1 - F.col("at")).alias("from")))).alias("e"), "n")
-    met = ends.groupBy("k", "e.end", "e.from").agg((F.count("*") == 2).alias("both"), (F.min("line") == F.max("line")).alias("same"))
-    run = met.groupBy("k").agg(*(F.min(F.when((F.col("end") == e) & ~(F.col("both") & F.col("same")), F.col("from"))).alias(e) for e in ("head", "tail")), *(F.count(F.when(F.col("end") == e, 1)).alias(f"all_{e}") for e in ("head", "tail")))
-    run = run.select("k", F.coalesce("head", "all_head").alias("head"), F.coalesce("tail", "all_tail").alias("tail"))
-    # where heads and tails overlap in the shorter text, the tail gives way on both sides alike
-    least = lines.groupBy("k").agg(F.min("n").alias("least"))
-    inner = lines.where("at is not null").join(run, "k").join(least, "k").withColumn("tail", F.least("tail", F.col("least") - F.col("head")))
-    inner = inner.where((F.col("at") >= F.col("head")) & (F.col("at") < F.col("n") - F.col("tail"))).select("k", "side", "at", "line")
-    known = inner.groupBy("k", "line").agg(F.count_distinct("side").alias("sides"), F.min(F.struct("side", "at")).alias("first"))
-    marked = inner.join(known, ["k", "line"])
-    # a line that both have is known by the place where it first stands in the new text
-    code = F.col("first.at")
-    listed = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("at", code.alias("code")))))
-    shared = marked.where("sides = 2").groupBy("k").agg(listed("old").alias("old"), listed("new").alias("new"))
-    matched = shared.select("k", "old", "new", F.explode(F.arrow_udf(_matched, "array<struct<i int, j int>>")(F.col("old.code"), F.col("new.code"))).alias("m"))
-    kept = matched.select("k", F.explode(F.array(F.struct(F.lit("old").alias("side"), F.col("old")[F.col("m.i")]["at"].alias("at")), F.struct(F.lit("new").alias("side"), F.col("new")[F.col("m.j")]["at"].alias("at")))).alias("e")).select("k", "e.side", "e.at")
-    changed = inner.join(kept, ["k", "side", "at"], "left_anti")
-    return changed.select(F.col("k").alias(key), F.when(F.col("side") == "old", "removed").otherwise("added").alias("change"), (F.col("at") + 1).alias("place"), "line")
+    none = F.array().cast("array<string>")
+    split = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.split(F.regexp_replace(c, "\\r?\\n\\z", ""), "\\r?\\n")).otherwise(none)
+    pairs = files.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), split(old).alias("old"), split(new).alias("new")).where("old <> new")
+    # unequal lists differ at some place, at the latest where the shorter one ends
+    agree = lambda a, b: F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int") - 1
+    ends = pairs.withColumn("head", agree("old", "new")).withColumn("tail", F.least(agree(F.reverse("old"), F.reverse("new")), F.least(F.size("old"), F.size("new")) - F.col("head")))
+    inner = lambda c: F.slice(c, F.col("head") + 1, F.size(c) - F.col("head") - F.col("tail"))
+    middles = ends.select("k", "head", inner("old").alias("old"), inner("new").alias("new")).withColumn("c", F.arrow_udf(_changes, "struct<i array<int>, j array<int>>")(F.col("old"), F.col("new")))
+    told = lambda change, side, places: F.transform(places, lambda n: F.struct(F.lit(change).alias("change"), (F.col("head") + n + 1).alias("place"), F.get(F.col(side), n).alias("line")))
+    every = F.concat(told("removed", "old", F.col("c.i")), told("added", "new", F.col("c.j")))
+    return middles.select(F.col("k").alias(key), F.explode(every).alias("e")).select(key, "e.change", "e.place", "e.line")
 
 
 def change_counts(files: DataFrame, key: str, old: str, new: str) -> DataFrame:
