@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import facts, html, text
+from ..sources.sitemap import robots_rules
+from .judgements import blocked_from_shop
 
 
 def _three(none: Column, full: Column) -> Column:
@@ -155,6 +157,25 @@ def page_facts(pages: DataFrame) -> DataFrame:
     return parsed.select(*pages.columns, *(x.alias(n) for n, x in out.items()))
 
 
+#: Agents of the search engine, and of the assistant, whose being shut out counts.
+SEARCH_AGENTS, ASSISTANT_AGENTS = ("googlebot",), ("oai-searchbot", "chatgpt-user")
+
+
+def blocked_agents(sites: DataFrame, robots: DataFrame) -> DataFrame:
+    """sites(site, ...) with search_blocked and assistant_blocked by robots(site, body), their robots files.
+
+    A site without a file, or with a null or empty one, blocks nobody; an assistant is blocked if any of its agents is.
+    """
+    rules = robots_rules(robots.where("body is not null"))
+    shut = None
+    for agent in (*SEARCH_AGENTS, *ASSISTANT_AGENTS):
+        one = blocked_from_shop(rules, agent).where("blocked").select("site", F.lit(agent).alias("agent"))
+        shut = one if shut is None else shut.unionByName(one)
+    name = F.when(F.col("agent").isin(*SEARCH_AGENTS), "search_blocked").otherwise("assistant_blocked")
+    flags = shut.groupBy("site").agg(*(F.bool_or(name == x).alias(x) for x in ("search_blocked", "assistant_blocked")))
+    return sites.join(flags, "site", "left").fillna(False, ["search_blocked", "assistant_blocked"])
+
+
 def off_page_facts(audits: DataFrame, collected: str, analysis: str) -> DataFrame:
     """audits with the facts of OFF_PAGE: from what was collected off the page and from the analysis, both JSON texts or null.
 

@@ -375,3 +375,16 @@ def f62_lines_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     line = F.expr("case when char_length(line) % 5 = 0 then concat(line, ' (Xem)') when char_length(line) % 7 = 0 then replace(line, 'd', 'đ') else line end")
     return d.select("doc_id", records.not_english(line).alias("found")).groupBy("doc_id").agg(F.count_if("found").alias("foreign_lines"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey % 4 = 0 AS g, s_nationkey % 3 = 0 AS a, s_acctbal < 0 AS every, s_suppkey % 5 = 0 AS noindex, s_suppkey % 7 = 0 AS none FROM supplier)
+SELECT k, CASE WHEN noindex OR (NOT none AND (g OR every)) THEN 25.0 WHEN NOT none AND (a OR every) THEN 75.0 ELSE 100.0 END AS score FROM s""")
+def c01_ai_bots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether robots files or a page's own word keep search engines and assistants out; some sites have no file."""
+    s = read(spark, sf_dir, "supplier")
+    body = F.expr(r"""case when s_suppkey % 7 <> 0 then concat('# robots\nUser-agent: Googlebot\n', if(s_nationkey % 4 = 0 or s_acctbal < 0, 'Disallow: /\n', 'Disallow:\n'), '\nUser-Agent: ChatGPT-User\nUser-agent: other\n', if(s_nationkey % 3 = 0 or s_acctbal < 0, 'Disallow: /\n', 'Allow: /\n'), '\nUser-agent: *\n', if(s_acctbal < 0, 'Disallow: /\n', 'Disallow: /cart\n')) end""")
+    page = F.expr("""concat('<html><head>', if(s_suppkey % 5 = 0, '<meta name="robots" content="nofollow, NOINDEX">', ''), '</head><body><p>x</p></body></html>')""")
+    sites = criteria.blocked_agents(s.select(F.col("s_suppkey").alias("site"), page.alias("html")), s.select(F.col("s_suppkey").alias("site"), body.alias("body")))
+    nothing = {n: F.lit(None).cast("string") for n in ("source_html", "name", "vendor", "shop")}
+    facts = criteria.page_facts(sites.withColumns({**nothing, "as_of": F.lit("2000-01-01").cast("date")}))
+    return criteria.measured(facts, "site", leave=[x for x in criteria.KEYS if x != "ai-bots-allowed"]).select(F.col("site").alias("k"), "score")
