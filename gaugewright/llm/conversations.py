@@ -29,7 +29,8 @@ def turns(conversations: DataFrame) -> DataFrame:
     """conversations(conv_id, turn, role, text, ...) -> (conv_id, pos long from 1, key binary, words int).
 
     Null role and text count as empty, null turns come first, turns of equal number are ordered by their key; repeated rows
-    are turns of their own. Rows without a conv_id belong to no conversation. Other columns are ignored.
+    are turns of their own. Rows without a conv_id belong to no conversation. Texts of any length are hashed where they lie.
+    Other columns are ignored.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     key = F.unhex(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text).cast("binary"), 256))
@@ -107,6 +108,9 @@ def trie(steps: DataFrame) -> DataFrame:
     conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256. The root is
     the node of depth 0, which all conversations belong to; without conversations there is none. ``saved_tokens`` is what a
     node and those below it save if each turn is stored, or computed, once a node instead of once a conversation.
+
+    A row with a null depth is a conversation without turns: it is a member of the root and ends there. Rows need no order;
+    other columns are ignored. Ids may be of any type that orders; they are written in decimal, as text, in the hashes.
     """
     steps = keep(steps, "steps")
     none = hashlib.sha256(b"").hexdigest()
