@@ -179,17 +179,19 @@ BARE_HEADINGS = ("follow us:",)
 LEAST_HEADING = 8
 
 
-def heading_pairs(html: Column, least: int = LEAST_HEADING) -> Column:
-    """Array of (heading, body): each heading of a fragment with the paragraph right after it, empty if none follows; short headings are left out."""
+def heading_pairs(html: Column, least: int = LEAST_HEADING, entities: Iterable[str] = tuple(ENTITIES)) -> Column:
+    """Array of (heading, body): each heading of a fragment with the paragraph right after it, empty if none follows; short headings are left out.
+
+    ``entities`` are those that are decoded; others stay as they are written.
+    """
     shape = "(?is)<h([1-6])[^>]*>(.*?)</h\\1>\\s*(?:<p[^>]*>(.*?)</p>)?"
-    plain = lambda x: squeeze(decode_entities(F.regexp_replace(x, "<[^>]+>", " ")))
+    plain = lambda x: squeeze(decode_entities(F.regexp_replace(x, "<[^>]+>", " "), entities))
     pairs = F.transform(F.regexp_extract_all(html, F.lit(shape), F.lit(0)), lambda x: F.struct(plain(F.regexp_extract(x, shape, 2)).alias("heading"), plain(F.regexp_extract(x, shape, 3)).alias("body")))
     return F.filter(pairs, lambda p: (F.char_length(p["heading"]) >= least) & ~F.lower(p["heading"]).isin(*BARE_HEADINGS))
 
 
-def decode_entities(text: Column) -> Column:
-    """Text with the six entities decoded that stay text; &amp; last, so that nothing is decoded twice."""
-    for entity, plain in ENTITIES.items():
-        if entity != "&amp;":
-            text = F.replace(text, F.lit(entity), F.lit(plain))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+def decode_entities(text: Column, entities: Iterable[str] = tuple(ENTITIES)) -> Column:
+    """Text with those of the six entities decoded that stay text; &amp; last, so that nothing is decoded twice."""
+    for entity in sorted(entities, key="&amp;".__eq__):
+        text = F.replace(text, F.lit(entity), F.lit(ENTITIES[entity]))
+    return text
