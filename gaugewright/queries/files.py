@@ -11,18 +11,18 @@ from ..operators.findings import Check
 from ..sources import files, sitemap
 from ..sources.stored import fresh
 from .facts import P, shop
-from .registry import query, read
+from .registry import query, read, spread
 
 
 @query("""SELECT 'n' || s_nationkey AS namespace, 's' || s_suppkey AS slug, '{"name":"' || s_name || '"}' AS text FROM supplier""")
 def s01_s16_s28_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file a record, in a folder a namespace; found by walking the tree."""
     folder = fresh(spark, "records")
-    rows = read(spark, sf_dir, "supplier").selectExpr("concat('n', s_nationkey) as namespace", "concat('s', s_suppkey) as slug", """concat('{"name":"', s_name, '"}') as text""")
-    rows.write.partitionBy("namespace", "slug").text(folder)
+    rows = spread(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name"), "s_suppkey")
+    files.write_files(rows.selectExpr("concat('n', s_nationkey, '/s', s_suppkey, '.txt') as name", """cast(coalesce(concat('{"name":"', s_name, '"}'), '') as binary) as content"""), folder)
     found = files.documents(spark, folder, "*.txt")
-    named = lambda k: F.substring_index(files.path_part(F.col("path"), k), "=", -1)
-    return found.select(named(3).alias("namespace"), named(2).alias("slug"), F.regexp_replace("text", "\\s+$", "").alias("text"))
+    slug = F.regexp_replace(files.path_part(F.col("path"), 1), "\\.txt$", "")
+    return found.select(files.path_part(F.col("path"), 2).alias("namespace"), slug.alias("slug"), F.regexp_replace("text", "\\s+$", "").alias("text"))
 
 
 @query("""SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN 'missing' WHEN c_mktsegment = 'BUILDING' THEN 'malformed' ELSE 'ok' END AS state, CASE WHEN c_acctbal >= 0 AND c_mktsegment <> 'BUILDING' THEN c_name END AS name FROM customer""")

@@ -25,3 +25,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt over all tasks by a key of many values: a small file of many rows is one or two tasks, however long the work on each row takes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
