@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import facts, urls
 from ..operators import discoverability
 from ..sources.stored import stored
-from .registry import query, read
+from .registry import query, read, spread
 
 SITE = "https://acme-shop.example"
 #: What the page of a part holds, as SQL over ``part`` that both engines understand. ``s`` is p_size, ``t`` p_type.
@@ -48,7 +48,7 @@ READABLE = "NOT broken AND NOT stub"
 
 def shop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, url, html, order): one page a part."""
-    p = read(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_name as name", "p_brand as brand_name", "p_retailprice as price_value", "p_size as s", "p_type as t", *(f"({v.replace('p_partkey', 'p_partkey')}) as {n}" for n, v in ((n, v.replace("s ", "p_size ").replace("t ", "p_type ") if n != "blog" else v) for n, v in HOLDS.items())))
+    p = spread(read(spark, sf_dir, "part"), "p_partkey").selectExpr("p_partkey as k", "p_name as name", "p_brand as brand_name", "p_retailprice as price_value", "p_size as s", "p_type as t", *(f"({v.replace('p_partkey', 'p_partkey')}) as {n}" for n, v in ((n, v.replace("s ", "p_size ").replace("t ", "p_type ") if n != "blog" else v) for n, v in HOLDS.items())))
     on = lambda name, text: F.when(F.col(name), text if not isinstance(text, str) else F.lit(text)).otherwise("")
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     offer = F.concat(
