@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.files import write_files
 from ..sources.sitemap import allowed, robots_rules
 
 
@@ -75,8 +76,15 @@ def claimed_flags(texts: DataFrame, skill: str) -> DataFrame:
 
 
 def scan_tree(pages: DataFrame, folder: str, key: Column) -> None:
-    """Write a scan's pages as JSON files, a folder a page key."""
-    pages.withColumn("page_key", key).write.mode("overwrite").partitionBy("page_key").json(f"{folder}/pages")
+    """Write a scan's pages as JSON files below a new folder, a folder a page key and a file a page, from all tasks.
+
+    Folders are named as Spark names those of partitions, so that readers find ``page_key`` again; it is null where it is null or empty.
+    """
+    named = F.coalesce(F.replace(F.url_encode(F.nullif(key, F.lit(""))), F.lit("+"), F.lit("%20")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    numbered = pages.withColumn("page_key", named).withColumn("_n", F.monotonically_increasing_id())
+    dealt = numbered.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_n")
+    name = F.concat(F.lit("page_key="), "page_key", F.lit("/"), F.col("_n").cast("string"), F.lit(".json"))
+    write_files(dealt.select(name.alias("name"), F.to_json(F.struct(*pages.columns)).cast("binary").alias("content")), f"{folder}/pages")
 
 
 def probed(sites: DataFrame) -> DataFrame:
