@@ -100,8 +100,13 @@ def main_region(page: str) -> str:
     return "".join(out) + page[at:high]
 
 
+#: How many pages of a batch stand in Python at once.
+PAGES_AT_ONCE = 64
+
+
 def _main_regions(pages: pa.Array) -> pa.Array:
-    return pa.array([None if p is None else main_region(p) for p in pages.to_pylist()], pa.string())
+    some = (pages.slice(at, PAGES_AT_ONCE) for at in range(0, max(len(pages), 1), PAGES_AT_ONCE))
+    return pa.concat_arrays([pa.array([None if p is None else main_region(p) for p in part.to_pylist()], pa.string()) for part in some])
 
 
 def main_text(html: Column, cap: int = 8000) -> Column:
