@@ -33,9 +33,11 @@ def a14_global_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{ROWS} SELECT audit, coalesce(factor, '-') AS factor, coalesce(sub_group, '-') AS sub_group, round(sum(CASE WHEN status = 'scored' THEN gw * score END) / nullif(sum(CASE WHEN status = 'scored' THEN gw END), 0), 6) AS score
 FROM r GROUP BY GROUPING SETS ((audit, factor, sub_group), (audit, factor), (audit))""")
 def a13_weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audits(spark, sf_dir)
-    levels = rows.groupingSets([["audit", "factor", "sub_group"], ["audit", "factor"], ["audit"]], "audit", "factor", "sub_group")
-    mean = scoring.weighted_mean(F.col("global_weight"), F.col("score"), F.col("status"))
+    """Means of groups, factors and audits; groups are summed first, so that only sums are repeated for the levels above."""
+    on = F.col("status") == "scored"
+    sums = audits(spark, sf_dir).groupBy("audit", "factor", "sub_group").agg(F.sum(F.when(on, F.col("global_weight") * F.col("score"))).alias("held"), F.sum(F.when(on, F.col("global_weight"))).alias("weight"))
+    levels = sums.groupingSets([["audit", "factor", "sub_group"], ["audit", "factor"], ["audit"]], "audit", "factor", "sub_group")
+    mean = F.sum("held") / F.nullif(F.sum("weight"), F.lit(0))
     return levels.agg(F.round(mean, 6).alias("score")).select("audit", F.coalesce("factor", F.lit("-")).alias("factor"), F.coalesce("sub_group", F.lit("-")).alias("sub_group"), "score")
 
 
